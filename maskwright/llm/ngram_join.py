@@ -6,7 +6,8 @@ that reach the threshold t share one of the first ``size - ceil(t * size) + 1``
 
 1. Equal sets become one class, represented by their smallest key.
 2. Each class is dealt out under its prefix n-grams. An n-gram in two classes or more belongs to the smallest class that
-   holds it, its owner; so classes that share n-grams mostly share owners too, and meet in few blocks.
+   holds it, its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size
+   no other class of a block comes near leaves it.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
    counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. A class
    that no other can reach drops out of the block.
@@ -21,6 +22,7 @@ order are equal hashes and so equal n-grams; an empty table gives no rows; other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -215,6 +217,8 @@ class Block:
         self.t, self.whole, self.given = t, whole, sizes
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
         self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
+        self.known = np.array([len(c) for c in self.codes])
+        self.last = np.array([c[-1] if len(c) else -1 for c in self.codes])
         # a token of one set only cannot match; without it near copies share long paths
         shared = [c[times[c] > 1] for c in self.codes]
         # for each kept token, the tokens of its set that are still to come; a set is found by its place in the trie
@@ -268,8 +272,10 @@ class Block:
                 sets, got = ids[where], overlap[k]
                 need = -(-t.num * (size + self.given[sets]) // (t.num + t.den))
                 if not self.whole:
-                    # past the earlier of the two last known tokens nothing is known: all that is left there may match
-                    got = got + np.maximum(size - known, self.given[sets] - np.array([len(self.codes[s]) for s in sets], np.int64))
+                    # tokens up to the earlier of the two last known ones are counted; of the rest all may match
+                    mine, last = self.codes[y], self.last[sets]
+                    rest = np.minimum(self.given[sets] - self.known[sets], size - np.searchsorted(mine, last, side="right"))
+                    got = got + np.where(last <= mine[-1], rest, size - known)
                 ok = (got >= need) & (sets != y)
                 if ok.any():
                     yield sets[ok]
@@ -380,9 +386,13 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     members = C.written(rows.select("key", "size", "digest").join(classes, "digest").select("key", "size", "class"), "members")
     filled = rows.select("key", "size", "prefix").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
     filled = C.written(filled, "classes")
-    grams = filled.select("key", F.explode("prefix").alias("gram"))
+    # linked sets lie in the same or in neighbouring bands of size
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(t.den / t.num)) + 1e-9).cast("int")
+    grams = filled.select("key", band.alias("band"), F.explode("prefix").alias("gram"))
     owner = grams.groupBy("gram").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    met = grams.join(owner.select("gram", "owner"), "gram").select("owner", "key").distinct()
+    met = grams.join(owner.select("gram", "owner"), "gram").select("owner", "key", "band").distinct()
+    close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
+    met = met.withColumn("n", F.count("*").over(close)).where("n > 1").select("owner", "key")
     blocks = met.join(filled, "key").select("owner", "key", "size", "prefix")
     near = C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near")
     wanted = near.select("key").distinct()
