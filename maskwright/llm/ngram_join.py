@@ -11,7 +11,7 @@ that reach the threshold t share one of the first ``size - ceil(t * size) + 1``
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
    counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. A class
    that no other can reach drops out of the block.
-4. For what is left, the same trie over whole sets gives exact overlaps. Subtrees that lie in the class's own
+4. Blocks that still share classes merge. The same trie over whole sets gives exact overlaps. Subtrees that lie in the class's own
    component already are passed over, so that a block of near copies yields a spanning forest and never all pairs.
 5. Components of the links follow by hash-to-minimum label spreading, and copies get their class's label.
 
@@ -213,8 +213,8 @@ class Block:
     def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool):
         flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
         vocabulary, code, times = np.unique(flat, return_inverse=True, return_counts=True)
-        self.mask = np.zeros(len(vocabulary), np.int32)
-        self.t, self.whole, self.given = t, whole, sizes
+        self.width = len(vocabulary)
+        self.t, self.whole, self.sizes = t, whole, sizes
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
         self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
         self.known = np.array([len(c) for c in self.codes])
@@ -247,72 +247,85 @@ class Block:
             trie.after = after
             self.tries[int(band)] = (trie, ids)
 
-    def near(self, y: int, comp: np.ndarray | None = None) -> Iterator[np.ndarray]:
-        """Batches of sets that may reach (whole: that do reach) the threshold with set y; comp: sets with y's label
+    def near(self, ys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Batches (of ys, sets) of pairs that may reach (whole: that do reach) the threshold; comp: pairs with one label
         are passed over."""
-        mine, size = self.codes[y], int(self.given[y])
-        self.mask[mine] = 1
-        try:
-            for band in (int(self.bands[y]) + d for d in (0, -1, 1)):
-                if band in self.tries:
-                    yield from self._down(*self.tries[band], y, size, comp)
-        finally:
-            self.mask[mine] = 0
-
-    def _down(self, trie: Trie, ids: np.ndarray, y: int, size: int, comp: np.ndarray | None) -> Iterator[np.ndarray]:
+        mask = np.zeros((len(ys), self.width), bool)
+        for i, y in enumerate(ys):
+            mask[i, self.codes[y]] = True
+        for band, (trie, ids) in self.tries.items():
+            mine = np.flatnonzero(np.abs(self.bands[ys] - band) <= 1)
+            if len(mine) and not (len(ids) == 1 and len(mine) == 1 and ids[0] == ys[mine[0]]):
+                yield from self._down(trie, ids, ys, mine, mask, comp)
+
+    def _down(self, trie: Trie, ids: np.ndarray, ys: np.ndarray, who: np.ndarray, mask: np.ndarray, comp: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of ys[who] go down the trie together, a level at a time."""
         t = self.t
-        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        known = len(self.codes[y])
+        nodes, overlap = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
+        labels = comp[ids] if comp is not None else None
+        # one label throughout a node: its own, else -1
+        plain = np.array([labels[a] if (labels[a:b] == labels[a]).all() else -1 for a, b in zip(trie.first, trie.last)]) if comp is not None else None
         while len(nodes):
-            # sets that end at these nodes
             n_end = trie.ending[nodes]
             if n_end.any():
                 k = np.repeat(np.arange(len(nodes)), n_end)
                 where = trie.first[nodes][k] + np.arange(len(k)) - np.repeat(np.cumsum(n_end) - n_end, n_end)
-                sets, got = ids[where], overlap[k]
-                need = -(-t.num * (size + self.given[sets]) // (t.num + t.den))
+                sets, got, mine = ids[where], overlap[k], ys[who[k]]
+                size = self.sizes[mine]
+                need = -(-t.num * (size + self.sizes[sets]) // (t.num + t.den))
                 if not self.whole:
                     # tokens up to the earlier of the two last known ones are counted; of the rest all may match
-                    mine, last = self.codes[y], self.last[sets]
-                    rest = np.minimum(self.given[sets] - self.known[sets], size - np.searchsorted(mine, last, side="right"))
-                    got = got + np.where(last <= mine[-1], rest, size - known)
-                ok = (got >= need) & (sets != y)
+                    got = got + np.where(self.last[sets] <= self.last[mine], self.sizes[sets] - self.known[sets], size - self.known[mine])
+                ok = (got >= need) & (sets != mine)
+                if ok.any() and not self.whole:
+                    ok[ok] = [g + min(0, (z - int(np.searchsorted(self.codes[m], self.last[s], side="right"))) - (self.sizes[s] - self.known[s])) >= n if self.last[s] <= self.last[m] else True for g, z, m, s, n in zip(got[ok], size[ok], mine[ok], sets[ok], need[ok])]
                 if ok.any():
-                    yield sets[ok]
+                    yield mine[ok], sets[ok]
             lo, hi = trie.kids[nodes, 0], trie.kids[nodes, 1]
             width = hi - lo
             if not width.any():
                 return
             k = np.repeat(np.arange(len(nodes)), width)
             child = lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(width) - width, width)
-            if comp is not None and len(child) > 1:
-                mine = comp[ids] != comp[y]
-                other = np.concatenate(([0], np.cumsum(mine)))
-                keep = other[trie.last[child]] > other[trie.first[child]]
+            if comp is not None:
+                keep = plain[child] != comp[ys[who[k]]]
                 child, k = child[keep], k[keep]
                 if not len(child):
                     return
-            start, stop = trie.start[child], trie.stop[child]
-            span = stop - start
-            pos = np.repeat(start - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-            hits = self.mask[trie.tokens[pos]]
-            over = overlap[k] + np.add.reduceat(hits, np.cumsum(span) - span)
+            span = trie.stop[child] - trie.start[child]
+            ends = np.cumsum(span)
+            hits = np.zeros(len(child), np.int64)
+            for a in range(0, len(child), 20_000):  # bounded room for long edges
+                z = slice(a, a + 20_000)
+                n = span[z]
+                pos = np.repeat(trie.start[child[z]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                hits[z] = np.add.reduceat(mask[np.repeat(who[k[z]], n), trie.tokens[pos]].astype(np.int64), np.cumsum(n) - n)
+            del ends
+            over = overlap[k] + hits
+            size = self.sizes[ys[who[k]]]
             need = -(-t.num * (size + trie.low[child]) // (t.num + t.den))
-            bound = over + np.minimum(trie.after[child], size)
-            keep = bound >= need
-            nodes, overlap = child[keep], over[keep]
+            keep = over + np.minimum(trie.after[child], size) >= need
+            nodes, overlap, who = child[keep], over[keep], who[k[keep]]
+
+
+def _turns(n: int, width: int) -> int:
+    """How many sets go down together: at most 4 MB of masks, and fewer in a large block, where most are soon found."""
+    return max(1, min(256, 4_000_000 // max(1, width), 300_000 // max(1, n)))
 
 
 def reachable(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> np.ndarray:
     """Which prefixes may reach the threshold with another of the block."""
     block = Block(seqs, sizes, t, False)
     found = np.zeros(len(seqs), bool)
-    for y in range(len(seqs)):
-        if not found[y]:
-            for sets in block.near(y):
-                found[y] = True
-                found[sets] = True
-                break
+    step, at = _turns(len(seqs), block.width), 0
+    while at < len(seqs):
+        ys = np.arange(at, len(seqs))[~found[at:]][:step]
+        if not len(ys):
+            break
+        for a, b in block.near(ys):
+            found[a] = True
+            found[b] = True
+        at = int(ys[-1]) + 1
     return found
 
 
@@ -321,18 +334,14 @@ def block_links(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> list
     block = Block(seqs, sizes, t, True)
     comp = np.arange(len(seqs))
     links = []
-    for y in range(len(seqs)):
-        again = True
-        while again:
-            again = False
-            for sets in block.near(y, comp):
-                for x in sets.tolist():
-                    if comp[x] != comp[y]:
-                        links.append((y, x))
-                        comp[comp == comp[x]] = comp[y]
-                        again = True
-                if again:
-                    break  # look again: what now belongs to the same component is passed over
+    step = min(16, _turns(len(seqs), block.width))
+    for at in range(0, len(seqs), step):
+        ys = np.arange(at, min(at + step, len(seqs)))
+        for a, b in block.near(ys, comp):
+            for y, x in zip(a.tolist(), b.tolist()):
+                if comp[x] != comp[y]:
+                    links.append((y, x))
+                    comp[comp == comp[x]] = comp[y]
     return links
 
 
@@ -360,6 +369,22 @@ def _links(t: Threshold):
     return run
 
 
+MOST_TOGETHER = 3_000
+
+
+def blocks_of(near: DataFrame) -> DataFrame:
+    """(block, key): the sets that are compared whole. Blocks that share keys merge, so that each set travels once; where
+    that would make more than MOST_TOGETHER of them meet, the smaller blocks of single owners stand."""
+    merged = C.written(components(near.select(F.col("owner").alias("a"), F.col("key").alias("b"))), "merged")
+    alone = near.select(F.col("owner").alias("key")).distinct().join(merged, "key", "left_anti").select("key", F.col("key").alias("label"))
+    label = merged.union(alone)
+    keys = near.select("key").distinct().join(label, "key")
+    big = F.broadcast(keys.groupBy("label").count().where(F.col("count") > MOST_TOGETHER).select("label"))
+    small = keys.join(big, "label", "left_anti").select(F.col("label").alias("block"), "key")
+    large = near.join(keys.join(big, "label", "left_semi").select("key"), "key", "left_semi").select(F.col("owner").alias("block"), "key")
+    return C.written(small.union(large), "blocks")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the smallest key that links reach, for every key with a link. Labels spread by rounds of large-star
     and small-star, each of which writes its edges to the shared folder; there are about log(longest chain) of them."""
@@ -394,10 +419,10 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
     met = met.withColumn("n", F.count("*").over(close)).where("n > 1").select("owner", "key")
     blocks = met.join(filled, "key").select("owner", "key", "size", "prefix")
-    near = C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near")
+    near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"))
     wanted = near.select("key").distinct()
     sets = docs.join(wanted, "key", "left_semi").mapInArrow(_sets(n, heavy), "key long, ranks array<long>")
-    links = near.join(sets, "key").groupBy("owner").applyInArrow(_links(t), "a long, b long")
+    links = near.join(sets, "key").groupBy("block").applyInArrow(_links(t), "a long, b long")
     return members, components(links)
 
 
