@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op7_neighbours
 from .langid import op9_language
 from .media import op8_media
 from .mixing import op10_mix
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
     "op6_ngram_join": op6_ngram_join,
+    "op7_neighbours": op7_neighbours,
     "op8_media": op8_media,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
