@@ -35,6 +35,7 @@ from . import common as C
 
 HEAVY = 0.002
 HEAVY_LEAST = 24
+BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -165,11 +166,11 @@ def _sets(n: int, heavy_ref):
 class Trie:
     """A compressed prefix tree over sorted token sequences, laid out in arrays.
 
-    Node k stands for tokens[start[k]:stop[k]] below its parent; children of a node are neighbours. low and high bound
-    the set sizes below it, rest the longest remainder of a set after it, first and last its sets in sorted order.
+    Node k stands for tokens[start[k]:stop[k]] below its parent; children of a node are neighbours. low is the least set
+    size below it, after the longest remainder of a set after it; sets first to last, in sorted order, pass through it.
     """
 
-    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray):
+    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, places: list[np.ndarray]):
         self.order = sorted(range(len(seqs)), key=lambda k: seqs[k].astype(">u8").tobytes())
         self.sizes = sizes[self.order]
         own = [seqs[k] for k in self.order]
@@ -203,49 +204,41 @@ class Trie:
         self.start, self.stop, self.depth, self.first, self.last, self.ending = a.T.copy()
         self.kids = np.array(kids, np.int64)
         self.low = np.array([self.sizes[x:y].min() if y > x else 0 for x, y in zip(self.first, self.last)])
-        self.high = np.array([self.sizes[x:y].max() if y > x else 0 for x, y in zip(self.first, self.last)])
+        self.after = np.full(len(a), self.sizes.max() if len(own) else 0)
+        if len(own):
+            # what may follow a token: the rest of its set
+            left = np.repeat(self.sizes, self.lengths) - 1 - np.concatenate([places[k] for k in self.order])
+            for k in range(1, len(a)):
+                self.after[k] = left[base[self.first[k] : self.last[k]] + self.depth[k] - 1].max()
 
 
 class Block:
     """Sets that meet under one owner. seqs: their known tokens in global order; sizes: whole set sizes; whole: the
-    sequences are the whole sets (else prefixes, and the overlap is only bounded)."""
+    sequences are the whole sets. Else they are the prefixes' tokens that other classes share, places being where they
+    stand in the set and last the prefix's last token, and the overlap is only bounded."""
 
-    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool):
+    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool, places: list[np.ndarray] | None = None, last: np.ndarray | None = None):
         flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
         vocabulary, code, times = np.unique(flat, return_inverse=True, return_counts=True)
         self.width = len(vocabulary)
-        self.t, self.whole, self.sizes = t, whole, sizes
+        self.t, self.whole, self.sizes, self.seqs, self.last = t, whole, sizes, seqs, last
+        self.places = places or [np.arange(len(s)) for s in seqs]
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
         self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
-        self.known = np.array([len(c) for c in self.codes])
-        self.last = np.array([c[-1] if len(c) else -1 for c in self.codes])
+        self.known = np.array([t.prefix(int(z)) for z in sizes])
         # a token of one set only cannot match; without it near copies share long paths
-        shared = [c[times[c] > 1] for c in self.codes]
-        # for each kept token, the tokens of its set that are still to come; a set is found by its place in the trie
+        shared = [times[c] > 1 for c in self.codes]
         self.bands = np.floor(np.log(np.maximum(sizes, 1)) / np.log(t.den / t.num) + 1e-9).astype(int)
         self.tries: dict[int, tuple[Trie, np.ndarray]] = {}
         for band in np.unique(self.bands):
             ids = np.flatnonzero(self.bands == band)
-            trie = Trie([shared[k] for k in ids], sizes[ids])
-            ids = ids[trie.order]
-            # the most that can follow a node: over its sets, the known tokens after its last one, and all unknown ones
-            after = np.zeros(len(trie.start), np.int64)
-            for k in range(len(after)):
-                d, best = trie.depth[k], 0
-                if d == 0:
-                    after[k] = trie.high[k]
-                    continue
-                a, b = trie.first[k], trie.last[k]
-                token = trie.tokens[trie.stop[k] - 1]
-                if b - a <= 64:
-                    for s in ids[a:b]:
-                        c = self.codes[s]
-                        best = max(best, int(sizes[s]) - int(np.searchsorted(c, token)) - 1)
-                else:
-                    best = int(trie.high[k]) - int(d)
-                after[k] = best
-            trie.after = after
-            self.tries[int(band)] = (trie, ids)
+            trie = Trie([self.codes[k][shared[k]] for k in ids], sizes[ids], [self.places[k][shared[k]] for k in ids])
+            self.tries[int(band)] = (trie, ids[trie.order])
+
+    def _rest(self, y: int, x: int) -> int:
+        """The most that prefixes of y and x leave to match, if x's ends first."""
+        seen = int(np.searchsorted(self.seqs[y], self.last[x], side="right"))
+        return int(min(self.sizes[x] - self.known[x], self.sizes[y] - (self.places[y][seen - 1] + 1 if seen else 0)))
 
     def near(self, ys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Batches (of ys, sets) of pairs that may reach (whole: that do reach) the threshold; comp: pairs with one label
@@ -274,11 +267,14 @@ class Block:
                 size = self.sizes[mine]
                 need = -(-t.num * (size + self.sizes[sets]) // (t.num + t.den))
                 if not self.whole:
-                    # tokens up to the earlier of the two last known ones are counted; of the rest all may match
-                    got = got + np.where(self.last[sets] <= self.last[mine], self.sizes[sets] - self.known[sets], size - self.known[mine])
+                    # tokens up to the earlier of the two prefixes' last ones are counted; of the rest all may match
+                    early = self.last[sets] <= self.last[mine]
+                    got = got + np.where(early, self.sizes[sets] - self.known[sets], size - self.known[mine])
                 ok = (got >= need) & (sets != mine)
-                if ok.any() and not self.whole:
-                    ok[ok] = [g + min(0, (z - int(np.searchsorted(self.codes[m], self.last[s], side="right"))) - (self.sizes[s] - self.known[s])) >= n if self.last[s] <= self.last[m] else True for g, z, m, s, n in zip(got[ok], size[ok], mine[ok], sets[ok], need[ok])]
+                if not self.whole and ok.any():
+                    at = np.flatnonzero(ok)
+                    before = overlap[k][at]
+                    ok[at] = [g + (self._rest(m, s) if e else self._rest(s, m)) >= n for g, m, s, e, n in zip(before, mine[at], sets[at], early[at], need[at])]
                 if ok.any():
                     yield mine[ok], sets[ok]
             lo, hi = trie.kids[nodes, 0], trie.kids[nodes, 1]
@@ -313,9 +309,9 @@ def _turns(n: int, width: int) -> int:
     return max(1, min(256, 4_000_000 // max(1, width), 300_000 // max(1, n)))
 
 
-def reachable(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> np.ndarray:
+def reachable(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, sizes: np.ndarray, t: Threshold) -> np.ndarray:
     """Which prefixes may reach the threshold with another of the block."""
-    block = Block(seqs, sizes, t, False)
+    block = Block(seqs, sizes, t, False, places, last)
     found = np.zeros(len(seqs), bool)
     step, at = _turns(len(seqs), block.width), 0
     while at < len(seqs):
@@ -354,7 +350,7 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _candidates(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
-        keep = reachable(_lists(group["prefix"]), group["size"].to_numpy(), t)
+        keep = reachable(_lists(group["grams"]), [p.astype(np.int64) for p in _lists(group["places"])], group["last"].to_numpy().view(np.uint64), group["size"].to_numpy(), t)
         return group.select(["owner", "key"]).filter(pa.array(keep))
 
     return run
@@ -413,14 +409,18 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     filled = C.written(filled, "classes")
     # linked sets lie in the same or in neighbouring bands of size
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(t.den / t.num)) + 1e-9).cast("int")
-    grams = filled.select("key", band.alias("band"), F.explode("prefix").alias("gram"))
-    owner = grams.groupBy("gram").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    met = grams.join(owner.select("gram", "owner"), "gram").select("owner", "key", "band").distinct()
+    grams = filled.select("key", "size", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("place", "gram"))
+    same = Window.partitionBy("gram")
+    shared = grams.withColumn("n", F.count("*").over(same)).withColumn("owner", F.min("key").over(same)).where("n > 1")
+    # a class's shared n-grams, as many as its prefix has at most, go to each owner among them
+    whole = shared.groupBy("key", "size", "last").agg(F.array_sort(F.collect_list(F.struct("place", "gram"))).alias("known"), F.collect_set("owner").alias("owners"))
+    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", F.col("known.gram").alias("grams"), F.col("known.place").cast("array<long>").alias("places"), band.alias("band"))
     close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
-    met = met.withColumn("n", F.count("*").over(close)).where("n > 1").select("owner", "key")
-    blocks = met.join(filled, "key").select("owner", "key", "size", "prefix")
+    blocks = met.withColumn("n", F.count("*").over(close)).where("n > 1").drop("n", "band")
     near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"))
     wanted = near.select("key").distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)  # 16 MB at most; beyond it both sides are shuffled
     sets = docs.join(wanted, "key", "left_semi").mapInArrow(_sets(n, heavy), "key long, ranks array<long>")
     links = near.join(sets, "key").groupBy("block").applyInArrow(_links(t), "a long, b long")
     return members, components(links)
