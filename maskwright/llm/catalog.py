@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op7_neighbours
+from .chat import op4_chat
 from .langid import op9_language
+from .licenses import op5_licenses
 from .media import op8_media
 from .mixing import op10_mix
 from .ngram_join import op6_ngram_join
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
+    "op4_chat": op4_chat,
+    "op5_licenses": op5_licenses,
     "op6_ngram_join": op6_ngram_join,
     "op7_neighbours": op7_neighbours,
     "op8_media": op8_media,
