@@ -158,7 +158,7 @@ def _sets(n: int, heavy_ref):
         heavy = heavy_ref.value
         for b in C.small_batches(batches, 128):
             data, off = C.string_buffer(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("key"), _long_lists([_ordered(s, heavy)[1] for s in shingle_sets(data, off, n)])], ["key", "ranks"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("key"), _long_lists([_ordered(s, heavy)[1] for s in shingle_sets(data, off, n)])], ["block", "key", "ranks"])
 
     return run
 
@@ -237,7 +237,7 @@ class Block:
 
     def _rest(self, y: int, x: int) -> int:
         """The most that prefixes of y and x leave to match, if x's ends first."""
-        seen = int(np.searchsorted(self.seqs[y], self.last[x], side="right"))
+        seen = int(np.searchsorted(self.seqs[y], self.last[x] >> np.uint64(33), side="left"))
         return int(min(self.sizes[x] - self.known[x], self.sizes[y] - (self.places[y][seen - 1] + 1 if seen else 0)))
 
     def near(self, ys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,7 +344,8 @@ def block_links(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> list
 def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
     a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     off = a.offsets.to_numpy()
-    flat = a.values.to_numpy().view(np.uint64)
+    flat = a.values.to_numpy()
+    flat = flat.view(np.uint64) if flat.dtype == np.int64 else flat.astype(np.uint64)
     return [flat[x:y] for x, y in zip(off, off[1:])]
 
 
@@ -409,20 +410,22 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     filled = C.written(filled, "classes")
     # linked sets lie in the same or in neighbouring bands of size
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(t.den / t.num)) + 1e-9).cast("int")
-    grams = filled.select("key", "size", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("place", "gram"))
+    grams = filled.select("key", F.posexplode("prefix").alias("place", "gram"))
     same = Window.partitionBy("gram")
     shared = grams.withColumn("n", F.count("*").over(same)).withColumn("owner", F.min("key").over(same)).where("n > 1")
-    # a class's shared n-grams, as many as its prefix has at most, go to each owner among them
-    whole = shared.groupBy("key", "size", "last").agg(F.array_sort(F.collect_list(F.struct("place", "gram"))).alias("known"), F.collect_set("owner").alias("owners"))
-    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", F.col("known.gram").alias("grams"), F.col("known.place").cast("array<long>").alias("places"), band.alias("band"))
+    # a class's shared n-grams, as many as its prefix has at most, go to each owner among them. 31 bits of each are
+    # enough for a bound from above, and keep the order
+    short = F.struct("place", F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
+    whole = shared.groupBy("key").agg(F.array_sort(F.collect_list(short)).alias("known"), F.collect_set("owner").alias("owners"))
+    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last")), "key")
+    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"), band.alias("band"))
     close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
     blocks = met.withColumn("n", F.count("*").over(close)).where("n > 1").drop("n", "band")
     near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"))
-    wanted = near.select("key").distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)  # 16 MB at most; beyond it both sides are shuffled
-    sets = docs.join(wanted, "key", "left_semi").mapInArrow(_sets(n, heavy), "key long, ranks array<long>")
-    links = near.join(sets, "key").groupBy("block").applyInArrow(_links(t), "a long, b long")
+    if near.count() <= BROADCAST_KEYS:
+        near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled
+    sets = docs.join(near, "key").select("block", "key", "text").mapInArrow(_sets(n, heavy), "block long, key long, ranks array<long>")
+    links = sets.groupBy("block").applyInArrow(_links(t), "a long, b long")
     return members, components(links)
 
 
