@@ -9,8 +9,9 @@ that reach the threshold t share one of the first ``size - ceil(t * size) + 1``
    holds it, its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size
    no other class of a block comes near leaves it.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
-   counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. A class
-   that no other can reach drops out of the block.
+   counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. Pairs that
+   get to an end also have to agree in maps of slot parities, which bound the overlap of whole sets. A class that no
+   other can reach drops out of the block.
 4. Blocks that still share classes merge. The same trie over whole sets gives exact overlaps. Subtrees that lie in the class's own
    component already are passed over, so that a block of near copies yields a spanning forest and never all pairs.
 5. Components of the links follow by hash-to-minimum label spreading, and copies get their class's label.
@@ -136,6 +137,22 @@ def _ordered(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, s >> np.uint64(1)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each slot of a power of two of at least the set's size: whether an odd number of n-grams fall there.
+    Where two such maps differ there is an n-gram of one set alone, so they bound the overlap from above."""
+    b = 1 << max(6, min(16, (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    """The map of ``size`` slots as one of ``to``: slots that agree in their low bits are added."""
+    while size > to:
+        size //= 2
+        # slot k is bit size - 1 - k of the number, so the upper half holds slots below ``size``
+        bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+    return bits
+
+
 def _rows(n: int, heavy_ref, t: Threshold):
     """key, size, the set's digest and its prefix, as ranks of the global order."""
 
@@ -143,12 +160,13 @@ def _rows(n: int, heavy_ref, t: Threshold):
         heavy = heavy_ref.value
         for b in C.small_batches(batches):
             data, off = C.string_buffer(b.column("text"))
-            size, digest, prefix = [], [], []
+            size, digest, prefix, bits = [], [], [], []
             for s in shingle_sets(data, off, n):
+                bits.append(parity_bits(s))
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(_ordered(s, heavy)[1][: t.prefix(len(s))] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _long_lists(prefix)], ["key", "size", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _long_lists(prefix), pa.array(bits, pa.binary())], ["key", "size", "digest", "prefix", "bits"])
 
     return run
 
@@ -217,11 +235,13 @@ class Block:
     sequences are the whole sets. Else they are the prefixes' tokens that other classes share, places being where they
     stand in the set and last the prefix's last token, and the overlap is only bounded."""
 
-    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool, places: list[np.ndarray] | None = None, last: np.ndarray | None = None):
+    def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool, places: list[np.ndarray] | None = None, last: np.ndarray | None = None, bits: list[bytes] | None = None):
         flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
         vocabulary, code, times = np.unique(flat, return_inverse=True, return_counts=True)
         self.width = len(vocabulary)
         self.t, self.whole, self.sizes, self.seqs, self.last = t, whole, sizes, seqs, last
+        self.slots = [8 * len(b) for b in bits or []]
+        self.bits = [int.from_bytes(b, "big") for b in bits or []]
         self.places = places or [np.arange(len(s)) for s in seqs]
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
         self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -240,6 +260,11 @@ class Block:
         seen = int(np.searchsorted(self.seqs[y], self.last[x] >> np.uint64(33), side="left"))
         return int(min(self.sizes[x] - self.known[x], self.sizes[y] - (self.places[y][seen - 1] + 1 if seen else 0)))
 
+    def _differ(self, y: int, x: int) -> int:
+        """At least so many n-grams are in one of the sets alone."""
+        to = min(self.slots[y], self.slots[x])
+        return (_folded(self.bits[y], self.slots[y], to) ^ _folded(self.bits[x], self.slots[x], to)).bit_count()
+
     def near(self, ys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Batches (of ys, sets) of pairs that may reach (whole: that do reach) the threshold; comp: pairs with one label
         are passed over."""
@@ -274,7 +299,8 @@ class Block:
                 if not self.whole and ok.any():
                     at = np.flatnonzero(ok)
                     before = overlap[k][at]
-                    ok[at] = [g + (self._rest(m, s) if e else self._rest(s, m)) >= n for g, m, s, e, n in zip(before, mine[at], sets[at], early[at], need[at])]
+                    both = (size + self.sizes[sets])[at] - 2 * need[at]
+                    ok[at] = [g + (self._rest(m, s) if e else self._rest(s, m)) >= n and self._differ(m, s) <= d for g, m, s, e, n, d in zip(before, mine[at], sets[at], early[at], need[at], both)]
                 if ok.any():
                     yield mine[ok], sets[ok]
             lo, hi = trie.kids[nodes, 0], trie.kids[nodes, 1]
@@ -309,9 +335,9 @@ def _turns(n: int, width: int) -> int:
     return max(1, min(256, 4_000_000 // max(1, width), 300_000 // max(1, n)))
 
 
-def reachable(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, sizes: np.ndarray, t: Threshold) -> np.ndarray:
+def reachable(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, bits: list[bytes], sizes: np.ndarray, t: Threshold) -> np.ndarray:
     """Which prefixes may reach the threshold with another of the block."""
-    block = Block(seqs, sizes, t, False, places, last)
+    block = Block(seqs, sizes, t, False, places, last, bits)
     found = np.zeros(len(seqs), bool)
     step, at = _turns(len(seqs), block.width), 0
     while at < len(seqs):
@@ -351,7 +377,7 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _candidates(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
-        keep = reachable(_lists(group["grams"]), [p.astype(np.int64) for p in _lists(group["places"])], group["last"].to_numpy().view(np.uint64), group["size"].to_numpy(), t)
+        keep = reachable(_lists(group["grams"]), [p.astype(np.int64) for p in _lists(group["places"])], group["last"].to_numpy().view(np.uint64), group["bits"].to_pylist(), group["size"].to_numpy(), t)
         return group.select(["owner", "key"]).filter(pa.array(keep))
 
     return run
@@ -403,10 +429,10 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     docs = docs.select("key", "text")
     heavy = spark.sparkContext.broadcast(frequent(docs, n))
-    rows = C.written(docs.mapInArrow(_rows(n, heavy, t), "key long, size long, digest binary, prefix array<long>"), "prefixes")
+    rows = C.written(docs.mapInArrow(_rows(n, heavy, t), "key long, size long, digest binary, prefix array<long>, bits binary"), "prefixes")
     classes = rows.groupBy("digest").agg(F.min("key").alias("class"))
     members = C.written(rows.select("key", "size", "digest").join(classes, "digest").select("key", "size", "class"), "members")
-    filled = rows.select("key", "size", "prefix").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
+    filled = rows.select("key", "size", "prefix", "bits").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
     filled = C.written(filled, "classes")
     # linked sets lie in the same or in neighbouring bands of size
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(t.den / t.num)) + 1e-9).cast("int")
@@ -417,8 +443,8 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     # enough for a bound from above, and keep the order
     short = F.struct("place", F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
     whole = shared.groupBy("key").agg(F.array_sort(F.collect_list(short)).alias("known"), F.collect_set("owner").alias("owners"))
-    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last")), "key")
-    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"), band.alias("band"))
+    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last"), "bits"), "key")
+    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"), band.alias("band"))
     close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
     blocks = met.withColumn("n", F.count("*").over(close)).where("n > 1").drop("n", "band")
     near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"))
