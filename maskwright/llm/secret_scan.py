@@ -100,7 +100,8 @@ def ordinary_samples(words: list[str], n: int = 8_000, seed: int = 12) -> list[b
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Detector:
     """Ordinary words come from at most ``sample`` rows, chosen by a hash of their texts' keys."""
-    rows = docs.select("doc_id", F.substring("text", 1, 4000).alias("text")).where(F.length("text") > 0).orderBy(C.crc_order("doc_id"), "doc_id", "text").limit(sample).collect()
+    picked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(C.crc_order("doc_id"), "doc_id").limit(sample)  # keys alone
+    rows = docs.select("doc_id", F.substring("text", 1, 4000).alias("text")).where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").select("text").collect()
     words = [w for r in rows for w in r["text"].split() if not any(p.search(w.encode()) for p in (ASSIGN, ACCESS, HEX))]
     return Detector(random_samples(), ordinary_samples(words))
 
