@@ -242,8 +242,10 @@ class Block:
         self.t, self.whole, self.sizes, self.seqs, self.last = t, whole, sizes, seqs, last
         self.slots = [8 * len(b) for b in bits or []]
         self.bits = [int.from_bytes(b, "big") for b in bits or []]
-        self.places = places or [np.arange(len(s)) for s in seqs]
+        every = np.arange(max((len(s) for s in seqs), default=0))
+        self.places = places or [every[: len(s)] for s in seqs]
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
+        code = code.astype(np.int32)
         self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
         self.known = np.array([t.prefix(int(z)) for z in sizes])
         # a token of one set only cannot match; without it near copies share long paths
@@ -392,17 +394,17 @@ def _links(t: Threshold):
     return run
 
 
-MOST_TOGETHER = 3_000
+MOST_TOGETHER = 12_000_000
 
 
-def blocks_of(near: DataFrame) -> DataFrame:
+def blocks_of(near: DataFrame, sizes: DataFrame) -> DataFrame:
     """(block, key): the sets that are compared whole. Blocks that share keys merge, so that each set travels once; where
-    that would make more than MOST_TOGETHER of them meet, the smaller blocks of single owners stand."""
+    that would make sets of more than MOST_TOGETHER n-grams meet, the smaller blocks of single owners stand."""
     merged = C.written(components(near.select(F.col("owner").alias("a"), F.col("key").alias("b"))), "merged")
     alone = near.select(F.col("owner").alias("key")).distinct().join(merged, "key", "left_anti").select("key", F.col("key").alias("label"))
     label = merged.union(alone)
-    keys = near.select("key").distinct().join(label, "key")
-    big = F.broadcast(keys.groupBy("label").count().where(F.col("count") > MOST_TOGETHER).select("label"))
+    keys = C.written(near.select("key").distinct().join(label, "key").join(sizes.select("key", "size"), "key"), "labelled")
+    big = keys.groupBy("label").agg(F.sum("size").alias("n")).where(F.col("n") > MOST_TOGETHER).select("label")
     small = keys.join(big, "label", "left_anti").select(F.col("label").alias("block"), "key")
     large = near.join(keys.join(big, "label", "left_semi").select("key"), "key", "left_semi").select(F.col("owner").alias("block"), "key")
     return C.written(small.union(large), "blocks")
@@ -447,7 +449,7 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"), band.alias("band"))
     close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
     blocks = met.withColumn("n", F.count("*").over(close)).where("n > 1").drop("n", "band")
-    near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"))
+    near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"), members)
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled
     sets = docs.join(near, "key").select("block", "key", "text").mapInArrow(_sets(n, heavy), "block long, key long, ranks array<long>")
