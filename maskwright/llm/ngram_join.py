@@ -284,7 +284,10 @@ class Block:
         nodes, overlap = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
         labels = comp[ids] if comp is not None else None
         # one label throughout a node: its own, else -1
-        plain = np.array([labels[a] if (labels[a:b] == labels[a]).all() else -1 for a, b in zip(trie.first, trie.last)]) if comp is not None else None
+        if labels is not None:
+            change = np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1])))
+            ends = np.maximum(trie.last - 1, trie.first)
+            plain = np.where(change[ends] == change[trie.first], labels[trie.first], -1)
         while len(nodes):
             n_end = trie.ending[nodes]
             if n_end.any():
@@ -317,14 +320,12 @@ class Block:
                 if not len(child):
                     return
             span = trie.stop[child] - trie.start[child]
-            ends = np.cumsum(span)
             hits = np.zeros(len(child), np.int64)
             for a in range(0, len(child), 20_000):  # bounded room for long edges
                 z = slice(a, a + 20_000)
                 n = span[z]
                 pos = np.repeat(trie.start[child[z]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 hits[z] = np.add.reduceat(mask[np.repeat(who[k[z]], n), trie.tokens[pos]].astype(np.int64), np.cumsum(n) - n)
-            del ends
             over = overlap[k] + hits
             size = self.sizes[ys[who[k]]]
             need = -(-t.num * (size + trie.low[child]) // (t.num + t.den))
@@ -333,8 +334,8 @@ class Block:
 
 
 def _turns(n: int, width: int) -> int:
-    """How many sets go down together: at most 4 MB of masks, and fewer in a large block, where most are soon found."""
-    return max(1, min(256, 4_000_000 // max(1, width), 300_000 // max(1, n)))
+    """How many sets go down together: at most 16 MB of masks, and fewer in a large block, where most are soon found."""
+    return max(1, min(256, 16_000_000 // max(1, width), 300_000 // max(1, n)))
 
 
 def reachable(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, bits: list[bytes], sizes: np.ndarray, t: Threshold) -> np.ndarray:
@@ -358,7 +359,7 @@ def block_links(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> list
     block = Block(seqs, sizes, t, True)
     comp = np.arange(len(seqs))
     links = []
-    step = min(16, _turns(len(seqs), block.width))
+    step = min(64, _turns(len(seqs), block.width))
     for at in range(0, len(seqs), step):
         ys = np.arange(at, min(at + step, len(seqs)))
         for a, b in block.near(ys, comp):
