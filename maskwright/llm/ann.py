@@ -27,7 +27,7 @@ from . import common as C
 
 SAMPLE = 16_000
 BRANCH = 12
-LEAF = 60
+LEAF = 400
 TARGET = 0.96
 PART_ROWS = 4_096
 PART_QUERIES = 4_096
