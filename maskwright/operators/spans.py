@@ -65,8 +65,7 @@ def rule_findings(records: DataFrame, rules: list[Rule]) -> DataFrame:
 
     One pass over the text; rows without a match make none. The span id numbers a record's matches over all rules."""
     check_rules(rules)
-    each = [F.transform(rule_spans(F.col("text"), r), lambda s, r=r, k=k: s) for k, r in enumerate(rules)]
-    tagged = [_tagged(spans, k, r) for k, (spans, r) in enumerate(zip(each, rules))]
+    tagged = [_tagged(rule_spans(F.col("text"), r), k, r) for k, r in enumerate(rules)]
     rows = records.where(F.col("text").isNotNull()).select("record_id", F.explode(F.concat(*tagged)).alias("m"))
     number = Window.partitionBy("record_id").orderBy("m.rule_ordinal", "m.start")
     return rows.select("record_id", "m.*", F.row_number().over(number).alias("n")).withColumn("span_id", F.concat_ws(":", "rule_id", "n")).drop("n")

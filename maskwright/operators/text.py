@@ -76,8 +76,12 @@ def align(text: str, start: int, end: int, found: str) -> tuple[int, int]:
     return far[0][1], far[0][1] + n
 
 
-@F.pandas_udf("struct<start:int,end:int,error:string>")
-def aligned(text: pd.Series, start: pd.Series, end: pd.Series, found: pd.Series) -> pd.DataFrame:
+def aligned(text: Column, start: Column, end: Column, found: Column) -> Column:
+    """struct<start, end, error> of align."""
+    return F.pandas_udf(_aligned, "struct<start:int,end:int,error:string>")(text, start, end, found)
+
+
+def _aligned(text: pd.Series, start: pd.Series, end: pd.Series, found: pd.Series) -> pd.DataFrame:
     rows = []
     for t, a, b, f in zip(text, start, end, found):
         try:
@@ -150,8 +154,11 @@ def shift_text(text: str, weeks: int, fallback: str = "year_only") -> str:
     return one(text) or other
 
 
-@F.pandas_udf("string")
-def shifted(text: pd.Series, weeks: pd.Series) -> pd.Series:
+def shifted(text: Column, weeks: Column) -> Column:
+    return F.pandas_udf(_shifted, "string")(text, weeks)
+
+
+def _shifted(text: pd.Series, weeks: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else shift_text(t, int(w)) for t, w in zip(text, weeks)])
 
 
@@ -177,8 +184,11 @@ def repair(text: str) -> str:
     return re.sub(r"[\x00-\x08\x0b\x0e-\x1f\x7f]", "", text)
 
 
-@F.pandas_udf("string")
-def repaired(text: pd.Series) -> pd.Series:
+def repaired(text: Column) -> Column:
+    return F.pandas_udf(_repaired, "string")(text)
+
+
+def _repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else repair(t))
 
 
