@@ -2,12 +2,14 @@
 
 A document's set holds 64-bit hashes of its distinct word n-grams (fewer words: the whole sequence as one). The global
 order puts n-grams that are frequent somewhere (``HEAVY`` of a task's documents) last, and is by hash otherwise. Sets
-that reach the threshold t share one of the first ``size - ceil(t * size) + 1`` n-grams of either in this order.
+that reach the threshold t share l of the first ``size - ceil(t * size) + l`` n-grams of either in this order, for any l up to
+the smaller one's.
 
 1. Equal sets become one class, represented by their smallest key.
-2. Each class is dealt out under its prefix n-grams. An n-gram in two classes or more belongs to the smallest class that
-   holds it, its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size
-   no other class of a block comes near leaves it.
+2. Each class is dealt out under its prefix n-grams, an n-gram counting where a class of near enough size has it too. A
+   class that holds fewer than l of these links with nothing. Such an n-gram belongs to the smallest class that holds it,
+   its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size no other
+   class of a block comes near leaves it.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
    counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. Pairs that
    get to an end also have to agree in maps of slot parities, which bound the overlap of whole sets. A class that no
@@ -23,13 +25,12 @@ order are equal hashes and so equal n-grams; an empty table gives no rows; other
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -54,8 +55,21 @@ class Threshold:
         """The smallest overlap of sets of sizes a and b that links them."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def common(self, size: int) -> int:
+        """How many n-grams of their prefixes two sets have in common, if this is the smaller one's size. It rises with
+        the size: half as many again as a set may miss, plus one."""
+        return min(1 + (size - self.least(size)) // 2, self.least(size))
+
     def prefix(self, size: int) -> int:
-        return size - self.least(size) + 1
+        return size - self.least(size) + self.common(size)
+
+    def fewest(self, size: int) -> int:
+        """Prefix n-grams that a set of this size has in common with any partner at least."""
+        return self.common(self.least(size))
+
+    def near(self, a: Column, b: Column) -> Column:
+        """Whether sets of sizes a and b, a at most b, can link."""
+        return F.lit(self.num) * b <= F.lit(self.den) * a
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -160,13 +174,14 @@ def _rows(n: int, heavy_ref, t: Threshold):
         heavy = heavy_ref.value
         for b in C.small_batches(batches):
             data, off = C.string_buffer(b.column("text"))
-            size, digest, prefix, bits = [], [], [], []
+            size, digest, prefix, bits, fewest = [], [], [], [], []
             for s in shingle_sets(data, off, n):
                 bits.append(parity_bits(s))
                 size.append(len(s))
+                fewest.append(t.fewest(len(s)))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(_ordered(s, heavy)[1][: t.prefix(len(s))] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _long_lists(prefix), pa.array(bits, pa.binary())], ["key", "size", "digest", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _long_lists(prefix), pa.array(bits, pa.binary()), pa.array(fewest, pa.int64())], ["key", "size", "digest", "prefix", "bits", "fewest"])
 
     return run
 
@@ -427,29 +442,34 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def with_near_size(rows: DataFrame, t: Threshold, by: str) -> DataFrame:
+    """The rows to which another of the same ``by`` comes near enough in size: then the next by size does."""
+    order = Window.partitionBy(by).orderBy("size")
+    below, above = F.lag("size").over(order), F.lead("size").over(order)
+    marked = rows.withColumn("near", F.coalesce(t.near(below, F.col("size")), F.lit(False)) | F.coalesce(t.near(F.col("size"), above), F.lit(False)))
+    return marked.where("near").drop("near")
+
+
 def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """docs: key (unique long) and text. Gives (rows: key, size, class key; labels of linked classes: key, label)."""
     spark = docs.sparkSession
     docs = docs.select("key", "text")
     heavy = spark.sparkContext.broadcast(frequent(docs, n))
-    rows = C.written(docs.mapInArrow(_rows(n, heavy, t), "key long, size long, digest binary, prefix array<long>, bits binary"), "prefixes")
+    rows = C.written(docs.mapInArrow(_rows(n, heavy, t), "key long, size long, digest binary, prefix array<long>, bits binary, fewest long"), "prefixes")
     classes = rows.groupBy("digest").agg(F.min("key").alias("class"))
     members = C.written(rows.select("key", "size", "digest").join(classes, "digest").select("key", "size", "class"), "members")
-    filled = rows.select("key", "size", "prefix", "bits").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
+    filled = rows.select("key", "size", "prefix", "bits", "fewest").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
     filled = C.written(filled, "classes")
-    # linked sets lie in the same or in neighbouring bands of size
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(t.den / t.num)) + 1e-9).cast("int")
-    grams = filled.select("key", F.posexplode("prefix").alias("place", "gram"))
+    grams = filled.select("key", "size", F.posexplode("prefix").alias("place", "gram"))
     same = Window.partitionBy("gram")
-    shared = grams.withColumn("n", F.count("*").over(same)).withColumn("owner", F.min("key").over(same)).where("n > 1")
+    shared = with_near_size(grams, t, "gram").withColumn("owner", F.min("key").over(same))
     # a class's shared n-grams, as many as its prefix has at most, go to each owner among them. 31 bits of each are
     # enough for a bound from above, and keep the order
     short = F.struct("place", F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
     whole = shared.groupBy("key").agg(F.array_sort(F.collect_list(short)).alias("known"), F.collect_set("owner").alias("owners"))
-    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last"), "bits"), "key")
-    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"), band.alias("band"))
-    close = Window.partitionBy("owner").orderBy("band").rangeBetween(-1, 1)
-    blocks = met.withColumn("n", F.count("*").over(close)).where("n > 1").drop("n", "band")
+    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last"), "bits", "fewest"), "key").where(F.size("known") >= F.col("fewest"))
+    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"))
+    blocks = with_near_size(met, t, "owner")
     near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"), members)
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled
