@@ -494,8 +494,13 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
     """docs without all but the row with the smallest doc_id of each component. Rows without words stay; of rows that
     agree in doc_id, which then have to agree in text too, one stays; rows without doc_id stay."""
-    first = Window.partitionBy("doc_id").orderBy("text")
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    known = docs.where(F.col("doc_id").isNotNull())
+    # only rows that repeat a doc_id need be compared, so texts as a whole are not shuffled for it
+    repeated = C.written(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text")
+        one = known.join(repeated, "doc_id", "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+        known = C.written(known.join(repeated, "doc_id", "left_anti").unionByName(one), "known")
     found = join_components(known.select(F.col("doc_id").alias("key"), "text"), n, t)
     kept = found.where("key = component_id").select(F.col("key").alias("doc_id"))
     return known.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
