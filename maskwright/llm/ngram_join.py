@@ -252,24 +252,25 @@ class Block:
 
     def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool, places: list[np.ndarray] | None = None, last: np.ndarray | None = None, bits: list[bytes] | None = None):
         flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
-        vocabulary, code, times = np.unique(flat, return_inverse=True, return_counts=True)
-        self.width = len(vocabulary)
+        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
         self.t, self.whole, self.sizes, self.seqs, self.last = t, whole, sizes, seqs, last
         self.slots = [8 * len(b) for b in bits or []]
         self.bits = [int.from_bytes(b, "big") for b in bits or []]
         every = np.arange(max((len(s) for s in seqs), default=0))
         self.places = places or [every[: len(s)] for s in seqs]
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
-        code = code.astype(np.int32)
-        self.codes = [code[a:b] for a, b in zip(bounds, bounds[1:])]
+        # a token of one set only cannot match; without it near copies share long paths and maps of tokens stay small
+        often = times > 1
+        self.width = int(often.sum())
+        code, matters = (np.cumsum(often) - 1)[code].astype(np.int32), often[code]
+        shared = [matters[a:b] for a, b in zip(bounds, bounds[1:])]
+        self.codes = [code[a:b][m] for a, b, m in zip(bounds, bounds[1:], shared)]
         self.known = np.array([t.prefix(int(z)) for z in sizes])
-        # a token of one set only cannot match; without it near copies share long paths
-        shared = [times[c] > 1 for c in self.codes]
         self.bands = np.floor(np.log(np.maximum(sizes, 1)) / np.log(t.den / t.num) + 1e-9).astype(int)
         self.tries: dict[int, tuple[Trie, np.ndarray]] = {}
         for band in np.unique(self.bands):
             ids = np.flatnonzero(self.bands == band)
-            trie = Trie([self.codes[k][shared[k]] for k in ids], sizes[ids], [self.places[k][shared[k]] for k in ids])
+            trie = Trie([self.codes[k] for k in ids], sizes[ids], [self.places[k][shared[k]] for k in ids])
             self.tries[int(band)] = (trie, ids[trie.order])
 
     def _rest(self, y: int, x: int) -> int:
@@ -295,7 +296,7 @@ class Block:
 
     def _down(self, trie: Trie, ids: np.ndarray, ys: np.ndarray, who: np.ndarray, mask: np.ndarray, comp: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All of ys[who] go down the trie together, a level at a time."""
-        t = self.t
+        t, flat = self.t, mask.ravel()
         nodes, overlap = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
         labels = comp[ids] if comp is not None else None
         # one label throughout a node: its own, else -1
@@ -340,7 +341,8 @@ class Block:
                 z = slice(a, a + 20_000)
                 n = span[z]
                 pos = np.repeat(trie.start[child[z]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                hits[z] = np.add.reduceat(mask[np.repeat(who[k[z]], n), trie.tokens[pos]].astype(np.int64), np.cumsum(n) - n)
+                cell = np.repeat(who[k[z]] * self.width, n) + trie.tokens[pos]
+                hits[z] = np.add.reduceat(flat[cell], np.cumsum(n) - n, dtype=np.int64)
             over = overlap[k] + hits
             size = self.sizes[ys[who[k]]]
             need = -(-t.num * (size + trie.low[child]) // (t.num + t.den))
