@@ -11,7 +11,8 @@ the smaller one's.
    its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size no other
    class of a block comes near leaves it.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
-   counted once, and leaves a subtree whose remaining length cannot lift the overlap to the threshold. Pairs that
+   counted once, and leaves a subtree whose remaining length (or, past its own prefix, what it has left itself) cannot
+   lift the overlap to the threshold. Pairs that
    get to an end also have to agree in maps of slot parities, which bound the overlap of whole sets. A class that no
    other can reach drops out of the block.
 4. Blocks that still share classes merge. The same trie over whole sets gives exact overlaps. Subtrees that lie in the class's own
@@ -252,7 +253,7 @@ class Block:
 
     def __init__(self, seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold, whole: bool, places: list[np.ndarray] | None = None, last: np.ndarray | None = None, bits: list[bytes] | None = None):
         flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
-        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        tokens, code, times = np.unique(flat, return_inverse=True, return_counts=True)
         self.t, self.whole, self.sizes, self.seqs, self.last = t, whole, sizes, seqs, last
         self.slots = [8 * len(b) for b in bits or []]
         self.bits = [int.from_bytes(b, "big") for b in bits or []]
@@ -266,6 +267,9 @@ class Block:
         shared = [matters[a:b] for a, b in zip(bounds, bounds[1:])]
         self.codes = [code[a:b][m] for a, b, m in zip(bounds, bounds[1:], shared)]
         self.known = np.array([t.prefix(int(z)) for z in sizes])
+        if not whole:
+            # codes from here on may stand past the prefix's last token
+            self.past = np.searchsorted(tokens[often], last >> np.uint64(33), side="left")
         self.bands = np.floor(np.log(np.maximum(sizes, 1)) / np.log(t.den / t.num) + 1e-9).astype(int)
         self.tries: dict[int, tuple[Trie, np.ndarray]] = {}
         for band in np.unique(self.bands):
@@ -346,7 +350,13 @@ class Block:
             over = overlap[k] + hits
             size = self.sizes[ys[who[k]]]
             need = -(-t.num * (size + trie.low[child]) // (t.num + t.den))
-            keep = over + np.minimum(trie.after[child], size) >= need
+            rest = trie.after[child]
+            if not self.whole:
+                # past the asking prefix's last token nothing is counted, so that all after its prefix may match
+                asks = ys[who[k]]
+                past = trie.tokens[trie.stop[child] - 1] >= self.past[asks]
+                rest = np.where(past, np.maximum(rest, size - self.known[asks]), rest)
+            keep = over + np.minimum(rest, size) >= need
             nodes, overlap, who = child[keep], over[keep], who[k[keep]]
 
 

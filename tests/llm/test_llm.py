@@ -78,6 +78,41 @@ def test_join_equals_brute_force(docs, n, num):
     assert {k: r["n_shingles"] for k, r in got.items()} == size
 
 
+def prefixes(sets, t):
+    """What a block holds of whole sets: the arguments of reachable."""
+    ranks = [np.sort(s >> np.uint64(1)) for s in sets]
+    known = [r[: t.prefix(len(r))] for r in ranks]
+    times = dict(zip(*np.unique(np.concatenate(known), return_counts=True)))
+    places = [np.flatnonzero([times[g] > 1 for g in k]) for k in known]
+    seqs = [k[p] >> np.uint64(33) for k, p in zip(known, places)]
+    return seqs, places, np.array([k[-1] for k in known]), [ngram_join.parity_bits(s) for s in sets], np.array([len(s) for s in sets]), t
+
+
+def test_prefix_stage_keeps_a_larger_set_that_holds_a_found_one():
+    t = ngram_join.Threshold(90, 100)
+    token = lambda place, slot: (place << 40) | slot  # noqa: E731  slots apart, so that parities count exactly
+    x = [token(10 * k + 10, k) for k in range(100)]
+    y = x + [token(p, 100 + i) for i, p in enumerate([15, 25, *range(1001, 1009)])]
+    copies = [x[:-1] + [token(2000 + k, 110 + k % 18)] for k in range(299)]
+    sets = [np.array(s, np.uint64) for s in (*copies, x, y)]
+    assert ngram_join.reachable(*prefixes(sets, t)).all()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_prefix_stage_keeps_all_links_of_mixed_lengths(seed):
+    rng, t, sets = np.random.default_rng(seed), ngram_join.Threshold(90, 100), []
+    for size in (100, 60, 200):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for _ in range(130):
+            kept = rng.permutation(base)[: size - int(rng.integers(0, size // 12))]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(0, 1 << 63, int(rng.integers(0, size // 8))).astype(np.uint64)))))
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    found = ngram_join.reachable(*prefixes(sets, t))
+    of = [set(s.tolist()) for s in sets]
+    linked = [any(k != j and len(a & b) >= t.needed(len(a), len(b)) for j, b in enumerate(of)) for k, a in enumerate(of)]
+    assert all(f for f, x in zip(found, linked) if x)
+
+
 def test_keep_one_keeps_columns(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 104 or doc_id = 202").count() == 1
