@@ -1,13 +1,15 @@
 """License scans in DataFrame operations only: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-A template is a short licence notice. Each line of a text that holds a word of some template is a header candidate; a
-whole text whose words are mostly licence words is a licence file. Either is compared to every template by the cosine
-of TF-IDF vectors over the templates' words and one class for all other words, and takes the best template at or above
-``least``. A file without an own licence inherits the one of the nearest ancestor directory that has a licence file: a
-file joins the directory's licences on each of its ancestor paths, of which its depth bounds the number.
+A template is a short licence notice or the full text of a licence (``license_texts``). Each run of at most ``WRAP``
+adjacent lines that holds part of a word that tells of licences is a header candidate and is compared to the notices;
+a whole text that holds such a part is compared to notices and full texts, whatever its length, and is a licence file
+from ``least`` on. The score is the cosine of TF-IDF vectors over the templates' words, each other word weighing as one
+that is in no template; the best template at or above ``least`` is taken, of a licence file the whole text's. A file
+without an own licence inherits the one of the nearest ancestor directory that has a licence file: a file joins the
+directory's licences on each of its ancestor paths, of which its depth bounds the number.
 
-The vocabulary and the templates are fixed tables, so what is broadcast does not grow with the corpus. Lines without a
-template word are never exploded into words.
+The vocabulary and the templates are fixed tables, so what is broadcast does not grow with the corpus. Texts without a
+telling part are never exploded into words.
 
 Cases: null and empty texts have no own licence; repeated rows get the same answer; of templates with one score the
 first by name wins; of licence files in one directory the best score, then the first name, wins; a null path has no
@@ -16,10 +18,12 @@ ancestors; an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +41,8 @@ TEMPLATES = {
     "mpl-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 LEAST = 0.75
+#: A notice may be broken over so many lines.
+WRAP = 6
 _WORD = "[a-z]+(?:-[a-z]+)*|[0-9]+(?:\\.[0-9]+)*"
 #: Parts of words that name licences or their terms; a line without any of them is no header, whatever else it shares.
 TELLING = ("licen", "apache", "gnu", "mozilla", "redistribution", "permitted", "cc by")
@@ -46,45 +52,40 @@ def _words(text: str) -> list[str]:
     return re.findall(_WORD, text.lower())
 
 
-def vectors(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """(inverse document frequency of each word, unit TF-IDF vector of each template)."""
+def vectors(templates: dict[str, str], damp: bool = False) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """(inverse document frequency of each word, unit TF-IDF vector of each template). damp: a word that comes n times
+    counts 1 + log n, so that the words of any prose do not outweigh all others in long texts."""
     df = Counter(w for t in templates.values() for w in set(_words(t)))
     idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
     out = {}
     for name, text in templates.items():
-        v = {w: n * idf[w] for w, n in Counter(_words(text)).items()}
+        v = {w: (1 + math.log(n) if damp else n) * idf[w] for w, n in Counter(_words(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         out[name] = {w: x / norm for w, x in v.items()}
     return idf, out
 
 
-def _equals(word: str):
-    return lambda x: x == F.lit(word)
+def full_texts() -> dict[str, str]:
+    """The whole texts of licences by name."""
+    return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 
-def _best(words: Column, templates: dict[str, str]) -> Column:
-    """struct(score, name) of the best template for an array of words; words of no template share one dimension."""
-    idf, unit = vectors(templates)
+def _best(bags: DataFrame, keys: list[str], templates: dict[str, str], damp: bool = False) -> DataFrame:
+    """keys and best, a struct(o, name, score) of the best template for each array of words; o is the negative score.
+    Each word of no template counts once, at the weight of a word that is nowhere."""
+    idf, unit = vectors(templates, damp)
+    names = sorted(templates)
     other = math.log(1 + len(templates)) + 1
-    known = F.filter(words, lambda w: w.isin(*idf))
-    count = {w: F.size(F.filter(known, _equals(w))).cast("double") for w in idf}
-    # an array of counts in the order of the vocabulary, made once
-    tf = F.array(*(count[w] for w in idf))
-    order = {w: k for k, w in enumerate(idf)}
-
-    def scored(tf: Column) -> Column:
-        weight = F.zip_with(tf, F.array(*(F.lit(x) for x in idf.values())), lambda a, b: a * b)
-        others = (F.size(words) - F.size(known)).cast("double")
-        norm = F.sqrt(F.aggregate(weight, F.lit(0.0), lambda acc, x: acc + x * x) + others * F.lit(other * other))
-        dots = []
-        for name, v in unit.items():
-            dense = [v.get(w, 0.0) for w in order]
-            dot = F.aggregate(F.zip_with(weight, F.array(*map(F.lit, dense)), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-            dots.append(F.struct(F.round(dot / norm, 6).alias("score"), F.lit(name).alias("name")))
-        best = F.aggregate(F.array(*dots), F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("name")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-        return best
-
-    return scored(tf)
+    table = json.dumps([{"word": w, "idf": x, "unit": [unit[name].get(w, 0.0) for name in names]} for w, x in idf.items()])
+    rows = bags.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<word:string,idf:double,unit:array<double>>>")))
+    counts = bags.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("times"))
+    weight = (F.log("times") + 1 if damp else F.col("times")) * F.col("idf")
+    found = counts.join(F.broadcast(C.written(rows, "license-words")), "word", "left").withColumn("w", weight)
+    square = F.sum(F.coalesce(F.col("w") * F.col("w"), F.col("times") * F.lit(other * other)))
+    dots = [F.coalesce(F.sum(F.col("w") * F.col("unit")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(len(names))]
+    sums = found.groupBy(*keys).agg(square.alias("square"), *dots)
+    score = [F.round(F.col(f"d{k}") / F.sqrt("square"), 6) for k in range(len(names))]
+    return sums.select(*keys, F.array_min(F.array(*(F.struct((-x).alias("o"), F.lit(name).alias("name"), x.alias("score")) for name, x in zip(names, score)))).alias("best"))
 
 
 def _tells(text: Column) -> Column:
@@ -92,25 +93,27 @@ def _tells(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in TELLING])
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, texts: dict[str, str] | None = None) -> DataFrame:
     """(id, path, own, own_score, is_file) of files (id, path, text)."""
-    lines = F.filter(F.split("text", "\n"), _tells)
     # one pass over all texts; only the few that hold such a word are split
-    cut = F.when(_tells(F.col("text")), F.transform(lines, lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_WORD})"), 1)))
-    # a licence file: at most twice as many words as the longest template has, nine tenths of them in candidate lines
-    longest = 2 * max(len(_words(t)) for t in templates.values())
-    short = F.when(_tells(F.col("text")) & (F.length("text") <= 40 * longest), F.regexp_count(F.col("text"), F.lit("\\S+")))
-    seen = C.written(files.select("id", "path", cut.alias("lines"), short.alias("words")), "license-lines")
-    inside = F.aggregate("lines", F.lit(0), lambda acc, x: acc + F.size(x))
-    best = F.aggregate("lines", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("name")), lambda a, x: _better(a, _best(x, templates)))
-    marked = seen.where("lines is not null").select("id", "path", best.alias("best"), ((F.col("words") <= longest) & (10 * inside >= 9 * F.col("words"))).alias("is_file"))
-    found = C.written(marked, "license-scores").unionByName(seen.where("lines is null").select("id", "path", F.lit(None).cast(marked.schema["best"].dataType).alias("best"), F.lit(False).alias("is_file")))
-    good = F.col("best.score") >= least
-    return found.select("id", "path", F.when(good, F.col("best.name")).alias("own"), F.when(good, F.col("best.score")).alias("own_score"), F.coalesce("is_file", F.lit(False)).alias("is_file"))
-
-
-def _better(a: Column, b: Column) -> Column:
-    return F.when(b["score"] > a["score"], b).otherwise(a)
+    cut = F.when(_tells(F.col("text")), F.col("text"))
+    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-lines")
+    telling = seen.where("text is not null")
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_WORD})"), 1)
+    # headers: every run of at most WRAP lines of which one tells
+    lines = telling.select("row", F.transform(F.split("text", "\n"), lambda x: F.struct(_tells(x).alias("tells"), words(x).alias("words"))).alias("lines"))
+    starts = lines.select("row", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("start")).select("row", "start", F.slice("lines", F.col("start"), WRAP).alias("run"))
+    near = starts.where(F.exists("run", lambda x: x["tells"])).select("row", "start", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
+    runs = near.select("row", "start", "n", F.slice("run", F.lit(1), F.col("n")).alias("run")).where(F.exists("run", lambda x: x["tells"]))
+    headers = _best(runs.select("row", "start", "n", F.flatten(F.transform("run", lambda x: x["words"])).alias("words")), ["row", "start", "n"], templates)
+    header = headers.groupBy("row").agg(F.min("best").alias("header"))
+    # licence files: the whole text, whatever its length, is a notice or a licence
+    bags = telling.select("row", words(F.col("text")).alias("words"))
+    whole = _best(bags, ["row"], templates).union(_best(bags, ["row"], full_texts() if texts is None else texts, True)).groupBy("row").agg(F.min("best").alias("whole"))
+    found = seen.select("row", "id", "path").join(C.written(whole.join(header, "row", "left"), "license-scores"), "row", "left")
+    is_file = F.coalesce(F.col("whole.score") >= least, F.lit(False))
+    best = F.when(is_file, F.col("whole")).when(F.col("header.score") >= least, F.col("header"))
+    return found.select("id", "path", best["name"].alias("own"), best["score"].alias("own_score"), is_file.alias("is_file"))
 
 
 def _parent(path: Column) -> Column:

@@ -186,6 +186,19 @@ def test_licenses_inherit(spark):
     assert got == {1: ("mit", "own"), 2: ("mit", "inherited"), 3: (None, "none"), 4: ("apache-2.0", "own"), 5: (None, "none")}
 
 
+def test_full_licence_texts_are_licence_files(spark):
+    full = licenses.full_texts()
+    rows = [(2 * k, f"{name}/LICENSE", f"Copyright (c) 2024 Somebody Else\n\n{text}") for k, (name, text) in enumerate(full.items())]
+    rows += [(2 * k + 1, f"{name}/src/x.py", "plain") for k, name in enumerate(full)]
+    prose = "the cat and the dog of the house went to a town in order to be licensed, " * 3000
+    wrapped = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met."
+    rows += [(100, "p/LICENSE", prose), (101, "p/x", "plain"), (102, "q/y.py", f"import os\n{wrapped}\nx = 1\n" + "y = os.name\n" * 50), (103, "q/z.py", "plain")]
+    got = {r["id"]: (r["license"], r["how"]) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    for k, name in enumerate(full):
+        assert got[2 * k] == (name, "own") and got[2 * k + 1] == (name, "inherited")
+    assert got[100] == got[101] == got[103] == (None, "none") and got[102] == ("bsd-3-clause", "own")
+
+
 def test_chat_blocks_agree_with_one_block(spark, monkeypatch):
     rng = np.random.default_rng(4)
     model = chat.Model(np.log([0.3, 0.3, 0.4]), np.log(rng.dirichlet(np.ones(3), 3)), [np.log(rng.dirichlet(np.ones(v), 3)) for v in chat.FEATURES.values()])
