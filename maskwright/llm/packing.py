@@ -109,14 +109,109 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> list[tuple[int, list[int]]]:
+def fewest_bins(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences (Martello and Toth's bound L2)."""
+    best = 0
+    big = {x: n for x, n in counts.items() if 2 * x > capacity}
+    small = sorted((x for x in counts if 2 * x <= capacity), reverse=True)
+    rest = 0
+    for least in [capacity // 2 + 1, *small]:
+        rest += least * counts[least] if 2 * least <= capacity else 0
+        room = sum((capacity - x) * n for x, n in big.items() if x <= capacity - least)
+        best = max(best, sum(big.values()) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000, work: int = 6_000_000) -> list[tuple[int, list[int]]]:
     """(times, lengths) patterns that use up the histogram ``counts``.
 
-    Around the largest length left, depth-first search enumerates fillings with longer pieces first. A filling whose
-    pieces could be merged into a longer available one is dominated and is met later; a branch ends when even the room
-    left cannot beat the incumbent's waste. The incumbent starts as best fit, and a full sequence ends the search. After
-    ``nodes`` nodes the incumbent stands.
+    The incumbent fills sequence by sequence around the largest length left (``_greedy``, at most ``nodes`` nodes each).
+    If it has more sequences than the lower bound, branch and bound over whole packings follows (``_branch``), which
+    is exact unless it ends after ``work`` lengths looked at; then the best packing found so far stands, which may have
+    more sequences than needed.
     """
+    counts = {k: v for k, v in counts.items() if v}
+    out = _greedy(counts, capacity, nodes)
+    found = sum(t for t, _ in out)
+    least = fewest_bins(counts, capacity)
+    # little waste is allowed first, which leaves little to search; the last goal is one sequence less than found
+    goals = sorted({least, min(found - 1, least + 7), found - 1}) if found > least else []
+    for goal in goals:
+        if better := _branch(counts, capacity, goal + 1, work // len(goals)):
+            return better
+    return out
+
+
+def _fillings(room: int, have: list[int], use: tuple[int, ...], slack: int):
+    """Undominated fillings of ``room`` with at most ``slack`` waste, as counts of ``have`` (longest first): none of
+    their pieces, and no room left, can take a longer piece that is still there. None stands for a step of the search."""
+    low = [0] * (len(have) + 1)  # the most that lengths from here on hold
+    for k in range(len(have) - 1, -1, -1):
+        low[k] = low[k + 1] + have[k] * use[k]
+    stack = [(0, room, ())]
+    while stack:
+        k, r, took = stack.pop()
+        yield None
+        if r - low[k] > slack:
+            continue
+        if k == len(have) or not r:
+            took += (0,) * (len(have) - len(took))
+            free = [x for x, n, m in zip(have, use, took) if n > m]
+            if not any(x <= r for x in free) and not any(m and any(x < y <= x + r for y in free) for x, m in zip(have, took)):
+                yield took
+            continue
+        stack += [(k + 1, r - n * have[k], (*took, n)) for n in range(min(use[k], r // have[k]) + 1)]
+
+
+def _branch(counts: dict[int, int], capacity: int, most: int, work: int) -> list[tuple[int, list[int]]] | None:
+    """The best packing in fewer than ``most`` sequences, if the search finds one. Each node branches over the
+    undominated fillings around the largest length left, as often as it can be repeated and once, and is left where
+    the waste so far shows that the best packing cannot be beaten, or its rest was met with as few sequences."""
+    have = sorted(counts, reverse=True)
+    least = fewest_bins(counts, capacity)
+    stack = [(tuple(counts[x] for x in have), 0, None)]
+    met: dict[tuple[int, ...], int] = {}
+    best = None
+    while stack and work > 0:
+        left, bins, plan = stack.pop()
+        work -= len(left)
+        slack = (most - 1 - bins) * capacity - sum(x * n for x, n in zip(have, left))
+        if slack < 0 or met.get(left, most) <= bins:
+            continue
+        met[left] = bins
+        top = next((k for k, n in enumerate(left) if n), None)
+        if top is None:
+            best, most = plan, bins
+            if most <= least:
+                break
+            continue
+        use = (*left[:top], left[top] - 1, *left[top + 1 :])
+        found = []
+        for took in _fillings(capacity - have[top], have, use, slack):
+            work -= 1 if took is None else len(left)
+            if work <= 0:
+                break
+            if took is not None:
+                found.append((*took[:top], took[top] + 1, *took[top + 1 :]))
+        wastes = [capacity - sum(x * n for x, n in zip(have, f)) for f in found]
+        order = sorted(range(len(found)), key=lambda k: -wastes[k])  # the least waste is popped first
+        times = [min(n // m for n, m in zip(left, f) if m) for f in found]
+        # all repeated fillings are tried before single ones
+        for k, t in [(k, 1) for k in order if times[k] > 1] + [(k, times[k]) for k in order]:
+            stack.append((tuple(n - t * m for n, m in zip(left, found[k])), bins + t, (t, found[k], plan)))
+    if best is None:
+        return None
+    out = []
+    while best is not None:
+        times, took, best = best
+        out.append((times, [x for x, n in zip(have, took) for _ in range(n)]))
+    return out[::-1]
+
+
+def _greedy(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
+    """Around the largest length left, depth-first search looks for the filling with least waste, longer pieces first,
+    starting from best fit; a full sequence ends it, and after ``nodes`` nodes the best filling stands. The filling is
+    repeated as often as it can be, without going back."""
     left = np.zeros(capacity + 1, np.int64)
     for k, v in counts.items():
         if not 0 < k <= capacity:

@@ -53,6 +53,36 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert sum(t for t, _ in packing.complete_bins({5: 4, 3: 2, 2: 2}, 10)) == 3
 
 
+@pytest.mark.parametrize("times", [1, 3, 1000])
+def test_bin_completion_goes_back_on_repeated_lengths(times):
+    counts = {k: n * times for k, n in {60: 1, 58: 1, 45: 2, 30: 1, 20: 2, 12: 1, 10: 1}.items()}
+    got = packing.complete_bins(counts, 100)
+    assert sum(t for t, _ in got) == 3 * times and all(sum(p) <= 100 for _, p in got)
+    assert {k: sum(t * p.count(k) for t, p in got) for k in counts} == counts
+
+
+def test_bin_completion_equals_brute_force():
+    def fits(pieces, rooms):
+        if not pieces:
+            return True
+        tried = set()
+        for k, r in enumerate(rooms):
+            if pieces[0] <= r and r not in tried:
+                tried.add(r)
+                if fits(pieces[1:], [*rooms[:k], r - pieces[0], *rooms[k + 1 :]]):
+                    return True
+        return False
+
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        pieces = sorted(rng.integers(5, 60, int(rng.integers(6, 12))).tolist(), reverse=True)
+        counts = {x: pieces.count(x) for x in pieces}
+        got = packing.complete_bins(counts, 100)
+        n = next(k for k in range(1, 20) if fits(pieces, [100] * k))
+        assert sum(t for t, _ in got) == n >= packing.fewest_bins(counts, 100)
+        assert {k: sum(t * p.count(k) for t, p in got) for k in counts} == counts and all(sum(p) <= 100 for _, p in got)
+
+
 def brute(texts, n, num, den):
     sets = {}
     for k, t in texts.items():
