@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[str, None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,26 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node sees: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder every node sees: spark.checkpoint.dir, or an own one where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="maskwright-"))
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    _KEPT.pop(path, None)
+    with contextlib.suppress(Exception):  # the session may be gone already; the folder is only scratch
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may be gone already; the folder is only scratch
-        pass
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by release(), or else when the driver ends."""
     path = f"{shared_dir(spark)}/maskwright-scratch/{name}-{uuid.uuid4().hex}"
+    _KEPT[path] = None
     atexit.register(_remove, spark, path)
     return path
 
@@ -48,7 +51,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and lost executors cost nothing above it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote; nothing may read these tables, or what is made of them, any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
+
+
+def kept() -> list[str]:
+    """The scratch paths that stand now."""
+    return list(_KEPT)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes scratch tables whose readers have been written."""
+    for path in paths:
+        _remove(spark, path)
+    settle(spark)
+
+
+def settle(spark: SparkSession, *tables: DataFrame) -> None:
+    """Drops tables, and lets Spark's cleaner remove the shuffle files of queries that are over: it acts on the driver's
+    garbage collection, which a quiet driver may put off until disks are full."""
+    drop(*tables)
+    spark.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -104,12 +134,17 @@ def _span_words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[inner] |= ok[1:-1][inner]
     last[inner - 1] |= ok[1:-1][inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return span_hashes(b, starts, ends), starts, ends
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each b[start:end] that does not depend on where it stands."""
     p, q = _powers(len(b) + 1)
     with np.errstate(over="ignore"):
         s = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=s[1:])
         h = (s[ends] - s[starts]) * q[starts] + (ends - starts).astype(np.uint64)
-    return mix(h), starts, ends
+    return mix(h)
 
 
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

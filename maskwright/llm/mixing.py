@@ -4,23 +4,30 @@ Each document of size s in a source gets the rate min(3, exp(lambda * s / scale)
 entropy under the source's token constraint sum(rate * s) = target and the bound of 3 copies. The dual has one variable
 a source and is convex; distributed Newton steps solve it over the histogram of (source, size), each step one
 aggregation. Rates become whole copies cell by cell, largest sizes first; a cell's rounding error is carried to the
-next smaller size, so a source misses its target by about half of its smallest document at most. Within a cell the
-copies beyond the common number go to the rows that come first by hash, so reruns agree.
-
-Cases: null and empty texts have size 0 and are taken 0 times; null sources are a source of their own, which sorts
-last; repeated rows are separate documents; an empty table gives no rows; an own column of an output's name gives way.
+next smaller size. Cells are rounded in chunks of ``CHUNK`` sizes, and what the chunks leave goes to the one with the
+smallest sizes, so that a source misses its target by about half of its smallest document. Within a cell the copies
+beyond the common number go to the rows that come first by hash, up to a cut-off, so reruns agree and texts are read
+where they lie: only (source, size, hash) is dealt out.
+
+Cases: null and empty texts have size 0 and are taken 0 times (``mix_rows`` leaves them as they are); null sources are
+a source of their own, which sorts last; repeated rows are separate documents, of which as many as needed get the copy
+more; an empty table gives no rows; own columns of any name are kept, also those named like an output of op10.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 ROUNDS = 60
+CHUNK = 256
+#: Up to so many cells (28 MB) are sent to all; beyond that rows and cells are shuffled.
+BROADCAST_CELLS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -78,61 +85,90 @@ def solve(cells: DataFrame, goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return state.select("source", F.when(F.col("full"), F.col("hi") + 1e6).otherwise(F.col("lam")).alias("lam"), "scale")
 
 
+def _null_safe(a: str, b: str, *more: str) -> Column:
+    same = F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for c in more:
+        same &= F.col(f"{a}.{c}") == F.col(f"{b}.{c}")
+    return same
+
+
 def cell_copies(cells: DataFrame, goal: DataFrame, duals: DataFrame) -> DataFrame:
-    """(source, size, n, copies): whole copies for each cell. A source's cells meet in one row; there are as many as it
-    has different sizes, which the longest document bounds, whatever the number of rows."""
-    t = duals.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.source", "lam", "scale", "target")
-    rated = cells.alias("c").join(F.broadcast(t.alias("t")), F.col("c.source").eqNullSafe(F.col("t.source"))).select("t.source", "target", F.struct((-F.col("size")).alias("order"), "size", "n", (F.col("n") * F.when(F.col("target") > 0, _rate(F.col("lam"), F.col("size") / F.col("scale"))).otherwise(0.0)).alias("want")).alias("cell"))
-    grouped = rated.groupBy("source").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    kind = "array<struct<size:bigint,n:bigint,copies:bigint>>"
-    fold = F.expr(
-        f"""aggregate(cells, named_struct('carry', 0.0D, 'last', cast(null as struct<size:bigint,n:bigint,copies:bigint>), 'out', cast(array() as {kind})),
-          (a, c) -> named_struct('carry', a.carry + c.want * c.size - least({MOST_COPIES} * c.n, greatest(0, cast(round((a.carry + c.want * c.size) / c.size) as bigint))) * c.size,
-            'last', a.last, 'out', array_append(a.out, named_struct('size', c.size, 'n', c.n, 'copies', least({MOST_COPIES} * c.n, greatest(0, cast(round((a.carry + c.want * c.size) / c.size) as bigint)))))),
-          a -> a.out)"""
-    )
-    return grouped.select("source", F.inline(fold))
-
-
-def mix_sizes(sized: DataFrame, keep: list[str], key: list[str]) -> DataFrame:
-    """sized: columns ``keep`` (with source and size among them, read more than once: give a written table).
-
-    Adds source_size, target and copies. ``key`` names the columns that order rows within a cell.
-    """
+    """(source, size, n, copies): whole copies for each cell, rounded in chunks of neighbouring sizes."""
+    t = duals.alias("d").join(goal.alias("g"), _null_safe("d", "g")).select("d.source", "lam", "scale", "target")
+    want = F.when(F.col("target") > 0, _rate(F.col("lam"), F.col("size") / F.col("scale"))).otherwise(0.0) * F.col("n")
+    cell = F.struct((-F.col("size")).alias("order"), "size", "n", want.alias("want")).alias("cell")
+    # chunk 0 has the smallest sizes
+    chunk = F.floor((F.row_number().over(Window.partitionBy("t.source").orderBy("size")) - 1) / CHUNK).alias("chunk")
+    rated = cells.alias("c").join(F.broadcast(t.alias("t")), _null_safe("c", "t")).select("t.source", cell, chunk)
+    grouped = rated.groupBy("source", "chunk").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    whole = f"least({MOST_COPIES} * c.n, greatest(0, cast(round((a.carry + c.want * c.size) / c.size) as bigint)))"
+    fold = f"""aggregate(cells, named_struct('carry', start, 'out', cast(array() as array<struct<size:bigint,n:bigint,copies:bigint>>)),
+          (a, c) -> named_struct('carry', a.carry + c.want * c.size - {whole} * c.size, 'out', array_append(a.out, named_struct('size', c.size, 'n', c.n, 'copies', {whole}))))"""
+    upper = C.written(grouped.where("chunk > 0").withColumn("start", F.lit(0.0)).select("source", F.expr(fold).alias("done")), "chunks")
+    left = upper.groupBy("source").agg(F.sum("done.carry").alias("left"))
+    lower = grouped.where("chunk = 0").alias("g").join(left.alias("l"), _null_safe("g", "l"), "left").select("g.source", "cells", F.coalesce("left", F.lit(0.0)).alias("start"))
+    return upper.union(lower.select("source", F.expr(fold).alias("done"))).select("source", F.inline("done.out"))
+
+
+def cell_plan(sized: DataFrame) -> DataFrame:
+    """One row for each (source, size) of ``sized`` (source, size, h; a written table): source_size, target, and, for
+    sizes above 0, common (copies of every row), cut, extra and same: rows with h below cut get one more, and so do
+    ``extra`` of the ``same`` rows whose h is cut."""
     cells = C.written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     goal = targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))).checkpoint()
     filled = cells.where("size > 0")
     copies = cell_copies(filled, goal, solve(filled, goal))
-    copies = copies.alias("k").join(F.broadcast(goal.alias("g")), F.col("k.source").eqNullSafe(F.col("g.source"))).select("k.*")
-    # ranks within a cell, in up to 1024 parts, so that a hot cell is no single task
-    part = F.shiftrightunsigned(C.crc_order(*key), 54).cast("int")
-    rows = sized.select(*keep, part.alias("part__"))
-    parts = rows.groupBy("source", "size", "part__").agg(F.count("*").alias("rows__"))
-    before = Window.partitionBy("source", "size").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    plan = parts.withColumn("before__", F.coalesce(F.sum("rows__").over(before), F.lit(0)))
-    plan = plan.alias("p").join(copies.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size")), "left").select("p.source", "p.size", "part__", "before__", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("copies", F.lit(0)).alias("cell_copies"))
-    plan = plan.alias("p").join(F.broadcast(goal.alias("g")), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_size", "target")
-    rank = Window.partitionBy("source", "size", "part__").orderBy(*key)
-    ranked = rows.withColumn("rank__", F.row_number().over(rank) - 1)
-    joined = ranked.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.part__") == F.col("p.part__")))
-    common, rest = F.floor(F.col("cell_copies") / F.col("n")), F.col("cell_copies") % F.col("n")
-    copies_of = (common + F.when(F.col("before__") + F.col("rank__") < rest, 1).otherwise(0)).cast("int")
-    return joined.select(*(F.col(f"r.{c}") for c in keep), F.col("source_size").cast("long").alias("source_size"), "target", copies_of.alias("copies"))
+    rest = copies.select("source", "size", F.floor(F.col("copies") / F.col("n")).alias("common"), (F.col("copies") % F.col("n")).alias("rest"))
+    rest = C.written(rest, "rest")
+    # the part of each cell, by the upper bits of h, in which the cut-off lies; only there rows are ordered
+    part = F.shiftright("h", 54)
+    parts = sized.where("size > 0").groupBy("source", "size", part.alias("part")).agg(F.count("*").alias("rows"))
+    so_far = F.sum("rows").over(Window.partitionBy("source", "size").orderBy("part"))
+    parts = parts.withColumn("upto", so_far).alias("p").join(rest.alias("r"), _null_safe("p", "r", "size")).where("rest > upto - rows and rest <= upto")
+    parts = parts.select("p.source", "p.size", "part", (F.col("rest") - F.col("upto") + F.col("rows")).alias("within"))
+    values = sized.where("size > 0").withColumn("part", part).alias("v").join(parts.alias("p"), _null_safe("v", "p", "size", "part")).groupBy("p.source", "p.size", "p.part", "h").agg(F.count("*").alias("same"), F.first("within").alias("within"))
+    upto = F.sum("same").over(Window.partitionBy("source", "size", "part").orderBy("h"))
+    cuts = values.withColumn("upto", upto).where("within > upto - same and within <= upto").select("source", "size", F.col("h").alias("cut"), "same", (F.col("within") - F.col("upto") + F.col("same")).alias("extra"))
+    plan = cells.alias("c").join(F.broadcast(goal.alias("g")), _null_safe("c", "g")).select("c.source", "c.size", F.col("source_size").cast("long").alias("source_size"), "target")
+    plan = plan.alias("p").join(rest.alias("r"), _null_safe("p", "r", "size"), "left").select("p.*", "common")
+    plan = plan.alias("p").join(cuts.alias("k"), _null_safe("p", "k", "size"), "left").select("p.*", "cut", "same", "extra")
+    return C.written(plan, "plan")
+
+
+def with_copies(docs: DataFrame) -> DataFrame:
+    """(row, a struct of all columns of docs; size, source_size, target, copies). docs: source, text and any others."""
+    C.shared_dir(docs.sparkSession)
+    maps = [f.name for f in docs.schema if isinstance(f.dataType, T.MapType)]
+    col = lambda c: F.col(f"`{c}`")
+    plain = [F.array_sort(F.map_entries(col(c))).alias(c) if c in maps else col(c) for c in docs.columns]
+    rows = docs.select(F.struct(*plain).alias("row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(*plain).alias("h"))
+    plan = cell_plan(C.written(rows.select("source", "size", "h"), "sizes"))
+    met = rows.alias("r").join(F.broadcast(plan.alias("p")) if plan.count() <= BROADCAST_CELLS else plan.alias("p"), _null_safe("r", "p", "size"))
+    known = met.select("row", "r.size", "source_size", "target", F.coalesce("common", F.lit(0)).alias("common"), "h", "cut", "same", "extra")
+    tied = F.coalesce((F.col("h") == F.col("cut")) & (F.col("extra") < F.col("same")), F.lit(False))
+    one_more = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)).cast("long")
+    out = known.where(~tied).select("row", "size", "source_size", "target", (F.col("common") + one_more).cast("int").alias("copies"))
+    if not plan.where("extra < same").isEmpty():
+        # rows with one hash, mostly equal ones: counted, they share the copies that are left in the order of their values
+        by = ["row", "size", "source_size", "target", "common", "h", "extra"]
+        equal = known.where(tied).groupBy(*by).agg(F.count("*").alias("times"))
+        before = F.coalesce(F.sum("times").over(Window.partitionBy("size", "source_size", "h", F.col("row.source")).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        more = equal.withColumn("more", F.greatest(F.lit(0), F.least("times", F.col("extra") - before))).select(*by, "more", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
+        out = out.union(more.select("row", "size", "source_size", "target", (F.col("common") + (F.col("k") <= F.col("more")).cast("long")).cast("int")))
+    if maps:
+        back = F.struct(*(F.map_from_entries(F.col("row").getField(c)).alias(c) if c in maps else F.col("row").getField(c).alias(c) for c in docs.columns))
+        out = out.withColumn("row", back)
+    return out
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.shared_dir(spark)
-    docs = C.table(spark, sf_dir, "documents")
-    sized = C.written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    mixed = mix_sizes(sized, ["doc_id", "source", "size"], ["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = with_copies(docs)
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as many times as the mix takes it. Documents without words are left as they are."""
-    C.shared_dir(docs.sparkSession)
-    sized = C.written(docs.withColumn("size", word_count(F.col("text"))), "sized")
-    keep = list(docs.columns)
-    mixed = mix_sizes(sized, [*keep, "size"], ["doc_id", "text"])
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    return mixed.where(times > 0).withColumn("copy__", F.explode(F.sequence(F.lit(1), times))).select(*keep)
+    mixed = with_copies(docs).withColumn("times", times).where("times > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -72,6 +72,12 @@ class Threshold:
         """Whether sets of sizes a and b, a at most b, can link."""
         return F.lit(self.num) * b <= F.lit(self.den) * a
 
+    def columns(self, size: Column) -> tuple[Column, Column]:
+        """prefix(size) and fewest(size) as columns."""
+        least = lambda x: F.floor((self.num * x + self.den - 1) / self.den)
+        common = lambda x: F.least(1 + F.floor((x - least(x)) / 2), least(x))
+        return size - least(size) + common(size), common(least(size))
+
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Each text's distinct n-gram hashes, ascending."""
@@ -104,9 +110,19 @@ def _long_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(_signed(flat), pa.int64()))
 
 
-def _frequent(n: int):
-    """N-grams in many of a task's documents. A set of 2^20 counters, each at most what it should be or more, names the
-    candidates while the task reads; only sums over all tasks decide."""
+SEEN = "key long, size long, digest binary, bits binary, gram long, n long"
+
+
+def _seen(n: int):
+    """A row for each document (key, size, digest and parity map of its set) and, without a key, one for each n-gram that
+    is in many of the task's documents. A set of 2^20 counters, each at most what it should be or more, names those
+    while the task reads; only sums over all tasks decide."""
+    names = [x.split()[0] for x in SEEN.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def batch(**cols: pa.Array) -> pa.RecordBatch:
+        rows = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(rows, t)) for c, t in zip(names, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = 20
@@ -115,7 +131,10 @@ def _frequent(n: int):
         docs = 0
         for b in C.small_batches(batches):
             data, off = C.string_buffer(b.column("text"))
-            sets = [s for s in shingle_sets(data, off, n) if len(s)]
+            sets = list(shingle_sets(data, off, n))
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield batch(key=b.column("key"), size=pa.array([len(s) for s in sets], pa.int64()), digest=pa.array(digest, pa.binary()), bits=pa.array([parity_bits(s) for s in sets], pa.binary()))
+            sets = [s for s in sets if len(s)]
             if not sets:
                 continue
             docs += len(sets)
@@ -129,16 +148,16 @@ def _frequent(n: int):
             if len(seen) > 400_000:
                 seen = {k: v for k, v in seen.items() if v >= HEAVY * docs / 4}
         keep = {k: v for k, v in seen.items() if v >= max(HEAVY_LEAST, HEAVY * docs) / 2}
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(keep), np.uint64))), pa.array(list(keep.values()), pa.int64())], ["gram", "n"])
+        yield batch(gram=pa.array(_signed(np.array(list(keep), np.uint64))), n=pa.array(list(keep.values()), pa.int64()))
 
     return run
 
 
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
+def frequent(seen: DataFrame, docs: int) -> np.ndarray:
     """The n-grams that go last, ascending. The order only steers cost, so that counts may be low by what a task left
     out; at most (average set size) / HEAVY * 4 of them exist, whatever the number of documents."""
-    got = docs.select("text").mapInArrow(_frequent(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    limit = F.greatest(F.lit(float(HEAVY_LEAST)), F.lit(HEAVY / 4) * F.lit(float(docs.count())))
+    got = seen.where("key is null and gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    limit = max(float(HEAVY_LEAST), HEAVY / 4 * docs)
     return np.sort(got.where(F.col("n") >= limit).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
 
 
@@ -168,21 +187,22 @@ def _folded(bits: int, size: int, to: int) -> int:
     return bits
 
 
-def _rows(n: int, heavy_ref, t: Threshold):
-    """key, size, the set's digest and its prefix, as ranks of the global order."""
+def _grams(n: int, heavy_ref, t: Threshold, cut: int):
+    """A row for each prefix n-gram: key, size * 2^32 + place, and its rank in the global order less ``cut`` low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = heavy_ref.value
+        heavy, low = heavy_ref.value, np.uint64(cut)
         for b in C.small_batches(batches):
             data, off = C.string_buffer(b.column("text"))
-            size, digest, prefix, bits, fewest = [], [], [], [], []
-            for s in shingle_sets(data, off, n):
-                bits.append(parity_bits(s))
-                size.append(len(s))
-                fewest.append(t.fewest(len(s)))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                prefix.append(_ordered(s, heavy)[1][: t.prefix(len(s))] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _long_lists(prefix), pa.array(bits, pa.binary()), pa.array(fewest, pa.int64())], ["key", "size", "digest", "prefix", "bits", "fewest"])
+            sets = list(shingle_sets(data, off, n))
+            parts = [_ordered(s, heavy)[1][: t.prefix(len(s))] if len(s) else s for s in sets]
+            n_of = np.array([len(p) for p in parts], np.int64)
+            if not n_of.sum():
+                continue
+            place = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+            about = np.repeat(np.array([len(s) for s in sets], np.int64) << 32, n_of) | place
+            gram = _signed(np.concatenate(parts) >> low << low)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(sets)), n_of))), pa.array(gram), pa.array(about)], ["key", "gram", "about"])
 
     return run
 
@@ -422,26 +442,42 @@ def _links(t: Threshold):
     return run
 
 
-MOST_TOGETHER = 12_000_000
+#: Sets of more n-grams than this do not meet in one task as a whole.
+MOST_TOGETHER = 4_000_000
 
 
 def blocks_of(near: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(block, key): the sets that are compared whole. Blocks that share keys merge, so that each set travels once; where
-    that would make sets of more than MOST_TOGETHER n-grams meet, the smaller blocks of single owners stand."""
+    """(block, key): the sets that are compared whole. Blocks that share keys merge, so that each set travels once. Where
+    that would make sets of more than MOST_TOGETHER n-grams meet, the blocks of single owners stand, and of those that are
+    still as large, parts of about a quarter of it meet in pairs, so that any two sets meet and a task has a bounded load."""
     merged = C.written(components(near.select(F.col("owner").alias("a"), F.col("key").alias("b"))), "merged")
     alone = near.select(F.col("owner").alias("key")).distinct().join(merged, "key", "left_anti").select("key", F.col("key").alias("label"))
     label = merged.union(alone)
     keys = C.written(near.select("key").distinct().join(label, "key").join(sizes.select("key", "size"), "key"), "labelled")
     big = keys.groupBy("label").agg(F.sum("size").alias("n")).where(F.col("n") > MOST_TOGETHER).select("label")
     small = keys.join(big, "label", "left_anti").select(F.col("label").alias("block"), "key")
-    large = near.join(keys.join(big, "label", "left_semi").select("key"), "key", "left_semi").select(F.col("owner").alias("block"), "key")
-    return C.written(small.union(large), "blocks")
+    large = C.written(near.join(keys.join(big, "label", "left_semi").select("key", "size"), "key").select(F.col("owner").alias("block"), "key", "size"), "large")
+    load = large.groupBy("block").agg(F.sum("size").alias("n"))
+    whole = large.join(load.where(F.col("n") <= MOST_TOGETHER), "block", "left_semi").select("block", "key")
+    p = F.ceil(F.col("n") * 4 / MOST_TOGETHER)
+    cut = large.join(load.where(F.col("n") > MOST_TOGETHER).select("block", p.cast("long").alias("p")), "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("p")))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("p") - 1), lambda q: q != F.col("part"))).alias("other")
+    pairs = cut.select("block", "key", "part", other).select(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key")
+    return C.written(small.union(whole).union(pairs), "blocks")
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    """The same for equal sets of edges, whatever their order."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the smallest key that links reach, for every key with a link. Labels spread by rounds of large-star
-    and small-star, each of which writes its edges to the shared folder; there are about log(longest chain) of them."""
+    and small-star, each of which writes its edges to the shared folder; there are about log(longest chain) of them. A
+    round that leaves the edges' number and 128-bit checksum alone is the last."""
     edges = C.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    known = _checksum(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -449,53 +485,90 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = C.written(small, "edges")
-        if edges.exceptAll(new).isEmpty() and new.exceptAll(edges).isEmpty():
+        now = _checksum(new)
+        C.drop(edges)
+        if now == known:
             return new.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("label"))
-        edges = new
+        edges, known = new, now
 
 
-def with_near_size(rows: DataFrame, t: Threshold, by: str) -> DataFrame:
-    """The rows to which another of the same ``by`` comes near enough in size: then the next by size does."""
-    order = Window.partitionBy(by).orderBy("size")
-    below, above = F.lag("size").over(order), F.lead("size").over(order)
-    marked = rows.withColumn("near", F.coalesce(t.near(below, F.col("size")), F.lit(False)) | F.coalesce(t.near(F.col("size"), above), F.lit(False)))
-    return marked.where("near").drop("near")
+SALTS = 16
+
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(key, size, class): class is the smallest key with the same set. Rows are dealt out by digest and a salt, so that
+    copies of one text are no single task; digests that come once meet nothing."""
+    salted = rows.where("size > 0").select("key", "digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy("digest", "salt").agg(F.min("key").alias("class"), F.count("*").alias("n"))
+    several = parts.groupBy("digest").agg(F.min("class").alias("class"), F.sum("n").alias("n")).where("n > 1")
+    several = several.select("digest", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    copies = salted.join(several, ["digest", "salt"]).where("key <> class").select("key", "class")
+    return C.written(copies, "copies")
 
-def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """docs: key (unique long) and text. Gives (rows: key, size, class key; labels of linked classes: key, label)."""
+
+def without(docs: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """docs but for those whose ``by`` is among keys (a written table). At most BROADCAST_KEYS of them (16 MB) are sent
+    to all, so that texts are not shuffled; beyond that both sides are."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, by, "left_anti")
+
+
+def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: key (unique long) and text. Gives (sets: key, size; copies: key, class; labels of linked classes: key, label)."""
     spark = docs.sparkSession
     docs = docs.select("key", "text")
-    heavy = spark.sparkContext.broadcast(frequent(docs, n))
-    rows = C.written(docs.mapInArrow(_rows(n, heavy, t), "key long, size long, digest binary, prefix array<long>, bits binary, fewest long"), "prefixes")
-    classes = rows.groupBy("digest").agg(F.min("key").alias("class"))
-    members = C.written(rows.select("key", "size", "digest").join(classes, "digest").select("key", "size", "class"), "members")
-    filled = rows.select("key", "size", "prefix", "bits", "fewest").where("size > 0").join(members.where("key = class").select("key"), "key", "left_semi")
-    filled = C.written(filled, "classes")
-    grams = filled.select("key", "size", F.posexplode("prefix").alias("place", "gram"))
-    same = Window.partitionBy("gram")
-    shared = with_near_size(grams, t, "gram").withColumn("owner", F.min("key").over(same))
+    seen = C.written(docs.mapInArrow(_seen(n), SEEN), "seen")
+    rows = seen.where("key is not null")
+    docs_n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    heavy = spark.sparkContext.broadcast(frequent(seen, docs_n))
+    copies = classes_of(rows)
+    # a rank keeps ten bits more than it takes to number all n-grams: few unlike ones agree, and zeros compress
+    cut = max(0, min(31, 64 - 11 - int(total).bit_length()))
+    grams = without(docs, copies.select("key"), "key").mapInArrow(_grams(n, heavy, t, cut), "key long, gram long, about long")
+    size, place = F.shiftright("about", 32), F.col("about").bitwiseAND(0xFFFFFFFF)
+    order = Window.partitionBy("gram").orderBy("about")
+    below, above = F.shiftright(F.lag("about").over(order), 32), F.shiftright(F.lead("about").over(order), 32)
+    near = F.coalesce(t.near(below, size), F.lit(False)) | F.coalesce(t.near(size, above), F.lit(False))
+    # each class's last prefix n-gram is kept whether or not another has it
+    marked = grams.withColumn("near", near).withColumn("last", place + 1 == t.columns(size)[0]).where("near or last")
+    shared = marked.withColumn("owner", F.min(F.when(F.col("near"), F.col("key"))).over(Window.partitionBy("gram")))
     # a class's shared n-grams, as many as its prefix has at most, go to each owner among them. 31 bits of each are
     # enough for a bound from above, and keep the order
-    short = F.struct("place", F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
-    whole = shared.groupBy("key").agg(F.array_sort(F.collect_list(short)).alias("known"), F.collect_set("owner").alias("owners"))
-    whole = whole.join(filled.select("key", "size", F.element_at("prefix", -1).alias("last"), "bits", "fewest"), "key").where(F.size("known") >= F.col("fewest"))
-    met = whole.select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"))
+    short = F.struct(place.cast("int").alias("place"), F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
+    whole = shared.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("near"), short))).alias("known"), F.collect_set(F.when(F.col("near"), F.col("owner"))).alias("owners"), F.max(F.when(F.col("last"), F.col("gram"))).alias("last"), F.max(size).alias("size")
+    )
+    whole = C.written(whole.where(F.size("known") >= t.columns(F.col("size"))[1]), "shared")
+    C.settle(spark)
+    met = whole.join(rows.select("key", "bits"), "key").select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"))
     blocks = with_near_size(met, t, "owner")
-    near = blocks_of(C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near"), members)
+    near = C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near")
+    sizes = rows.select("key", "size")
+    near = blocks_of(near, sizes)
+    C.settle(spark, whole)
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled
     sets = docs.join(near, "key").select("block", "key", "text").mapInArrow(_sets(n, heavy), "block long, key long, ranks array<long>")
     links = sets.groupBy("block").applyInArrow(_links(t), "a long, b long")
-    return members, components(links)
+    return sizes, copies, C.written(components(links), "labels")
+
+
+def with_near_size(rows: DataFrame, t: Threshold, by: str) -> DataFrame:
+    """The rows to which another of the same ``by`` comes near enough in size: then the next by size does."""
+    order = Window.partitionBy(by).orderBy("size")
+    below, above = F.lag("size").over(order), F.lead("size").over(order)
+    marked = rows.withColumn("near", F.coalesce(t.near(below, F.col("size")), F.lit(False)) | F.coalesce(t.near(F.col("size"), above), F.lit(False)))
+    return marked.where("near").drop("near")
 
 
 def join_components(docs: DataFrame, n: int = 3, t: Threshold = Threshold(90, 100)) -> DataFrame:
     """(key, n_shingles, component_id) for docs with key (unique long) and text."""
     C.shared_dir(docs.sparkSession)
-    members, labels = link_classes(docs, n, t)
-    joined = members.join(labels.withColumnRenamed("key", "class"), "class", "left")
-    return joined.select("key", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("key")).otherwise(F.coalesce(F.col("label"), F.col("class"))).alias("component_id"))
+    sizes, copies, labels = link_classes(docs, n, t)
+    # only keys that are copies or linked change their label; a copy takes its class's
+    moved = copies.join(labels.select(F.col("key").alias("class"), "label"), "class", "left").select("key", F.coalesce("label", "class").alias("label"))
+    moved = C.written(moved.union(labels.where("key <> label")), "moved")
+    joined = sizes.join(F.broadcast(moved) if moved.count() <= BROADCAST_KEYS else moved, "key", "left")
+    return joined.select("key", F.col("size").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,15 +577,22 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
-    """docs without all but the row with the smallest doc_id of each component. Rows without words stay; of rows that
-    agree in doc_id, which then have to agree in text too, one stays; rows without doc_id stay."""
-    known = docs.where(F.col("doc_id").isNotNull())
-    # only rows that repeat a doc_id need be compared, so texts as a whole are not shuffled for it
-    repeated = C.written(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        one = known.join(repeated, "doc_id", "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-        known = C.written(known.join(repeated, "doc_id", "left_anti").unionByName(one), "known")
-    found = join_components(known.select(F.col("doc_id").alias("key"), "text"), n, t)
-    kept = found.where("key = component_id").select(F.col("key").alias("doc_id"))
-    return known.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each component: the one with the smallest doc_id (nulls last, then the smallest text).
+
+    Every row takes part, whether or not its doc_id is null or repeated. Rows without words stay. Where doc_ids are
+    unique they are the keys, and no text is shuffled or copied; else the rows are written once with keys of their own.
+    """
+    spark = docs.sparkSession
+    C.shared_dir(spark)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if repeated.isEmpty():
+        found = join_components(docs.select(F.col("doc_id").alias("key"), "text"), n, t)
+        return without(docs, C.written(found.where("key <> component_id").select(F.col("key").alias("doc_id")), "dropped"), "doc_id")
+    own = "key__" + "_" * max((len(c) for c in docs.columns if c.startswith("key__")), default=0)
+    rows = C.written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = C.written(join_components(rows.select(F.col(own).alias("key"), "text"), n, t), "found")
+    several = found.join(found.where("key <> component_id").select("component_id").distinct(), "component_id", "left_semi").select(F.col("key").alias(own), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", own)).getField(own)
+    ranked = C.written(rows.select(own, "doc_id", "text").join(several, own), "several")
+    dropped = ranked.select(own, "component_id").join(ranked.groupBy("component_id").agg(first.alias("first")), "component_id").where(F.col(own) != F.col("first"))
+    return without(rows, C.written(dropped.select(own), "dropped"), own).drop(own)

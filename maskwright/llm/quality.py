@@ -6,8 +6,8 @@ each structure statistic, and one bucket for each metadata column. The score is
     sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)),
 
 the sum-of-squares identity, so a text costs time in proportion to its features. The model is fitted on the driver from
-at most ``SAMPLE`` labelled rows, chosen by a hash of their keys; only feature vectors reach the driver, with the words
-of a vector bounded by ``TRAIN_WORDS``. Scoring covers whole texts of all rows.
+at most ``SAMPLE`` labelled rows, chosen by a hash of their keys; only the feature vectors of their whole texts reach the
+driver. Scoring covers whole texts of all rows.
 
 Cases: null and empty texts score as a text without words; null metadata is a value of its own; repeated rows score
 alike; without labelled rows of both kinds the model is the prior (0.5 without any); other columns are ignored.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE = 12_000
-TRAIN_WORDS = 1_000
 WORD_BITS = 16
 RANK = 4
 LEVELS = 24
@@ -62,13 +61,9 @@ def _statistics(words: np.ndarray, text: np.ndarray, counts: np.ndarray) -> list
     lines = len(edges) - 1
     repeated = 0.0
     if lines > 1:
-        sums = np.zeros(len(text) + 1, np.int64)
-        np.cumsum(text.astype(np.int64) * ((np.arange(len(text)) % 8191) + 1), out=sums[1:])
+        # a line's signature: a polynomial of its bytes, free of its place in the text
         size = np.diff(edges) - 1
-        # a line's signature: its first and last bytes and its byte sum, free of its place in the text
-        flat = np.zeros(len(text) + 1, np.int64)
-        np.cumsum(text, out=flat[1:])
-        sign = (flat[edges[1:]] - flat[edges[:-1] + 1]) * 1_000_003 + size
+        sign = C.span_hashes(text, edges[:-1] + 1, edges[1:])
         sign = sign[size > 0]
         repeated = 1 - len(np.unique(sign)) / len(sign) if len(sign) else 0.0
     by = np.bincount(text[text > 32], minlength=256)
@@ -82,7 +77,7 @@ def _statistics(words: np.ndarray, text: np.ndarray, counts: np.ndarray) -> list
     return [int(_levels(np.float64(shares[s]), "share") if s in shares else _levels(np.float64(sizes[s]), "size")) for s in STATISTICS]
 
 
-def vectors(data: np.ndarray, off: np.ndarray, metadata: list[list[float | None]], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vectors(data: np.ndarray, off: np.ndarray, metadata: list[list[float | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(feature ids, values) of each text."""
     mask = np.uint64((1 << WORD_BITS) - 1)
     base = 1 << WORD_BITS
@@ -92,9 +87,6 @@ def vectors(data: np.ndarray, off: np.ndarray, metadata: list[list[float | None]
             full, all_counts = np.unique(words, return_counts=True)
             ids, at = np.unique(full & mask, return_inverse=True)
             x = np.log1p(np.bincount(at, weights=all_counts, minlength=len(ids)))
-            if most is not None and len(ids) > most:
-                pick = np.argsort(C.mix(ids), kind="stable")[:most]
-                ids, x = ids[pick], x[pick]
             x /= max(1e-9, np.sqrt((x * x).sum()))
             levels = _statistics(words, data[off[k] : off[k + 1]], all_counts)
             levels += [0 if m[k] is None or m[k] != m[k] else 1 + min(LEVELS - 2, int(_levels(np.float64(m[k]), "size"))) for m in metadata]
@@ -161,7 +153,7 @@ def _train_rows(metadata: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.small_batches(batches):
             data, off = C.string_buffer(b.column("text"))
-            made = list(vectors(data, off, [b.column(c).to_pylist() for c in metadata], TRAIN_WORDS))
+            made = list(vectors(data, off, [b.column(c).to_pylist() for c in metadata]))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], ["y", "ids", "x"])
 
     return run
@@ -220,6 +212,13 @@ def score(docs: DataFrame, model: Machine, keep: list[str], metadata: tuple[str,
     return docs.select(*names).mapInArrow(_score_rows(ref, metadata), schema).select(*keep, "score")
 
 
+def keep(docs: DataFrame, model: Machine, metadata: tuple[str, ...] = ("n_chars",), least: float = 0.5) -> DataFrame:
+    """The rows of docs that score ``least`` or more, with all their columns; one named score keeps its own values."""
+    own = {c: f"own__{k}" for k, c in enumerate(docs.columns) if c not in ("text", *metadata)}
+    scored = score(docs.withColumnsRenamed(own), model, [own.get(c, c) for c in docs.columns], metadata)
+    return scored.where(F.col("score") >= least).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """Learns from rows outside the held-out third."""
     return fit(docs.where(~C.held_out(F.col("doc_id"))), labels.where(~C.held_out(F.col("doc_id"))))

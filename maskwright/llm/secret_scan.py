@@ -184,6 +184,18 @@ def scan(docs: DataFrame, detector: Detector, keep: list[str], clean: bool = Fal
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scan(ref, keep, clean), schema)
 
 
+def redacted(docs: DataFrame, detector: Detector) -> DataFrame:
+    """docs with secrets in text replaced and n_chars, if it is there, counted anew where one was; all other columns stay,
+    also those named like an output of ``scan``."""
+    own = {c: f"own__{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    found = scan(docs.withColumnsRenamed(own), detector, list(own.values()), clean=True)
+    text = F.col("clean_text")
+    changed = {"text": text}
+    if "n_chars" in own:
+        changed["n_chars"] = F.when(F.length("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return found.select(*((changed[c] if c in changed else F.col(own[c])).alias(c) for c in docs.columns))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     return scan(docs, train(docs), ["doc_id"])

@@ -146,17 +146,71 @@ def test_prefix_stage_keeps_all_links_of_mixed_lengths(seed):
 def test_keep_one_keeps_columns(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 104 or doc_id = 202").count() == 1
+    assert ngram_join.keep_one(empty(docs)).count() == 0
+
+
+def test_keep_one_compares_rows_without_or_with_repeated_ids(docs, spark):
+    twice = docs.where("doc_id = 100").selectExpr("cast(null as long) as doc_id", *docs.columns[1:])
+    other = spark.createDataFrame([(3, "quite another text that is nobody's copy", None, None, None, None, None), (None, None, None, None, None, None, None)], docs.schema)
+    rows = docs.unionByName(twice).unionByName(other).withColumn("key__", F.lit(1))
+    kept = ngram_join.keep_one(rows)
+    alone = ngram_join.keep_one(docs)
+    assert kept.columns == rows.columns and kept.count() == alone.count() + 2
+    assert kept.where("doc_id = 3").count() == 2 and kept.where("doc_id is null and text is not null").count() == 0
+
+
+def test_blocks_beyond_the_bound_meet_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_TOGETHER", 300)
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    near = docs.where("doc_id >= 100").unionByName(docs.where("doc_id >= 100 and doc_id < 105").selectExpr("doc_id + 1000 as doc_id", "concat(text, ' more ', doc_id) as text", *docs.columns[2:]))
+    got = {r["key"]: r["component_id"] for r in ngram_join.join_components(near.select(F.col("doc_id").alias("key"), "text"), 3, ngram_join.Threshold(90, 100)).collect()}
+    assert got == brute({r["doc_id"]: r["text"] for r in near.collect()}, 3, 90, 100)[0]
 
 
 def test_mix_meets_targets(docs, spark):
-    assert mixing.mix_rows(docs).columns == docs.columns
-    got = mixing.mix_sizes(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), ["doc_id", "source", "size"], ["doc_id"]).collect()
-    assert len(got) == docs.count() and all(0 <= r["copies"] <= 3 for r in got)
+    clash = docs.withColumns({c: F.lit(7) for c in ("target", "source_size", "copies", "part__", "row", "h", "cut", "same", "k")})
+    assert sorted(mixing.mix_rows(clash).columns) == sorted(clash.columns)
+    assert mixing.mix_rows(empty(docs)).count() == 0
+    got = mixing.with_copies(docs.unionAll(docs.where("doc_id < 3"))).select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()
+    assert len(got) == docs.count() + 3 and all(0 <= r["copies"] <= 3 for r in got)
     by = {}
     for r in got:
-        s = by.setdefault(r["source"], [0, r["target"]])
+        s = by.setdefault(r["source"], [0, r["target"], r["source_size"], 0])
         s[0] += r["copies"] * r["size"]
-    assert all(abs(a - b) <= 60 for a, b in by.values())
+        s[3] += r["size"]
+    # half of a source's smallest document: the one without source has five of 121 words
+    assert all(abs(a - b) <= 61 and c == d for a, b, c, d in by.values())
+
+
+def water_filled(sizes):
+    """The targets by the contract's words: shares by weight, excess reshared until none is above three times its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, done = sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in order if s not in done]
+        share = {s: (total - sum(done.values())) * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            return done | share
+        done |= {s: 3 * sizes[s] for s in over}
+
+
+def test_mix_of_equal_rows_and_many_sizes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, f"s{k % 4}" if k % 5 else None, "w " * int(rng.integers(0, 700))) for k in range(3000)]
+    rows += [(9000, "hot", "a b c")] * 1000 + [(9001, "hot", "d " * 50), (9002, "tiny", "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.with_copies(df).select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, taken = water_filled(sizes), {}
+    assert len(got) == len(rows) and all(0 <= r["copies"] <= 3 and abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]] + 1e-9 for r in got)
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 2 for s in sizes)
+    assert sorted(map(tuple, mixing.with_copies(df.repartition(7)).select("row.doc_id", "copies").collect())) == sorted((r["doc_id"], r["copies"]) for r in got)
 
 
 def test_secrets(docs):
