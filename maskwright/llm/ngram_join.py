@@ -13,10 +13,10 @@ the smaller one's.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
    counted once, and leaves a subtree whose remaining length (or, past its own prefix, what it has left itself) cannot
    lift the overlap to the threshold. Pairs that
-   get to an end also have to agree in maps of slot parities, which bound the overlap of whole sets. A class that no
-   other can reach drops out of the block.
-4. Blocks that still share classes merge. The same trie over whole sets gives exact overlaps. Subtrees that lie in the class's own
-   component already are passed over, so that a block of near copies yields a spanning forest and never all pairs.
+   get to an end also have to agree in maps of slot parities, which bound the overlap of whole sets. Subtrees that lie in
+   the class's own tree already are passed over, so that a block yields a spanning forest of candidates, never all pairs.
+4. Classes that candidates join, however far, meet whole: linked ones do, and families that only share a passage do not.
+   The same trie over whole sets gives exact overlaps, and again a spanning forest.
 5. Components of the links follow by hash-to-minimum label spreading, and copies get their class's label.
 
 Cases: null, empty and blank texts have the empty set and their own component; repeated rows are copies; ties in the
@@ -385,36 +385,28 @@ def _turns(n: int, width: int) -> int:
     return max(1, min(256, 16_000_000 // max(1, width), 300_000 // max(1, n)))
 
 
-def reachable(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, bits: list[bytes], sizes: np.ndarray, t: Threshold) -> np.ndarray:
-    """Which prefixes may reach the threshold with another of the block."""
-    block = Block(seqs, sizes, t, False, places, last, bits)
-    found = np.zeros(len(seqs), bool)
-    step, at = _turns(len(seqs), block.width), 0
-    while at < len(seqs):
-        ys = np.arange(at, len(seqs))[~found[at:]][:step]
-        if not len(ys):
-            break
-        for a, b in block.near(ys):
-            found[a] = True
-            found[b] = True
-        at = int(ys[-1]) + 1
-    return found
+def _forest(block: Block) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that ``block`` finds: every set asks, but no longer for sets of its own tree."""
+    n = len(block.seqs)
+    comp, pairs = np.arange(n), []
+    step = min(64, _turns(n, block.width))
+    for at in range(0, n, step):
+        for a, b in block.near(np.arange(at, min(at + step, n)), comp):
+            for y, x in zip(a.tolist(), b.tolist()):
+                if comp[x] != comp[y]:
+                    pairs.append((y, x))
+                    comp[comp == comp[x]] = comp[y]
+    return pairs
+
+
+def candidate_links(seqs: list[np.ndarray], places: list[np.ndarray], last: np.ndarray, bits: list[bytes], sizes: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of prefixes that may reach the threshold."""
+    return _forest(Block(seqs, sizes, t, False, places, last, bits))
 
 
 def block_links(seqs: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
     """A spanning forest of the links among whole sets."""
-    block = Block(seqs, sizes, t, True)
-    comp = np.arange(len(seqs))
-    links = []
-    step = min(64, _turns(len(seqs), block.width))
-    for at in range(0, len(seqs), step):
-        ys = np.arange(at, min(at + step, len(seqs)))
-        for a, b in block.near(ys, comp):
-            for y, x in zip(a.tolist(), b.tolist()):
-                if comp[x] != comp[y]:
-                    links.append((y, x))
-                    comp[comp == comp[x]] = comp[y]
-    return links
+    return _forest(Block(seqs, sizes, t, True))
 
 
 def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
@@ -425,45 +417,50 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[x:y] for x, y in zip(off, off[1:])]
 
 
+def _pairs(keys: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([int(keys[x]) for x, _ in links], pa.int64()), "b": pa.array([int(keys[y]) for _, y in links], pa.int64())})
+
+
 def _candidates(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
-        keep = reachable(_lists(group["grams"]), [p.astype(np.int64) for p in _lists(group["places"])], group["last"].to_numpy().view(np.uint64), group["bits"].to_pylist(), group["size"].to_numpy(), t)
-        return group.select(["owner", "key"]).filter(pa.array(keep))
+        places = [p.astype(np.int64) for p in _lists(group["places"])]
+        return _pairs(group["key"].to_numpy(), candidate_links(_lists(group["grams"]), places, group["last"].to_numpy().view(np.uint64), group["bits"].to_pylist(), group["size"].to_numpy(), t))
 
     return run
 
 
 def _links(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
-        keys, seqs = group["key"].to_numpy(), _lists(group["ranks"])
-        links = block_links(seqs, np.array([len(s) for s in seqs]), t)
-        return pa.table({"a": pa.array([int(keys[x]) for x, _ in links], pa.int64()), "b": pa.array([int(keys[y]) for _, y in links], pa.int64())})
+        seqs = _lists(group["ranks"])
+        return _pairs(group["key"].to_numpy(), block_links(seqs, np.array([len(s) for s in seqs]), t))
 
     return run
 
 
-#: Sets of more n-grams than this do not meet in one task as a whole.
-MOST_TOGETHER = 4_000_000
+#: A group whose members weigh more than this together (n-grams of whole sets, shared ones of prefixes) meets in parts.
+MOST_TOGETHER = 8_000_000
+
+
+def in_parts(rows: DataFrame, group: str, weight: Column) -> DataFrame:
+    """rows whose ``group`` is replaced where it weighs more than MOST_TOGETHER: its members are dealt into parts by key, of
+    about a quarter of that, and each two parts are a group of their own. Any two members still meet, and a task has a
+    bounded load. rows are read more than once: give a written table."""
+    load = rows.groupBy(group).agg(F.sum(weight).alias("n__")).where(F.col("n__") > MOST_TOGETHER)
+    big = C.written(load.select(group, F.ceil(F.col("n__") * 4 / MOST_TOGETHER).cast("long").alias("p__")), "big")
+    if big.isEmpty():
+        return rows
+    part = F.pmod(F.xxhash64("key"), F.col("p__"))
+    cut = rows.join(big, group).withColumn("part__", part).withColumn("other__", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("p__") - 1), lambda q: q != F.pmod(F.xxhash64("key"), F.col("p__")))))
+    pairs = cut.withColumn(group, F.xxhash64(group, F.least("part__", "other__"), F.greatest("part__", "other__"))).select(*rows.columns)
+    return rows.join(big, group, "left_anti").select(*rows.columns).union(pairs)
 
 
-def blocks_of(near: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(block, key): the sets that are compared whole. Blocks that share keys merge, so that each set travels once. Where
-    that would make sets of more than MOST_TOGETHER n-grams meet, the blocks of single owners stand, and of those that are
-    still as large, parts of about a quarter of it meet in pairs, so that any two sets meet and a task has a bounded load."""
-    merged = C.written(components(near.select(F.col("owner").alias("a"), F.col("key").alias("b"))), "merged")
-    alone = near.select(F.col("owner").alias("key")).distinct().join(merged, "key", "left_anti").select("key", F.col("key").alias("label"))
-    label = merged.union(alone)
-    keys = C.written(near.select("key").distinct().join(label, "key").join(sizes.select("key", "size"), "key"), "labelled")
-    big = keys.groupBy("label").agg(F.sum("size").alias("n")).where(F.col("n") > MOST_TOGETHER).select("label")
-    small = keys.join(big, "label", "left_anti").select(F.col("label").alias("block"), "key")
-    large = C.written(near.join(keys.join(big, "label", "left_semi").select("key", "size"), "key").select(F.col("owner").alias("block"), "key", "size"), "large")
-    load = large.groupBy("block").agg(F.sum("size").alias("n"))
-    whole = large.join(load.where(F.col("n") <= MOST_TOGETHER), "block", "left_semi").select("block", "key")
-    p = F.ceil(F.col("n") * 4 / MOST_TOGETHER)
-    cut = large.join(load.where(F.col("n") > MOST_TOGETHER).select("block", p.cast("long").alias("p")), "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("p")))
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("p") - 1), lambda q: q != F.col("part"))).alias("other")
-    pairs = cut.select("block", "key", "part", other).select(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key")
-    return C.written(small.union(whole).union(pairs), "blocks")
+def blocks_of(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, key): the sets that are compared whole: those that candidate links join, however far."""
+    merged = C.written(components(links), "merged")
+    keys = C.written(merged.union(merged.select(F.col("label").alias("key"), "label").distinct()), "together")
+    known = sizes.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key").select(F.col("label").alias("block"), "key", "size")
+    return C.written(in_parts(C.written(known, "known"), "block", F.col("size")).select("block", "key"), "blocks")
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -540,11 +537,11 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     whole = C.written(whole.where(F.size("known") >= t.columns(F.col("size"))[1]), "shared")
     C.settle(spark)
     met = whole.join(rows.select("key", "bits"), "key").select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"))
-    blocks = with_near_size(met, t, "owner")
-    near = C.written(blocks.groupBy("owner").applyInArrow(_candidates(t), "owner long, key long"), "near")
+    met = C.written(with_near_size(met, t, "owner"), "met")
+    near = C.written(in_parts(met, "owner", F.size("grams")).groupBy("owner").applyInArrow(_candidates(t), "a long, b long"), "near")
     sizes = rows.select("key", "size")
+    C.settle(spark, whole, met)
     near = blocks_of(near, sizes)
-    C.settle(spark, whole)
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled
     sets = docs.join(near, "key").select("block", "key", "text").mapInArrow(_sets(n, heavy), "block long, key long, ranks array<long>")
