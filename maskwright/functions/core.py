@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The categories in report order, and their placeholders.
+# The categories in report order, their placeholders, the stages in order, sources by precedence, and the
+# statuses in report order.
 CATEGORIES = ("NAME", "DATE", "AGE", "ID", "LOCATION", "PHONE_OR_FAX", "EMAIL", "URL", "IP_ADDRESS", "BIOMETRIC", "PHOTO", "OTHER_ID", "PROFESSION", "UNMAPPED")
 PLACEHOLDERS = {
     "NAME": "[R_NAME]", "DATE": "[R_DATE]", "AGE": "[R_AGE]", "ID": "[R_ID]", "LOCATION": "[R_LOC]", "PHONE_OR_FAX": "[R_PHONE_OR_FAX]", "EMAIL": "[R_EMAIL]",
@@ -15,12 +16,32 @@ PLACEHOLDERS = {
 }
 STAGES = ("input", "detection", "transformation", "validation", "review", "finalization", "export")
 SOURCE_PRIORITY = {"review": 0, "rule": 1, "llm": 2, "aws": 3}
+SOURCE_KINDS = ("aws", "llm", "rule", "review")
+RECORD_STATUSES = ("processing", "awaiting_review", "reviewed", "ready", "excluded", "failed")
+STATE_STATUSES = ("pending", "running", "review_pending", "retry_pending", "succeeded", "skipped", "excluded", "blocked", "retry_exhausted", "permanent_error")
+STAGE_STATUSES = ("pending", "running", "blocked", "completed", "completed_with_errors", "skipped", "failed")
+ATTEMPT_STATUSES = ("running", "succeeded", "retryable_error", "truncated", "cancelled", "permanent_error")
+DISPOSITIONS = ("approved_unchanged", "corrected", "excluded")
 #: How a category is treated unless a policy says otherwise.
 DEFAULT_POLICY = {c: ("redact", None) for c in CATEGORIES} | {"DATE": ("generalize", "year_only"), "AGE": ("generalize", "age_90_plus"), "PROFESSION": ("retain", None)}
 
 _SPACE = "[\\s\\x1c-\\x1f]"
 
 
+def place_in(value: Column, order: tuple[str, ...]) -> Column:
+    """Where a value stands in a fixed order; unknown ones come after it (sort those by name besides)."""
+    at = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(at > 0, at - 1).otherwise(len(order)).cast("int")
+
+
+def sum_or_zero(x: Column) -> Column:
+    return F.coalesce(F.sum(x), F.lit(0))
+
+
+def count_if(condition: Column) -> Column:
+    return F.coalesce(F.sum(condition.cast("long")), F.lit(0).cast("long"))
+
+
 def category_of(native: Column) -> Column:
     """Native detector types map to themselves but for ADDRESS; unknown ones are UNMAPPED, never dropped."""
     return F.when(native == "ADDRESS", "LOCATION").when(native.isin(*CATEGORIES), native).otherwise("UNMAPPED")
@@ -40,6 +61,7 @@ def is_blank(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
+    """Lower case and single blanks. Unlike full case folding it keeps the few letters that fold to two, such as sharp s."""
     return F.lower(F.regexp_replace(strip(text), f"(?U){_SPACE}+", " "))
 
 

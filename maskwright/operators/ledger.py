@@ -1,8 +1,8 @@
-"""The ledger's queries: states, rollups, usage, errors, validation, review, revisions, export. Built-in expressions."""
+"""The ledger's states: first ones, latest versions, rollups, the earliest failure, the gate before finalization, reuse."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as K
@@ -44,10 +44,11 @@ def stage_rollup(states: DataFrame) -> DataFrame:
     return states.groupBy("stage").agg(status.alias("status"))
 
 
-def run_rollup(records: DataFrame) -> DataFrame:
-    """One row: the run's status from records (status)."""
+def run_rollup(records: DataFrame, finalization: str = "completed") -> DataFrame:
+    """One row: the run's status from records (status): awaiting_review, else completed_with_errors if any failed or
+    the finalization stage ended so, else completed if any is ready or all, of at least one, are excluded, else blocked."""
     n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0))
-    return records.agg(F.when(n("awaiting_review") > 0, "awaiting_review").when(n("failed") > 0, "completed_with_errors").when((n("ready") > 0) | (n("excluded") == F.count("*")), "completed").otherwise("blocked").alias("status"))
+    return records.agg(F.when(n("awaiting_review") > 0, "awaiting_review").when((n("failed") > 0) | F.lit(finalization == "completed_with_errors"), "completed_with_errors").when((n("ready") > 0) | ((n("excluded") == F.count("*")) & (F.count("*") > 0)), "completed").otherwise("blocked").alias("status"))
 
 
 def retry_targets(states: DataFrame) -> DataFrame:
@@ -56,24 +57,6 @@ def retry_targets(states: DataFrame) -> DataFrame:
     return states.where(F.col("status").isin("retry_exhausted", "permanent_error")).groupBy("record_id").agg(F.min_by("stage", place).alias("stage"))
 
 
-def usage(attempts: DataFrame) -> DataFrame:
-    """By backend: attempts, successes, other outcomes, tokens, known cost, average latency."""
-    return attempts.groupBy("backend").agg(
-        F.count("*").alias("requests"), F.sum((F.col("status") == "succeeded").cast("long")).alias("successes"), F.sum((F.col("status") != "succeeded").cast("long")).alias("error_requests"),
-        F.sum(F.get_json_object("usage", "$.k").cast("long")).alias("tokens"), F.bround(F.sum("cost"), 4).alias("cost"), F.max("latency").alias("worst_latency"),
-    )
-
-
-def token_cost(tokens: Column, rate_per_million: Column) -> Column:
-    return tokens * rate_per_million / 1e6
-
-
-def verdict(findings: DataFrame, retained: tuple[str, ...]) -> DataFrame:
-    """(record_id, raw_violation, effective_violation): findings of retained categories do not count."""
-    ignored = F.col("category").isin(*retained)
-    return findings.groupBy("record_id").agg(F.lit(True).alias("raw_violation"), F.max(~ignored).alias("effective_violation"), F.sum(ignored.cast("long")).alias("ignored"))
-
-
 def finalization_gate(rows: DataFrame, validation: bool = True, review_all: bool = False) -> DataFrame:
     """Adds may_finalize: transformed, disposition, violation decide."""
     approved = F.col("disposition") == "approved_unchanged"
@@ -93,13 +76,3 @@ def reusable(work: DataFrame, records: DataFrame, backends: DataFrame) -> DataFr
     have = pairs.agg(F.count("*").alias("all")).crossJoin(known.agg(F.count("*").alias("known")))
     want = records.agg(F.countDistinct("record_id").alias("r")).crossJoin(backends.agg(F.countDistinct("backend").alias("b")))
     return have.crossJoin(want).select(((F.col("all") == F.col("known")) & (F.col("known") == F.col("r") * F.col("b"))).alias("reusable"))
-
-
-def error_groups(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences and the number of different records by key."""
-    return errors.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.countDistinct("record_id").alias("records"))
-
-
-def cost_estimate(records: DataFrame, price_per_100: float) -> DataFrame:
-    units = F.greatest(F.lit(1), F.ceil(F.length("text") / 100))
-    return records.where(~K.is_blank(F.col("text"))).agg(F.count("*").alias("requests"), F.sum(F.length("text")).cast("long").alias("characters"), F.sum(units).cast("long").alias("units"), F.bround(F.sum(units) * price_per_100, 4).alias("cost"))

@@ -1,18 +1,28 @@
-"""From text to rendered text: rule matching, span resolution, policy, rendering. Spark expressions only."""
+"""From text to rendered text: rule matching, span resolution, policy, rendering. Spark expressions, but for rules whose
+syntax only Python reads and for dates written in words."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as K
+from ..functions import dates as D
+from ..functions import policy as P
+
+
+#: Syntax that Python and Java read differently; rules with it are matched by an Arrow function.
+_FOREIGN = re.compile(r"\(\?P|\(\?\(|\(\?[aiLmsux-]+\)|\\Z|\\N|&&|\[[^\]]*\[|\{,|--")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression, or with exact a literal, that marks a category."""
+    """A regular expression in Python's syntax, or with exact a literal, that marks a category. Fields are stripped."""
 
     id: str
     name: str
@@ -23,15 +33,41 @@ class Rule:
 
     def __post_init__(self):
         for field in ("id", "name", "pattern"):
-            if not getattr(self, field).strip():
+            object.__setattr__(self, field, getattr(self, field).strip())
+            if not getattr(self, field):
                 raise ValueError(f"rule {field} is blank")
         if self.category not in K.CATEGORIES:
             raise ValueError(f"no such category: {self.category}")
+        try:
+            self.compiled
+        except re.error as e:
+            raise ValueError(f"rule {self.id} is no regular expression: {e}") from e
+
+    @property
+    def compiled(self) -> re.Pattern:
+        return re.compile(re.escape(self.pattern) if self.exact else self.pattern, re.IGNORECASE if self.ignore_case else 0)
+
+    @property
+    def native(self) -> bool:
+        """Whether Spark's expressions give Python's matches: portable syntax that never matches nothing."""
+        return self.exact or not (_FOREIGN.search(self.pattern) or _may_be_empty(self.pattern))
 
     @property
     def regex(self) -> str:
         body = "\\Q" + self.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if self.exact else self.pattern
-        return ("(?iu)" if self.ignore_case else "") + body
+        # lines end at line feeds alone, and classes are Unicode ones, as in Python
+        flags = ("d" if re.search(r"[.^$]", body) and not self.exact else "") + ("U" if re.search(r"\\[dwsbDWSB]", body) and not self.exact else "") + ("iu" if self.ignore_case else "")
+        return f"(?{flags})" * bool(flags) + body
+
+
+def _may_be_empty(pattern: str) -> bool:
+    """Whether the pattern can match no characters; in doubt, yes."""
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        parser = getattr(re, "_parser", None)
+        return parser is None or parser.parse(pattern).getwidth()[0] == 0
 
 
 def check_rules(rules: list[Rule]) -> list[Rule]:
@@ -42,40 +78,54 @@ def check_rules(rules: list[Rule]) -> list[Rule]:
     return rules
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end, text>> of a rule's non-overlapping matches, 0-based code points, end exclusive; matches
-    of no length are skipped. Lengths of the pieces between matches give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(f"({rule.regex})"), 1)
-    between = F.split(text, rule.regex, -1)
-    kind = "array<struct<start:int,end:int,text:string>>"
+_MATCH = "array<struct<i:int,before:int,text:string>>"
+
+
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """array<struct<i, before, text>> of a rule's non-overlapping matches: the i-th, with ``before`` characters between it
+    and the one before. Matches of no length are skipped."""
+    if not rule.native:
+        return _foreign_matches(rule)(text)
+    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+    between = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
+    return F.transform(found, lambda x, k: F.struct(k.cast("int").alias("i"), F.get(between, k).alias("before"), x.alias("text")))
+
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.get(acc["between"], k))
-        match = F.get(acc["found"], k)
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), acc["found"].alias("found"), acc["between"].alias("between"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), match.alias("text"))).alias("out"))
+def _foreign_matches(rule: Rule):
+    @F.pandas_udf(_MATCH)
+    def run(text: pd.Series) -> pd.Series:
+        pattern, out = rule.compiled, []
+        for t in text:
+            at, rows = 0, []
+            for m in pattern.finditer(t or ""):
+                if m.end() > m.start():
+                    rows.append({"i": len(rows), "before": m.start() - at, "text": m[0]})
+                    at = m.end()
+            out.append(rows)
+        return pd.Series(out, dtype=object)
 
-    zero = F.struct(F.lit(0).alias("at"), found.alias("found"), between.alias("between"), F.array().cast(kind).alias("out"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(F.filter(found, lambda x: x != "")) > 0, spans).otherwise(F.array().cast(kind))
+    return run
 
 
 def rule_findings(records: DataFrame, rules: list[Rule]) -> DataFrame:
     """(record_id, rule_ordinal, rule_id, category, start, end, exact_text, span_id) of records (record_id, text).
 
-    One pass over the text; rows without a match make none. The span id numbers a record's matches over all rules."""
+    One pass over the text; rows without a match make none. A match's place is the sum of what lies before it, so the work
+    is linear in the matches. The span id numbers a record's matches over all rules. Record ids are unique."""
     check_rules(rules)
-    tagged = [_tagged(rule_spans(F.col("text"), r), k, r) for k, r in enumerate(rules)]
-    rows = records.where(F.col("text").isNotNull()).select("record_id", F.explode(F.concat(*tagged)).alias("m"))
-    number = Window.partitionBy("record_id").orderBy("m.rule_ordinal", "m.start")
-    return rows.select("record_id", "m.*", F.row_number().over(number).alias("n")).withColumn("span_id", F.concat_ws(":", "rule_id", "n")).drop("n")
+    tagged = [_tagged(rule_matches(F.col("text"), r), k, r) for k, r in enumerate(rules)]
+    rows = records.where(F.col("text").isNotNull()).select("record_id", F.explode(F.concat(*tagged)).alias("m")).select("record_id", "m.*")
+    upto = F.sum(F.col("before") + F.length("exact_text")).over(Window.partitionBy("record_id", "rule_ordinal").orderBy("i"))
+    placed = rows.repartition("record_id").withColumn("end", upto.cast("int")).withColumn("start", F.col("end") - F.length("exact_text"))
+    number = F.row_number().over(Window.partitionBy("record_id").orderBy("rule_ordinal", "start"))
+    return placed.select("record_id", "rule_ordinal", "rule_id", "category", "start", "end", "exact_text", F.concat_ws(":", "rule_id", number).alias("span_id"))
 
 
-def _tagged(spans: Column, k: int, rule: Rule) -> Column:
+def _tagged(matches: Column, k: int, rule: Rule) -> Column:
     def tag(s: Column) -> Column:
-        return F.struct(F.lit(k).alias("rule_ordinal"), F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("exact_text"))
+        return F.struct(F.lit(k).alias("rule_ordinal"), F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), s["i"].alias("i"), s["before"].alias("before"), s["text"].alias("exact_text"))
 
-    return F.transform(spans, tag)
+    return F.transform(matches, tag)
 
 
 def valid_span(text: Column, start: Column, end: Column, exact: Column) -> Column:
@@ -83,21 +133,33 @@ def valid_span(text: Column, start: Column, end: Column, exact: Column) -> Colum
     return (start >= 0) & (end > start) & (end <= F.length(text)) & F.substring(text, start + 1, end - start).eqNullSafe(exact)
 
 
-def resolve(findings: DataFrame) -> DataFrame:
-    """Overlap groups: (record_id, start, end, category, finding_ids, group_id).
+_ORDER = ("start", "end", "category", "finding_id")
 
-    findings: record_id, finding_id, start, end, category, source_kind, confidence. Spans that overlap, directly or
-    through others, form one group; spans that only touch do not. The category is that of the finding that comes first by
-    source, then confidence, then length, then start, category and id. One sort and one window a record."""
-    order = Window.partitionBy("record_id").orderBy("start", "end", "category", "finding_id")
+
+def _islands(findings: DataFrame) -> DataFrame:
+    """Adds island: a number that overlapping findings of a record share. Spans that only touch do not overlap."""
+    order = Window.partitionBy("record_id").orderBy(*_ORDER)
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
-    islands = findings.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return findings.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+
+
+def _grouped(rows: DataFrame, by: str) -> DataFrame:
+    """One group for each record and ``by``, of the category of its first finding by source, confidence, length, start,
+    category and id."""
     priority = F.element_at(F.create_map(*(F.lit(x) for kv in K.SOURCE_PRIORITY.items() for x in kv)), F.col("source_kind"))
     first = F.struct(priority, -F.coalesce("confidence", F.lit(-1.0)), -(F.col("end") - F.col("start")), F.col("start"), F.col("category"), F.col("finding_id"))
-    groups = islands.groupBy("record_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("category", first).alias("category"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
+    groups = rows.groupBy("record_id", by).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("category", first).alias("category"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
     ids = F.concat(F.lit("["), F.concat_ws(",", F.transform("finding_ids", K.json_string)), F.lit("]"))
-    return groups.withColumn("group_id", K.content_id("group", K.json_string(F.lit("group")), K.json_string(F.col("record_id").cast("string")), F.col("start").cast("string"), F.col("end").cast("string"), ids)).drop("island")
+    return groups.withColumn("group_id", K.content_id("group", K.json_string(F.lit("group")), K.json_string(F.col("record_id").cast("string")), F.col("start").cast("string"), F.col("end").cast("string"), ids)).drop(by)
+
+
+def resolve(findings: DataFrame) -> DataFrame:
+    """Overlap groups: (record_id, start, end, category, finding_ids, group_id).
+
+    findings: record_id, finding_id, start, end, category, source_kind, confidence. Spans that overlap, directly or
+    through others, form one group. One sort and one window a record."""
+    return _grouped(_islands(findings), "island")
 
 
 _GAP = "^[ \\t\\r\\n.,'-]+\\z"
@@ -105,72 +167,85 @@ _GAP = "^[ \\t\\r\\n.,'-]+\\z"
 
 def resolve_linked(findings: DataFrame, records: DataFrame) -> DataFrame:
     """As resolve, and names that one source has put in one source_group_id join where only blanks and ``. , ' -`` lie
-    between them and the one follows the other within that group."""
-    order = Window.partitionBy("record_id").orderBy("start", "end", "category", "finding_id")
-    linked = Window.partitionBy("record_id", "source_name", "source_group_id").orderBy("start", "end", "category", "finding_id")
-    name = (F.col("category") == "NAME") & (F.coalesce("source_group_id", F.lit("")) != "")
-    rows = findings.join(records.select("record_id", "text"), "record_id")
-    before = F.when(name, F.lag(F.when(name, F.col("end"))).over(linked))
-    gap = F.substring(F.col("text"), before + 1, F.col("start") - before)
-    joins = F.coalesce((F.col("start") > before) & gap.rlike(_GAP), F.lit(False))
-    # a joined name reaches back over the gap, so that the windows of resolve see an overlap
-    reached = rows.withColumn("begin", F.when(joins, before - 1).otherwise(F.col("start"))).drop("text")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(reach.isNull() | (F.col("begin") >= reach), 1).otherwise(0)
-    islands = reached.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("record_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids")).drop("island")
+    between them and the one follows the other among them. findings carry source_name and source_group_id besides.
 
+    Islands are joined along such links, within each record's own small list of them. An island that lies wholly in the
+    gap of a link stays apart, so that its group overlaps the joined one; ``render`` reports that as an error."""
+    linked = Window.partitionBy("record_id", "source_name", "source_group_id").orderBy(*_ORDER)
+    rows = _islands(findings)
+    names = rows.where((F.col("category") == "NAME") & (F.coalesce("source_group_id", F.lit("")) != ""))
+    pairs = names.select("record_id", F.lag("end").over(linked).alias("from"), F.col("start").alias("to"), F.lag("island").over(linked).alias("a"), F.col("island").alias("b")).where("to > `from` and a <> b")
+    gap = F.substring(F.col("text"), F.col("from") + 1, F.col("to") - F.col("from"))
+    links = pairs.join(records.select("record_id", "text"), "record_id").where(gap.rlike(_GAP)).groupBy("record_id").agg(F.collect_set(F.struct("a", "b")).alias("links"))
+    # island k starts as group k; each link gives the later group the earlier one's number; as many rounds as links at most
+    several = rows.join(links, "record_id").groupBy("record_id", "links").agg(F.max("island").alias("n"))
+    ends = lambda lab, l: (F.element_at(lab, l["a"].cast("int")), F.element_at(lab, l["b"].cast("int")))
+    join = lambda lab, l: F.transform(lab, lambda x: F.when((x == ends(lab, l)[0]) | (x == ends(lab, l)[1]), F.least(*ends(lab, l))).otherwise(x))
+    labels = several.select("record_id", F.posexplode(F.aggregate("links", F.sequence(F.lit(1).cast("long"), F.col("n")), join)).alias("k", "joined"))
+    named = rows.join(labels.select("record_id", (F.col("k") + 1).cast("long").alias("island"), "joined"), ["record_id", "island"], "left")
+    return _grouped(named.withColumn("joined", F.coalesce("joined", "island")), "joined")
 
-def plan(groups: DataFrame, policy: dict[str, tuple[str, str | None]] = K.DEFAULT_POLICY, purpose: str = "final") -> DataFrame:
-    """Adds action and replacement; groups carry original. A draft masks all that is not retained."""
-    entries = list(policy.items())
-    action = F.element_at(F.create_map(*(F.lit(x) for c, (a, _) in entries for x in (c, a))), F.col("category"))
-    strategy = F.element_at(F.create_map(*(F.lit(x) for c, (_, s) in entries for x in (c, s or ""))), F.col("category"))
-    mark = K.placeholder(F.col("category"))
-    general = F.when(strategy == "age_90_plus", K.age_90_plus(F.col("original"))).when(strategy == "year_only", year_only(F.col("original"))).otherwise(mark)
-    final = F.when(F.col("action") == "retain", F.col("original")).when(F.lit(purpose == "draft") | (F.col("action") == "redact"), mark).when(F.col("action") == "generalize", general).otherwise(mark)
-    return groups.withColumn("action", action).withColumn("replacement", final)
+
+def findings_digest(findings: DataFrame) -> DataFrame:
+    """(record_id, digest): the hash of a record's findings (category, end, id, start, text) as canonical JSON, in order of
+    place. A record that has none is hashed by its reader as an empty list (``EMPTY_DIGEST``)."""
+    text = F.concat(F.lit('{"category":'), K.json_string(F.col("category")), F.lit(',"end":'), F.col("end").cast("string"), F.lit(',"id":'), K.json_string(F.col("finding_id")), F.lit(',"start":'), F.col("start").cast("string"), F.lit(',"text":'), K.json_string(F.col("exact_text")), F.lit("}"))
+    items = findings.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, text.alias("json")))).alias("items"))
+    return items.select("record_id", K.sha256(F.concat(F.lit("["), F.array_join(F.col("items.json"), ","), F.lit("]"))).alias("digest"))
 
 
-def year_only(text: Column) -> Column:
-    """Years stay and every other run of letters or digits becomes the date's placeholder. A year is a number from 1800
-    to 2199, else the last of three runs or more if it has two digits, else a single two-digit number above 12."""
-    run = "[A-Za-z]+|[0-9]+"
-    runs, between = F.regexp_extract_all(text, F.lit(f"({run})"), 1), F.split(text, run, -1)
-    four = F.exists(runs, lambda x: x.rlike("^(18|19|20|21)[0-9]{2}$"))
-    n = F.size(runs)
-    two = F.filter(runs, lambda x: x.rlike("^[0-9]{2}$") & (F.when(x.rlike("^[0-9]{2}$"), x.cast("int")) > 12))
+EMPTY_DIGEST = hashlib.sha256(b"[]").hexdigest()
 
-    def keeps(x: Column, k: Column) -> Column:
-        last = (n >= 3) & (k == n - 1) & F.element_at(runs, -1).rlike("^[0-9]{2}$")
-        single = ~F.coalesce((n >= 3) & F.element_at(runs, -1).rlike("^[0-9]{2}$"), F.lit(False)) & (F.size(two) == 1) & (x == F.get(two, F.lit(0)))
-        return F.when(four, x.rlike("^(18|19|20|21)[0-9]{2}$")).otherwise(last | single)
 
-    out = F.transform(runs, lambda x, k: F.concat(F.when(F.coalesce(keeps(x, k), F.lit(False)), x).otherwise(F.lit("[R_DATE]")), F.get(between, k + 1)))
-    return F.concat(F.get(between, F.lit(0)), F.array_join(out, ""))
+def plan(groups: DataFrame, policy: dict[str, tuple[str, str | None]] = K.DEFAULT_POLICY, purpose: str = "final") -> DataFrame:
+    """Adds action and replacement; groups carry original, and for surrogates weeks (dates) and surrogate (all others).
+
+    Retained text stays even in a draft; a draft masks all else. A final surrogate whose column is missing is an error
+    now; one that is null stays null, which ``render`` reports."""
+    P.check(policy)
+    if purpose not in ("draft", "final"):
+        raise ValueError(f"no such purpose: {purpose}")
+    surrogates = {c: s for c, (a, s) in policy.items() if a == "surrogate"}
+    for column, wanted in (("weeks", "DATE" in surrogates), ("surrogate", bool(set(surrogates) - {"DATE"}))):
+        if purpose == "final" and wanted and column not in groups.columns:
+            raise ValueError(f"surrogates need the column {column}")
+    action, strategy = P.action_of(F.col("category"), policy), P.strategy_of(F.col("category"), policy)
+    mark, original = K.placeholder(F.col("category")), F.col("original")
+    general = F.when(strategy == "age_90_plus", K.age_90_plus(original)).when(strategy == "year_only", D.year_only(original))
+    if purpose == "final" and surrogates:
+        fallback = P.date_fallback(policy)
+        moved = D.shift_text(F.when((F.col("category") == "DATE") & (F.col("action") == "surrogate"), original), F.col("weeks"), fallback) if "DATE" in surrogates else F.lit(None).cast("string")
+        other = F.col("surrogate") if "surrogate" in groups.columns else F.lit(None).cast("string")
+        surrogate = F.when(F.col("category") == "DATE", moved).otherwise(other)
+    else:
+        surrogate = mark
+    final = F.when(F.col("action") == "retain", original).when(F.lit(purpose == "draft") | (F.col("action") == "redact"), mark).when(F.col("action") == "generalize", general).otherwise(surrogate)
+    return groups.withColumn("action", action).withColumn("replacement", final)
 
 
 def render(records: DataFrame, events: DataFrame) -> DataFrame:
     """(record_id, rendered, error) of records (record_id, text) with events (record_id, start, end, original,
-    replacement). Errors are data: overlap, out_of_range, text_mismatch, null_replacement; then rendered is null.
+    replacement). Errors are data: overlap, out_of_range, text_mismatch, null_replacement, of the first bad event; then
+    rendered is null.
 
-    The pieces of a record, its events and the text between them, meet in one array that its own events bound."""
+    The pieces of a record, its events and the text between them, meet in one array that its own events bound, and are
+    joined once."""
     e = F.struct("start", "end", "original", "replacement")
     per = events.groupBy("record_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
     rows = records.select("record_id", "text").join(per, "record_id", "left")
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(None).cast("string").alias("error"))
+    before = lambda k: F.when(k > 0, F.get("events", k - 1)["end"]).otherwise(0)
 
-    def step(acc: Column, x: Column) -> Column:
-        bad = F.when(x["replacement"].isNull(), "null_replacement").when((x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > F.length(text)), "out_of_range").when(x["start"] < acc["at"], "overlap")
-        bad = F.coalesce(acc["error"], bad, F.when(~F.substring(text, x["start"] + 1, x["end"] - x["start"]).eqNullSafe(x["original"]), "text_mismatch"))
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.coalesce(x["replacement"], F.lit("")))
-        return F.struct(x["end"].alias("at"), out.alias("out"), bad.alias("error"))
+    def fault(x: Column, k: Column) -> Column:
+        wrong = ~F.substring(text, x["start"] + 1, x["end"] - x["start"]).eqNullSafe(x["original"])
+        return F.when(x["start"] < before(k), "overlap").when((x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > F.length(text)), "out_of_range").when(wrong, "text_mismatch").when(x["replacement"].isNull(), "null_replacement")
 
-    done = F.aggregate(F.coalesce("events", F.array().cast("array<struct<start:int,end:int,original:string,replacement:string>>")), start, step)
-    rows = rows.select("record_id", "text", done.alias("r"))
-    rest = F.substring(text, F.col("r.at") + 1, F.length(text))
-    return rows.select("record_id", F.when(F.col("r.error").isNull(), F.concat("r.out", rest)).alias("rendered"), F.col("r.error").alias("error"))
+    pieces = F.transform("events", lambda x, k: F.concat(F.substring(text, before(k) + 1, x["start"] - before(k)), x["replacement"]))
+    rest = F.substring(text, F.element_at("events", -1)["end"] + 1, F.length(text))
+    error = F.get(F.filter(F.transform("events", fault), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.select("record_id", "text", "events", error.alias("error"))
+    out = F.when(F.col("events").isNull(), text).when(F.col("error").isNull(), F.concat(F.array_join(pieces, ""), rest))
+    return rows.select("record_id", out.alias("rendered"), "error")
 
 
 def output_offsets(events: DataFrame) -> DataFrame:
@@ -179,3 +254,12 @@ def output_offsets(events: DataFrame) -> DataFrame:
     moved = F.coalesce(F.sum(F.length("replacement") - (F.col("end") - F.col("start"))).over(order), F.lit(0))
     at = (F.col("start") + moved).cast("int")
     return events.withColumn("output_start", at).withColumn("output_end", at + F.length("replacement"))
+
+
+def rendering_events(events: DataFrame) -> DataFrame:
+    """Events of a rendering (record_id, rendering_id, event_id, start, end, category, replacement) with their output
+    offsets and ids, which count a rendering's events from 1."""
+    n = F.row_number().over(Window.partitionBy("record_id").orderBy("start", "end"))
+    numbered = output_offsets(events).withColumn("n", n)
+    key = K.content_id("render-event", K.json_string(F.col("rendering_id")), K.json_string(F.col("event_id")), F.col("n").cast("string"))
+    return numbered.withColumn("rendering_event_id", key)

@@ -1,21 +1,15 @@
-"""Text functions that need sequential logic: chunks, alignment, dates, repair and surrogates. Each is a pure function
-with an Arrow UDF or a grouped function around it."""
+"""Text functions that need sequential logic: chunks, alignment and repair. Each is a pure function with an Arrow UDF
+around it, which gets null for the rows that built-in expressions settle."""
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 import unicodedata
-from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE_MARK = "[R_DATE]"
-
-
 def chunk_text(text: str, most_bytes: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of chunks: the longest prefix of what is left that fits; the next starts ``overlap`` back, and on."""
     if most_bytes < 1 or overlap < 0:
@@ -91,77 +85,6 @@ def _aligned(text: pd.Series, start: pd.Series, end: pd.Series, found: pd.Series
     return pd.DataFrame(rows, columns=["start", "end", "error"]).astype({"start": "Int32", "end": "Int32"})
 
 
-# Fixed formats: with a year, then without one.
-FULL = ("%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y", "%m-%d-%Y", "%m-%d-%y", "%Y/%m/%d", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%b %d %Y", "%m.%d.%Y")
-YEARLESS = ("%m/%d", "%m-%d", "%B %d", "%b %d", "%d %B", "%d %b")
-
-
-def _parse(text: str) -> tuple[datetime, str, bool] | None:
-    for known, formats in ((True, FULL), (False, YEARLESS)):
-        for f in formats:
-            try:
-                value = datetime.strptime(text if known else f"2000 {text}", f if known else f"%Y {f}")
-            except ValueError:
-                continue
-            return value, f, known
-    return None
-
-
-def _show(value: datetime, form: str, like: str) -> str:
-    """The date in the format of ``like``, with its zero padding and its case."""
-    digits = re.findall(r"\d+", like)
-    short = any(len(d) == 1 for d in digits) or not any(d.startswith("0") for d in digits) and any(len(d) == 1 for d in digits)
-    out = value.strftime(form)
-    if short:
-        out = re.sub(r"(?<!\d)0(\d)(?!\d)", r"\1", out)
-    words = re.findall(r"[A-Za-z]+", like)
-    return out.upper() if words and all(w.isupper() for w in words) else out.lower() if words and all(w.islower() for w in words) else out
-
-
-def year_only_text(text: str) -> str:
-    runs = re.findall(r"[A-Za-z]+|\d+", text)
-    full = [r for r in runs if re.fullmatch(r"(18|19|20|21)\d\d", r)]
-    keep = full
-    if not full:
-        pairs = [r for r in runs if re.fullmatch(r"\d\d", r)]
-        big = [r for r in pairs if int(r) > 12]
-        keep = [runs[-1]] if len(runs) >= 3 and re.fullmatch(r"\d\d", runs[-1]) else big if len(big) == 1 else []
-    return re.sub(r"[A-Za-z]+|\d+", lambda m: m[0] if m[0] in keep else DATE_MARK, text)
-
-
-_SPLIT = re.compile(r"(\s+(?:to|through)\s+|\s*[–—]\s*|\s+-\s+)", re.I)
-
-
-def shift_text(text: str, weeks: int, fallback: str = "year_only") -> str:
-    """A date or a range of dates, moved by whole weeks; what cannot be read or leaves the calendar falls back."""
-    other = DATE_MARK if fallback == "redact" else year_only_text(text)
-    move = timedelta(weeks=weeks)
-
-    def one(part: str) -> str | None:
-        got = _parse(part.strip())
-        if not got:
-            return None
-        value, form, _ = got
-        try:
-            return _show(value + move, form, part.strip())
-        except OverflowError:
-            return None
-
-    cuts = [m for m in _SPLIT.finditer(text) if _parse(text[: m.start()].strip()) and _parse(text[m.end() :].strip())]
-    if len(cuts) == 1:
-        a, b = one(text[: cuts[0].start()]), one(text[cuts[0].end() :])
-        return f"{a}{cuts[0][0]}{b}" if a and b else other
-    return one(text) or other
-
-
-def shifted(text: Column, weeks: Column) -> Column:
-    return F.pandas_udf(_shifted, "string")(text, weeks)
-
-
-def _shifted(text: pd.Series, weeks: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else shift_text(t, int(w)) for t, w in zip(text, weeks)])
-
-
 _SIGNS = ("Ã", "â€", "Â", "ï»¿", "ðŸ")
 
 
@@ -184,33 +107,16 @@ def repair(text: str) -> str:
     return re.sub(r"[\x00-\x08\x0b\x0e-\x1f\x7f]", "", text)
 
 
+REPAIR = "maskwright-repair-1"
+#: What repair can change: signs of wrong decoding, carriage returns, control characters, and what may not be in NFC.
+_SUSPECT = "[\\x00-\\x08\\x0b\\x0d-\\x1f\\x7f]|[^\\x00-\\x7f]"
+
+
 def repaired(text: Column) -> Column:
-    return F.pandas_udf(_repaired, "string")(text)
+    """The text repaired; plain ASCII without control characters needs no Python."""
+    suspect = text.rlike(_SUSPECT)
+    return F.when(suspect, F.pandas_udf(_repaired, "string")(F.when(suspect, text))).otherwise(text)
 
 
 def _repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else repair(t))
-
-
-def custom_candidates(secret: bytes, scope: str, values: list[str]) -> list[str]:
-    """The list from the place that a keyed hash of the scope picks, and round."""
-    digest = hmac.new(secret, scope.encode(), hashlib.sha256).digest()
-    k = int.from_bytes(digest[:8], "big") % len(values)
-    return values[k:] + values[:k]
-
-
-def assign_surrogates(rows: DataFrame, secret: bytes, values: list[str]) -> DataFrame:
-    """(container, scope, surrogate, error): each scope of a container gets the first of its candidates that no earlier
-    scope has; scopes come in the order of ``ordinal``. A container is one entity or record and is solved as a group."""
-    values = list(values)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for r in pdf.sort_values(["ordinal", "scope"]).drop_duplicates("scope").itertuples():
-            pick = next((v for v in custom_candidates(secret, r.scope, values) if v not in used), None)
-            used.add(pick)
-            out.append((r.container, r.scope, pick, None if pick else "the list has no value left"))
-        return pd.DataFrame(out, columns=["container", "scope", "surrogate", "error"])
-
-    return rows.select("container", "scope", "ordinal").groupBy("container").applyInPandas(run, "container string, scope string, surrogate string, error string")
