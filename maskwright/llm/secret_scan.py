@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order models over the 64 characters of tokens, with a start state, give a token the log-likelihood ratio
-sum log P_random(c | previous) / P_ordinary(c | previous). A token is a secret if the ratio a character exceeds a
-threshold fitted to labelled samples. The samples are random strings over usual alphabets by a seeded generator, and
-ordinary identifiers: words of at most ``SAMPLE`` rows, alone and joined in the usual styles.
+Two first-order models over the 67 characters of tokens, with a start state, give a token the log-likelihood ratio
+sum log P_random(c | previous) / P_ordinary(c | previous). A token of ``SHORTEST`` characters or more is a secret if the
+ratio a character exceeds a threshold for its length, fitted to labelled samples: short tokens need more. The samples
+are random strings over usual alphabets by a seeded generator, and ordinary identifiers: at most ``WORDS`` different
+words of the whole texts of at most ``SAMPLE`` rows, both chosen by hash, and a few usual parts of identifiers, alone and
+joined in the usual styles, and numbers.
 
 Spans count code points, ends exclusive. The patterns' spans always stay; a token adds one only where it meets none.
 Cases: null and empty texts have no spans; repeated rows get the same spans; of spans that start alike the kinds come in
-the order of KINDS; other columns are ignored.
+the order of KINDS; without training rows the usual parts alone train; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from . import common as C
 
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 300
+WORDS = 8_000
+SHORTEST = 12
+#: Where classes of lengths begin; each has a threshold.
+LENGTHS = (12, 16, 20, 28, 40)
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # a run of 32 or more is exactly a leftmost match of that length
-TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(256, np.int64)
 for _i, _c in enumerate(_ALPHABET):
@@ -48,36 +55,57 @@ class Markov:
 
 
 class Detector:
-    """The log-likelihood ratio a character of tokens, and the threshold fitted to the samples."""
+    """The log-likelihood ratio a character of tokens, and the thresholds fitted to the samples."""
 
     def __init__(self, random: list[bytes], ordinary: list[bytes], least: float = 0.5):
         self.ratio = Markov(random).log - Markov(ordinary).log
-        high = np.quantile([self.score(s) for s in ordinary if len(s) >= 12] or [0.0], 0.9995)
-        self.threshold = max(least, float(high))
-
-    def score(self, token: bytes) -> float:
-        c = _CODE[np.frombuffer(token, np.uint8)]
-        return float(self.ratio[np.concatenate(([0], c[:-1])), c].mean()) if len(c) else 0.0
+        scores, sizes = self.scores(ordinary), np.array([len(s) for s in ordinary])
+        high = [float(scores[(sizes >= a) & (sizes < b)].max(initial=-1.0)) for a, b in zip(LENGTHS, [*LENGTHS[1:], 1 << 40])]
+        # a longer token never needs more than a shorter one
+        self.thresholds = np.maximum(least, np.maximum.accumulate(high[::-1])[::-1] + 0.05)
+
+    def scores(self, tokens: list[bytes]) -> np.ndarray:
+        """The ratio a character of each token; none is empty."""
+        if not tokens:
+            return np.zeros(0)
+        n = np.array([len(t) for t in tokens])
+        c = _CODE[np.frombuffer(b"".join(tokens), np.uint8)]
+        starts = np.cumsum(n) - n
+        before = np.concatenate(([0], c[:-1]))
+        before[starts] = 0
+        return np.add.reduceat(self.ratio[before, c], starts) / n
+
+    def secret(self, tokens: list[bytes]) -> np.ndarray:
+        at = np.searchsorted(LENGTHS, [len(t) for t in tokens], side="right") - 1
+        return (at >= 0) & (self.scores(tokens) > self.thresholds[np.maximum(at, 0)])
 
     def is_secret(self, token: bytes) -> bool:
-        return self.score(token) > self.threshold
+        return bool(token) and bool(self.secret([token])[0])
+
+
+#: Parts of identifiers that prose may lack.
+USUAL = (
+    "value name index count item total user config default status error message request response server client session account backup archive version release update delete insert select create table "
+    "column record number string object array buffer stream input output result handler manager service factory module package library function method class interface implementation "
+    "international application environment development production temporary directory document template language character parameter argument attribute element container position"
+).split()
 
 
-def random_samples(n: int = 4_000, seed: int = 11) -> list[bytes]:
+def random_samples(n: int = 6_000, seed: int = 11) -> list[bytes]:
     rng = np.random.default_rng(seed)
     lower, upper, digits = _ALPHABET[26:52], _ALPHABET[:26], _ALPHABET[52:62]
     kinds = [digits + b"abcdef", digits + b"ABCDEF", upper + digits, lower + digits, upper + lower + digits, upper + lower + digits + b"+/", upper + lower + digits + b"_-"]
-    return [bytes(np.frombuffer(k := kinds[i % len(kinds)], np.uint8)[rng.integers(0, len(k), rng.integers(20, 64))]) for i in range(n)]
+    return [bytes(np.frombuffer(k := kinds[i % len(kinds)], np.uint8)[rng.integers(0, len(k), rng.integers(SHORTEST, 64))]) for i in range(n)]
 
 
-def ordinary_samples(words: list[str], n: int = 8_000, seed: int = 12) -> list[bytes]:
-    """Identifiers from words, alone and joined."""
+def ordinary_samples(words: list[str], n: int = 16_000, seed: int = 12) -> list[bytes]:
+    """Identifiers from words, alone and joined, and numbers."""
     rng = np.random.default_rng(seed)
-    known = sorted({w for x in words for w in re.findall("[A-Za-z]{2,}", x)}) or ["value", "name", "index", "count", "item", "total", "user", "config", "default", "status", "error", "message"]
-    out = [w.encode() for w in known[:n]]
+    known = sorted({*words, *USUAL})
+    out = [w.encode() for w in known]
     for i in range(n):
         w = [known[k] for k in rng.integers(0, len(known), rng.integers(2, 5))]
-        style = i % 8
+        style = i % 10
         if style == 0:
             s = "_".join(w).lower()
         elif style == 1:
@@ -92,18 +120,27 @@ def ordinary_samples(words: list[str], n: int = 8_000, seed: int = 12) -> list[b
             s = "".join(x.title() for x in w)
         elif style == 6:
             s = f"{'_'.join(w)}_{rng.integers(1, 3000)}"
-        else:
+        elif style == 7:
             s = f"{'-'.join(w).lower()}-{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+        elif style == 8:
+            s = "".join(map(str, rng.integers(0, 10, rng.integers(6, 24))))
+        else:
+            s = "-".join("".join(map(str, rng.integers(0, 10, rng.integers(2, 6)))) for _ in range(4))
         out.append(s.encode())
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Detector:
-    """Ordinary words come from at most ``sample`` rows, chosen by a hash of their texts' keys."""
+def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Detector:
+    """Ordinary words come from the whole texts of at most ``sample`` rows, without what the patterns find; both rows and
+    words are chosen by hash, so at most ``words`` short strings reach the driver."""
     picked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(C.crc_order("doc_id"), "doc_id").limit(sample)  # keys alone
-    rows = docs.select("doc_id", F.substring("text", 1, 4000).alias("text")).where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").select("text").collect()
-    words = [w for r in rows for w in r["text"].split() if not any(p.search(w.encode()) for p in (ASSIGN, ACCESS, HEX))]
-    return Detector(random_samples(), ordinary_samples(words))
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
+    text = F.col("text")
+    for p in (ASSIGN, ACCESS, HEX):
+        text = F.regexp_replace(text, p.pattern.decode(), " ")
+    known = rows.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).distinct()
+    got = known.orderBy(F.xxhash64("w"), "w").limit(words).collect()
+    return Detector(random_samples(), ordinary_samples([r["w"] for r in got]))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -115,18 +152,34 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def all_spans(text: bytes, detector: Detector) -> tuple[list, list]:
-    """(the patterns' spans, all spans) in code points."""
-    base = base_spans(text)
-    more = []
+def _free(text: bytes, base: list[tuple[int, int, int]]) -> list[re.Match]:
+    """Tokens that meet no base span. Both come by start, so one pass does."""
+    edges = sorted((a, b) for a, b, _ in base)
+    out, k, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and detector.is_secret(m[0]):
-            more.append((m.start(), m.end(), 3))
-    if not base and not more:
-        return [], []
-    shift = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-    points = lambda spans: [(int(shift[a]), int(shift[b]), k) for a, b, k in spans]
-    return points(base), points(sorted(base + more, key=lambda s: (s[0], s[2])))
+        while k < len(edges) and edges[k][0] < m.end():
+            reach = max(reach, edges[k][1])
+            k += 1
+        if reach <= m.start():
+            out.append(m)
+    return out
+
+
+def spans_of(texts: list[bytes], detector: Detector) -> list[tuple[list, list]]:
+    """For each text (the patterns' spans, all spans) in code points. All tokens of the batch are scored at once."""
+    bases = [base_spans(t) for t in texts]
+    free = [_free(t, b) for t, b in zip(texts, bases)]
+    hit = iter(detector.secret([m[0] for f in free for m in f]))
+    out = []
+    for text, base, tokens in zip(texts, bases, free):
+        more = [(m.start(), m.end(), 3) for m in tokens if next(hit)]
+        if not base and not more:
+            out.append(([], []))
+            continue
+        shift = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+        points = lambda spans, shift=shift: [(int(shift[a]), int(shift[b]), k) for a, b, k in spans]
+        out.append((points(base), points(sorted(base + more, key=lambda s: (s[0], s[2])))))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -158,9 +211,8 @@ def _scan(ref, keep: list[str], clean: bool):
             data, off = C.string_buffer(b.column("text"))
             rows, texts = [], []
             valid = b.column("text").is_valid().to_pylist()
-            for k in range(b.num_rows):
-                text = data[off[k] : off[k + 1]].tobytes()
-                base, spans = all_spans(text, detector)
+            whole = [data[off[k] : off[k + 1]].tobytes() for k in range(b.num_rows)]
+            for k, (text, (base, spans)) in enumerate(zip(whole, spans_of(whole, detector))):
                 rows.append((*(sum(s[2] == i for s in base) for i in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
                 if clean:
                     texts.append((redact(text.decode(), spans) if spans else text.decode()) if valid[k] else None)
