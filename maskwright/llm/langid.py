@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes the text smallest wins.
 
-A dictionary is the concatenation of at most ``DICTIONARY_BYTES`` bytes of training text of its language, chosen by a
-hash of the key. Whole texts are encoded, in blocks of ``BLOCK`` bytes, so that the dictionary speaks for every block
-of a long text alike. A narrow margin between the two smallest sizes is a rejection.
+A dictionary is made of at most ``TRAIN_BLOCKS`` blocks of ``TRAIN_BLOCK`` characters, chosen by hash among all blocks of
+the whole texts of at most ``TRAIN_TEXTS`` training rows of its language, themselves chosen by a hash of the key. Whole
+texts are encoded, in blocks of ``BLOCK`` bytes, so that the dictionary speaks for every block of a long text alike. A
+narrow margin between the two smallest sizes is a rejection.
 
 Cases: null and empty texts and texts without a letter are ``und`` with score 0; so is every text if nothing was
 learned; ties go to the language that sorts first; repeated rows get the same answer; other columns are ignored.
@@ -19,38 +20,61 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DICTIONARY_BYTES = 96_000
 TRAIN_TEXTS = 400
-TEXT_BYTES = 1_500
+TRAIN_BLOCKS = 96
+TRAIN_BLOCK = 1_000
 BLOCK = 2_048
 LEVEL = 6
 MARGIN = 0.01
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[^a-z]+")
 
 
 def letters(text: str) -> str:
-    """Lower-case runs of letters, one space between them: shouting, digits and marks say nothing of the language."""
-    return _OTHER.sub(" ", text.lower()).strip()
-
-
-def dictionaries(docs: DataFrame, texts: int = TRAIN_TEXTS) -> dict[str, bytes]:
-    """Raw-content dictionaries by language: at most ``texts`` texts of each, of each at most its first TEXT_BYTES characters.
-
-    The bound concerns the training sample alone: 600 kB a language reach the driver.
-    """
-    keys = docs.where(F.col("lang").isNotNull()).select("lang", "doc_id", C.crc_order("doc_id", "lang").alias("at"))
-    # a hot language: first the smallest hashes of each of 64 parts, then of those the smallest of all
-    part = Window.partitionBy("lang", F.pmod(F.col("at"), F.lit(64))).orderBy("at", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("at", "doc_id")
-    few = keys.withColumn("k", F.row_number().over(part)).where(F.col("k") <= texts).drop("k")
-    picked = few.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= texts).select("lang", "doc_id", "k")
-    rows = docs.select("lang", "doc_id", F.substring("text", 1, TEXT_BYTES).alias("text")).where(F.length("text") > 0)
-    got = rows.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "k", "text").distinct().collect()  # ``texts`` rows a language
+    """Lower-case runs of letters and the marks on them, one space between them: shouting, digits and signs say nothing of
+    the language. Texts without a letter are empty."""
+    text = text.lower()
+    if text.isascii():
+        return _OTHER.sub(" ", text).strip()
+    import regex
+
+    if not any(map(str.isalpha, text)):
+        return ""
+    return regex.sub(r"[^\p{L}\p{M}]+", " ", text).strip()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The letters of whole texts in blocks: lang, doc_id, block, text."""
+    for b in C.small_batches(batches):
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for lang, doc, text in zip(b.column("lang").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            text = letters(text)
+            for k, at in enumerate(range(0, len(text), TRAIN_BLOCK)):
+                for col, x in zip(out, (lang, doc, k, text[at : at + TRAIN_BLOCK])):
+                    col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["lang", "doc_id", "block", "text"])
+
+
+def _first(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """The n rows of each language with the smallest hashes of ``key``: first of each of 64 parts, so that a hot language is
+    no single task, then of those."""
+    at = rows.withColumn("at", F.xxhash64(*key))
+    part = Window.partitionBy("lang", F.pmod(F.col("at"), F.lit(64))).orderBy("at", *key)
+    whole = Window.partitionBy("lang").orderBy("at", *key)
+    few = at.withColumn("k", F.row_number().over(part)).where(F.col("k") <= n).drop("k")
+    return few.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= n)
+
+
+def dictionaries(docs: DataFrame, texts: int = TRAIN_TEXTS, blocks: int = TRAIN_BLOCKS) -> dict[str, bytes]:
+    """Raw-content dictionaries by language; about 100 kB a language reach the driver."""
+    keys = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id").distinct()
+    picked = _first(keys, texts, "doc_id", "lang").select("lang", "doc_id")
+    rows = docs.select("lang", "doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), ["lang", "doc_id"])
+    cut = rows.mapInArrow(_blocks, "lang string, doc_id long, block long, text string")
+    got = _first(cut.distinct(), blocks, "doc_id", "block", "text").select("lang", "k", "text").collect()  # ``blocks`` rows a language
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in got}):
-        # zstandard finds what stands last soonest, so the order does not matter to the sizes but must be fixed
-        out[lang] = b"\n".join(letters(r["text"]).encode() for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: (r["k"], r["text"])))[:DICTIONARY_BYTES]
+        out[lang] = b"\n".join(r["text"].encode() for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["k"]))
     return out
 
 
