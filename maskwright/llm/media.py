@@ -3,9 +3,10 @@
 A payload is stored as a PNG image of 8-bit grey samples, 64 to a line, which is lossless. Each task appends the
 payloads of its rows to tar shards in a shared folder, one member for each digest that it meets, named after the digest;
 rows carry digest, shard, offset and length. Metadata (width, height, depth) come from range reads of the first bytes
-of a member. A shard appears under its name only when it is whole, and a task that runs again writes the same bytes
-under the same name, so lost executors leave neither halves nor doubts. The same digest may stand in the shards of
-several tasks; any of them serves.
+of a member. A shard is named after the task's attempt and appears only when it is whole; rows point into the shards of
+their own attempt, so a task that runs again after an executor is lost cannot replace what other rows point into,
+whatever order its rows come in. What a lost attempt wrote is pointed to by nothing. The same digest may stand in the
+shards of several tasks; any of them serves.
 
 Cases: null and empty texts are one block of zeros; repeated rows share a member within a task and agree in every value
 that comes from the content; an empty table writes no shard; other columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -82,7 +84,7 @@ class Shard:
     def __init__(self, uri: str, name: str):
         self.fs, root = fs.FileSystem.from_uri(uri)
         self.fs.create_dir(root, recursive=True)
-        self.path, self.part = f"{root}/{name}", f"{root}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
+        self.path, self.part = f"{root}/{name}", f"{root}/.{name}"
         self.out, self.at = self.fs.open_output_stream(self.part), 0
 
     def add(self, name: str, data: bytes) -> tuple[int, int]:
@@ -97,11 +99,7 @@ class Shard:
     def close(self) -> str:
         self.out.write(bytes(1024))
         self.out.close()
-        try:
-            self.fs.move(self.part, self.path)
-        except OSError:  # a store that does not replace: an earlier attempt left the same bytes
-            self.fs.delete_file(self.path)
-            self.fs.move(self.part, self.path)
+        self.fs.move(self.part, self.path)
         return self.path
 
 
@@ -122,7 +120,7 @@ def _store(uri: str, keep: list[str], shard_bytes: int):
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, shard = TaskContext.get().partitionId(), 0, None
+        part, count, shard = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", 0, None
         places: dict[str, tuple] = {}  # digest to shard name, offset, length, of the open shard
         waiting: list[tuple[pa.RecordBatch, list[tuple]]] = []
 
@@ -146,8 +144,8 @@ def _store(uri: str, keep: list[str], shard_bytes: int):
                 payload = pad(text := data[off[k] : off[k + 1]].tobytes())
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in places:
-                    shard = shard or Shard(uri, f"shard-{part:06d}-{count:04d}.tar")
-                    places[digest] = (f"shard-{part:06d}-{count:04d}.tar", *shard.add(f"{digest}.png", encode(payload)))
+                    shard = shard or Shard(uri, f"shard-{part}-{count:04d}.tar")
+                    places[digest] = (f"shard-{part}-{count:04d}.tar", *shard.add(f"{digest}.png", encode(payload)))
                 rows.append((digest, len(text), len(payload)))
             waiting.append((batch.select(keep), rows))
             if shard and shard.at >= shard_bytes:
