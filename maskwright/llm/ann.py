@@ -2,10 +2,14 @@
 
 The tree is fitted on the driver to at most ``SAMPLE`` vectors, chosen by a hash of their keys; every row of the table
 is in the index, each in the leaf that it reaches by nearest centroids. A query takes nodes from a priority queue by
-inner product with their centroids, opening the best first, and goes on to further leaves until it has visited as many
-as calibration found to be needed: the smallest number at which queries from the sample reached ``TARGET`` of their true
-neighbours within the sample. Leaves are split into parts by a hash, rows and queries alike, so that a hot leaf is many
-tasks. Scores of what is returned are sums in double precision over the original vectors.
+inner product with their centroids, opening the best first, and goes on to further leaves as long as they come near
+enough: a leaf is visited while it lies, in units of the query's length, within a gap of the best leaf that calibration
+found to be needed, the smallest gap at which queries from the sample reached ``TARGET`` of their true neighbours within
+the sample. So a query between clusters widens its search and one inside a cluster does not. Leaves are split into
+parts by a hash, rows and queries alike, so that a hot leaf is many tasks. Scores of what is returned are sums in double
+precision over the original vectors.
+
+The sample bounds the tree, so leaves grow with the table and a query reads a constant share of it (``share_visited``).
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is not
 the commonest one; ties go to the smaller key; repeated vectors are separate candidates; rows that agree in their key
@@ -59,14 +63,14 @@ class Tree:
                 at[rows] = self.first[k] + np.argmin((c * c).sum(1) - 2 * x[rows] @ c.T, axis=1)
 
     def order(self, q: np.ndarray, enough) -> list[int]:
-        """Leaves in the order of best-bin-first search, until enough(leaf) says stop."""
+        """Leaves in the order of best-bin-first search, until enough(leaf, its score) says stop."""
         queue, out, tie = [(0.0, 0, 0)], [], 0
         while queue:
-            _, _, k = heapq.heappop(queue)
+            low, _, k = heapq.heappop(queue)
             if not self.count[k]:
-                out.append(int(self.leaf[k]))
-                if enough(out):
+                if enough(int(self.leaf[k]), -low):
                     break
+                out.append(int(self.leaf[k]))
                 continue
             a, b = self.first[k], self.first[k] + self.count[k]
             for node, near in zip(range(a, b), (self.centroids[a:b] @ q).tolist()):
@@ -111,23 +115,26 @@ def build_tree(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int
     return Tree(np.array(centroids), np.array(first), np.array(count), np.array(number))
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = TARGET, queries: int = 300) -> int:
-    """The number of leaves at which sample queries have found ``target`` of their neighbours."""
+def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = TARGET, queries: int = 300) -> float:
+    """The smallest gap, in units of a query's length, within which sample queries find ``target`` of their neighbours.
+    Best-bin-first need not meet leaves by falling score, so a leaf's gap is the largest up to it."""
     if len(x) < 2:
-        return 1
+        return float("inf")
     own = tree.assign(x)
     rows = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
     k = min(k, len(x) - 1)
-    found = np.zeros(tree.leaves + 1)
+    gaps = []
     for r in rows:
         s = x @ x[r]
         s[r] = -np.inf
         true = np.argpartition(-s, k - 1)[:k]
-        place = np.empty(tree.leaves, int)
-        order = tree.order(x[r], lambda out: False)
-        place[order] = np.arange(len(order))
-        np.add.at(found, place[own[true]] + 1, 1)
-    return int(np.searchsorted(np.cumsum(found) / (len(rows) * k), target))
+        met: list[tuple[int, float]] = []
+        tree.order(x[r], lambda leaf, score, met=met: met.append((leaf, score)))
+        scores = np.array([score for _, score in met])
+        gap = np.empty(tree.leaves)
+        gap[[leaf for leaf, _ in met]] = np.maximum.accumulate(scores.max() - scores)
+        gaps.append(gap[own[true]] / np.sqrt(x[r] @ x[r]))
+    return float(np.quantile(np.concatenate(gaps), target, method="higher")) * (1 + 1e-9) + 1e-12
 
 
 def usable(vector: Column) -> Column:
@@ -152,15 +159,18 @@ def _assign(ref):
 
 def _visits(ref, counts: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, leaves = ref.value
+        tree, gap = ref.value
         for b in C.small_batches(batches, 256):
             x, which, leaf = _matrix(b.column("vector")), [], []
             for r, q in enumerate(x):
-                have = [0]
+                # within the gap of the best leaf so far, and until more rows than neighbours wanted are met
+                state, reach = [-np.inf, 0], gap * float(np.sqrt(q @ q))
 
-                def enough(out: list[int], have=have) -> bool:
-                    have[0] += counts[out[-1]]
-                    return len(out) >= leaves and have[0] > k
+                def enough(at: int, score: float, state=state, reach=reach) -> bool:
+                    state[0] = max(state[0], score)
+                    stop = state[0] - score > reach and state[1] > k
+                    state[1] += counts[at]
+                    return stop
 
                 for at in tree.order(q, enough):
                     which.append(r)
@@ -214,9 +224,11 @@ def search(table: DataFrame, queries: Column, k: int = 20, sample: int = SAMPLE,
     x = x[np.lexsort(x.T)] if len(x) else x
     tree = build_tree(x)
     ref = spark.sparkContext.broadcast((tree, calibrate(tree, x, k, target)))  # bounded by the sample
-    schema = "id long, vector array<float>, leaf long"
-    index = C.written(rows.select("id", F.col("vector").cast("array<float>").alias("vector"), "asks").select("id", "vector").mapInArrow(_assign(ref), schema), "index")
-    asked = rows.where("asks").select("id", F.col("vector").cast("array<float>").alias("vector"))
+    # vectors keep their type; integers are exact as doubles
+    kind = "array<float>" if dict(rows.dtypes)["vector"] == "array<float>" else "array<double>"
+    schema = f"id long, vector {kind}, leaf long"
+    index = C.written(rows.select("id", F.col("vector").cast(kind).alias("vector")).mapInArrow(_assign(ref), schema), "index")
+    asked = rows.where("asks").select("id", F.col("vector").cast(kind).alias("vector"))
     counts = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # a row a leaf
         counts[r["leaf"]] = r["count"]
@@ -231,5 +243,24 @@ def search(table: DataFrame, queries: Column, k: int = 20, sample: int = SAMPLE,
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def share_visited(table: DataFrame, queries: Column, k: int = 20, sample: int = SAMPLE, target: float = TARGET) -> float:
+    """The share of the sample's rows that its queries meet, a measure of what a search costs."""
+    rows = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), queries.alias("asks")).where(usable(F.col("vector")))
+    x = _matrix(rows.orderBy(C.crc_order("id"), "id").limit(sample).select("vector").toArrow()["vector"])
+    x = x[np.lexsort(x.T)]
+    tree = build_tree(x)
+    gap, counts = calibrate(tree, x, k, target), np.bincount(tree.assign(x), minlength=tree.leaves)
+    met = []
+    for q in x[np.linspace(0, len(x) - 1, min(200, len(x))).astype(int)]:
+        best = [-np.inf]
+
+        def enough(at: int, score: float, best=best, reach=gap * float(np.sqrt(q @ q))) -> bool:
+            best[0] = max(best[0], score)
+            return best[0] - score > reach
+
+        met.append(counts[tree.order(q, enough)].sum())
+    return float(np.mean(met) / len(x))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
