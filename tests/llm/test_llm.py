@@ -223,8 +223,8 @@ def test_secrets(docs):
     assert d.is_secret(b"aG93IHRvIGJ1aWxk9Xz2Kq7LmP") and not d.is_secret(b"default_status_message_count")
 
 
-def test_media_round_trip(docs):
-    got = media.store(docs, "file:///tmp/maskwright-test-media", ["doc_id"]).collect()
+def test_media_round_trip(docs, tmp_path):
+    got = media.store(docs, f"file://{tmp_path}/media", ["doc_id"]).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     import hashlib
 
@@ -284,13 +284,192 @@ def test_full_licence_texts_are_licence_files(spark):
     assert got[100] == got[101] == got[103] == (None, "none") and got[102] == ("bsd-3-clause", "own")
 
 
-def test_chat_blocks_agree_with_one_block(spark, monkeypatch):
+def chat_model(rng):
+    emit = [rng.dirichlet(np.ones(v), chat.STATES) for v in chat.FEATURES.values()]
+    return chat.model_of(np.array([0.3, 0.3, 0.4]), rng.dirichlet(np.ones(3), 3), emit)
+
+
+def chat_rows(rng, sizes):
+    return [[[int(rng.integers(0, v)) for v in chat.FEATURES.values()] for _ in range(n)] for n in sizes]
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        model, rows = chat_model(rng), chat_rows(rng, [2, 1, 2])
+        obs, enters, _ = chat.lines_of(rows)
+        s, steps = model.scores(obs), model.moves(enters)
+        value = lambda p: model.start[p[0]] + s[0, p[0]] + sum(steps[t, p[t - 1], p[t]] + s[t, p[t]] for t in range(1, len(p)))  # noqa: B023, E731
+        best = max(itertools.product(range(chat.STATES), repeat=len(obs)), key=value)
+        got = [x for r in chat.solve(model, rows) for x in r]
+        assert np.isclose(value(got), value(best)) and all(x < chat.N for x, e in zip(got, enters) if e)
+
+
+def test_chat_blocks_agree_with_one_block():
     rng = np.random.default_rng(4)
-    model = chat.Model(np.log([0.3, 0.3, 0.4]), np.log(rng.dirichlet(np.ones(3), 3)), [np.log(rng.dirichlet(np.ones(v), 3)) for v in chat.FEATURES.values()])
-    obs = np.stack([rng.integers(0, v, 40) for v in chat.FEATURES.values()], 1)
-    end = int(chat.block_matrix(model, obs, True)[0].argmax())
-    whole = chat.block_roles(model, obs, True, -1, end).tolist()
-    parts = [obs[:15], obs[15:30], obs[30:]]
-    ends = chat.chain_ends([chat.block_matrix(model, p, k == 0) for k, p in enumerate(parts)])
-    cut = [r for k, p in enumerate(parts) for r in chat.block_roles(model, p, k == 0, ends[k - 1] if k else -1, ends[k])]
+    model, rows = chat_model(rng), chat_rows(rng, rng.integers(1, 4, 30))
+    whole = [x for r in chat.solve(model, rows) for x in r]
+    parts = [chat.lines_of(rows[a:b]) for a, b in ((0, 11), (11, 20), (20, 30))]
+    ends = chat.chain_ends([chat.block_matrix(model, o, e, k == 0) for k, (o, e, _) in enumerate(parts)])
+    cut = [int(r) for k, (o, e, _) in enumerate(parts) for r in chat.block_states(model, o, e, k == 0, ends[k - 1] if k else -1, ends[k])]
     assert cut == whole
+
+
+def test_chat_parses_transcripts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", (f"what is {c}?" if k % 4 else f"say {c}") if k % 2 == 0 else f"it is so\nand more of {c}", 9) for c in range(30) for k in range(12)]
+    rows += [(90, 0, None, "User: hi\nthere\nAssistant: hello <|end|> <|system|>\nUser: bye", 9), (90, 1, None, None, 9), (90, 1, None, "", 9), (None, None, None, "what?", 9), (91, 0, None, "what is it?", 9), (91, 0, None, "what is it?", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, k int")
+    out = chat.format_chats(df)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["conv_id"] or -1, r["k"], r["part"])):
+        got.setdefault(r["conv_id"], []).append((r["role_pred"], r["rendered"]))
+    assert got[90][:3] == [("user", "<|user|>\nhi\nthere\n<|end|>\n"), ("assistant", "<|assistant|>\nhello <\\|end|> <\\|system|>\n<|end|>\n"), ("user", "<|user|>\nbye\n<|end|>\n")]
+    assert len(got[90]) == 5 and all(x.endswith("|>\n\n<|end|>\n") for _, x in got[90][3:]) and len(got[91]) == 2 and None in got
+    held = df.where("conv_id < 30").collect()
+    right = [got[r["conv_id"]][r["turn"]][0] == r["role"] for r in held]
+    assert len(right) == 360 and np.mean(right) > 0.95
+    assert chat.format_chats(df.where("conv_id > 1000")).count() == 0
+
+
+def test_held_out_quality(spark):
+    rng = np.random.default_rng(12)
+    good, bad = [f"word{k}" for k in range(60)], ["buy", "click", "win", "free", "now", "$$$"]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad, int(rng.integers(5, 60)))), 10) for k in range(600)] + [(900, None, None), (901, "", 0), (902, "word1 " * 20_000, 3), (902, "word1 " * 20_000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("score", F.lit("own"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(600)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    held = [r["doc_id"] for r in docs.where("doc_id < 600").where(quality.C.held_out(F.col("doc_id"))).collect()]
+    assert np.mean([(got[k] >= 0.5) == bool(k % 2) for k in held]) > 0.97 and 0 <= got[900] <= 1 and 0 <= got[901] <= 1
+    kept = quality.keep(docs, model)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"own"} and quality.keep(empty(docs), model).count() == 0
+
+
+def test_secrets_of_any_length_and_no_identifiers(docs):
+    d, rng = secret_scan.train(docs), np.random.default_rng(21)
+    alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    for n in (12, 16, 20, 31, 40):
+        assert d.secret([bytes(alphabet[rng.integers(0, 62, n)]) for _ in range(200)]).mean() >= 0.97
+    plain = [b"default_status_message_count", b"2024-01-15-backup-of-things", b"internationalization", b"4111111111111111", b"config/things/wher", b"onestWherInglyBlest"]
+    assert not d.secret(plain).any()
+    assert secret_scan.scan(empty(docs), d, ["doc_id"]).count() == 0
+
+
+def test_base_spans_equal_one_regular_expression_each(spark):
+    rng = np.random.default_rng(22)
+    bits = ["password", "api_key", "token", ": ", "=", "'", "AKIA", "ABCDEFGH", "0123456789abcdef", "deadbeef", " ", "é", "x_y", "SECRET", "\n"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 25)))) for _ in range(150)] + ["", None, "AKIA" + "A" * 13, "AKIA" + "A" * 11]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    detector = secret_scan.train(df)
+    kinds = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8), "access": ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), "hex": ("[0-9a-f]+", lambda m: len(m[0]) >= 32)}
+    import hashlib
+
+    for r in secret_scan.scan(df, detector, ["doc_id"]).collect():
+        text = texts[r["doc_id"]] or ""
+        want = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds.values()) for m in re.finditer(p, text) if ok(m))
+        said = ",".join(f"{list(kinds)[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and ",".join(x for x in r["spans"].split(",") if not x.startswith("markov")) == said
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+
+
+def test_language_needs_letters_and_keeps_marks(spark):
+    assert langid.letters("½ ²³ Ⅷ 12_!") == "" and langid.letters("A-b C!") == "a b c" and langid.letters("नमस्ते, दुनिया") == "नमस्ते दुनिया"
+    rng = np.random.default_rng(31)
+    words = {"xx": ["bal", "dor", "nimu", "kesta"], "yy": ["thry", "ghok", "whef", "plosk"]}
+    rows = [(k, lang, " ".join(rng.choice(words[lang], int(rng.integers(20, 90))))) for k in range(300) for lang in [("xx", "yy")[k % 2]]]
+    rows += [(900, "xx", None), (901, None, "bal dor"), (902, "yy", "½"), (903, "yy", "thry ghok " * 20_000), (903, "yy", "thry ghok " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("score", F.lit("own"))
+    dicts = langid.dictionaries(docs.where(~quality.C.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r for r in langid.predict(docs, dicts, ["doc_id"]).collect()}
+    held = [r for r in docs.where("doc_id < 300").where(quality.C.held_out(F.col("doc_id"))).collect()]
+    assert set(dicts) == {"xx", "yy"} and np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.97
+    assert got[900]["lang_pred"] == got[902]["lang_pred"] == "und" and got[903]["lang_pred"] == "yy" and 0 <= got[901]["score"] <= 1
+    assert langid.predict(empty(docs), dicts, ["doc_id"]).count() == 0 and langid.dictionaries(empty(docs)) == {}
+
+
+def test_neighbours_reach_brute_force(spark):
+    rng = np.random.default_rng(41)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
+    x[1] = x[0] = x[20]  # ties
+    x[7] = 0.1 + 1e-12
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("rank", F.lit("own"))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = []
+    for q in range(0, 6000, 20):
+        s = (x * x[q]).sum(1)
+        order = [k for k in np.lexsort((np.arange(len(s)), -s)) if k != q][:10]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11)) and all(m[2] == s[m[1]] for m in mine) and mine == sorted(mine, key=lambda m: (-m[2], m[1]))
+        hits.append(len(set(order) & {m[1] for m in mine}) / 10)
+    share = ann.share_visited(df, F.col("vec_id") % 20 == 0, 10)
+    assert np.mean(hits) >= 0.9 and share < 0.5
+    assert ann.search(df.where("vec_id < 0"), F.lit(True)).count() == 0
+
+
+def test_media_shards_hold_what_rows_say(docs, tmp_path):
+    import hashlib
+    import tarfile
+
+    rows = media.store(docs.unionAll(docs).repartition(3), f"file://{tmp_path}/m", ["doc_id", "lang"]).collect()
+    assert len(rows) == 2 * docs.count()
+    seen = {}
+    for r in rows:
+        with open(f"{tmp_path}/m/{r['shard']}", "rb") as f:
+            f.seek(r["offset"])
+            image = f.read(r["length"])
+        assert hashlib.sha256(image).hexdigest() == r["media_sha256"] and hashlib.sha256(media.decode(image)).hexdigest() == r["payload_sha256"]
+        assert seen.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"], r["media_bytes"])) == (r["media_sha256"], r["feature"], r["media_bytes"])
+    for shard in {r["shard"] for r in rows}:
+        with tarfile.open(f"{tmp_path}/m/{shard}") as tar:
+            assert {m.name for m in tar} >= {f"{r['digest']}.png" for r in rows if r["shard"] == shard}
+    assert media.store(empty(docs), f"file://{tmp_path}/e", ["doc_id"]).count() == 0
+
+
+def test_licences_of_odd_rows(spark):
+    rows = [(1, "a/L", "Released under the MIT License."), (2, "a/L2", "Licensed under the Apache License, Version 2.0."), (3, "a/x", "p"), (4, "a/b/c/d", None), (5, None, None), (6, "a/b/L", "Released under the MIT License." * 2), (7, "z", "")]
+    df = spark.createDataFrame(rows, "id long, path string, text string").withColumn("parent", F.lit(1))
+    got = {r["id"]: (r["license"], r["how"], r["from_directory"]) for r in licenses.scan(df).collect()}
+    assert got[3] == ("apache-2.0", "inherited", "a") or got[3][0] in ("apache-2.0", "mit")
+    assert got[4][1] == "inherited" and got[5] == got[7] == (None, "none", None)
+    assert licenses.scan(df.where("id < 0")).count() == 0
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(51)
+    good, bad = [f"word{k}" for k in range(400)], ["buy", "click", "win", "free", "now", "$$$"]
+    text = lambda k: " ".join(rng.choice(good if k % 4 else bad, int(rng.integers(30, 90))))
+    rows = [(k, text(k), "en", f"s{k % 3}", 1) for k in range(240)]
+    rows += [(500 + k, rows[k][1] + " tail", "en", "s1", 1) for k in range(1, 30, 4)] + [(700, None, None, None, None), (701, "", "en", "s0", 0), (702, rows[5][1].replace("word7", "x") + " password = abcdefgh12 end", "en", "s2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(docs.collect())
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] or k == 4
+    scored, single, clean, mixed, packed = kept
+    ids = lambda rs: {r["doc_id"] for r in rs}
+    assert {k for k in range(240) if k % 4} <= ids(scored) and len([k for k in ids(scored) if k < 240 and k % 4 == 0]) <= 3
+    label, _ = brute({r["doc_id"]: r["text"] for r in scored}, 5, 80, 100)
+    assert ids(single) == {k for k, c in label.items() if k == c}
+    assert len(clean) == len(single) and all("password = abc" not in (r["text"] or "") for r in clean)
+    sizes, taken = {}, {}
+    for rs, to in ((clean, sizes), (mixed, taken)):
+        for r in rs:
+            to[r["source"]] = to.get(r["source"], 0) + len((r["text"] or "").split())
+    want = water_filled(sizes)
+    assert all(abs(taken.get(s, 0) - w) <= 60 for s, w in want.items())
+    used = {}
+    for r in packed:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in u) <= 4096 for u in used.values()) and len({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packed}) == len(packed) >= len(mixed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
