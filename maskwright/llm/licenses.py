@@ -132,7 +132,9 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     ancestors = parents.select("parent", F.explode(F.array_distinct(up)).alias("directory"))
     near = ancestors.join(homes, "directory").groupBy("parent").agg(F.max_by(F.struct("directory", "best"), F.length("directory")).alias("home"))
-    joined = own.withColumn("parent", F.when(F.col("own").isNull(), _parent(F.col("path")))).join(near, "parent", "left")
+    # files with a licence of their own meet nothing, so they are not dealt out under one null key
+    without = own.where("own is null").withColumn("parent", _parent(F.col("path"))).join(near, "parent", "left").drop("parent")
+    joined = without.unionByName(own.where("own is not null"), allowMissingColumns=True)
     return joined.select(
         "id", "path", F.coalesce("own", "home.best.name").alias("license"), F.coalesce("own_score", "home.best.score").alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("home").isNotNull(), "inherited").otherwise("none").alias("how"), F.when(F.col("own").isNull(), F.col("home.directory")).alias("from_directory"),
