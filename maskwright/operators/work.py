@@ -107,6 +107,16 @@ def ready_for(states: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     return states.groupBy("record_id").agg(done.alias("done")).where(F.col("done") == len(stages)).select("record_id")
 
 
+def registered(backends: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """backends (backend_id, settings, prompt, schema) with a hash of each; one that is known by another hash has an error."""
+    rows = backends.withColumns({f"{c}_sha256": K.sha256(F.coalesce(c, F.lit(""))) for c in ("settings", "prompt", "schema")})
+    if known is None:
+        return rows.withColumn("error", F.lit(None).cast("string"))
+    hashes = [f"{c}_sha256" for c in ("settings", "prompt", "schema")]
+    met = rows.join(F.broadcast(known.select("backend_id", F.struct(*hashes).alias("before"))), "backend_id", "left")
+    return met.withColumn("error", F.when(F.col("before").isNotNull() & (F.col("before") != F.struct(*hashes)), "backend_changed")).drop("before")
+
+
 # ---- calls ----
 
 _ATTEMPT = "work_item_id string, record_id string, status string, error_code string, message string, retryable boolean, systemic boolean, raw string, usage string"

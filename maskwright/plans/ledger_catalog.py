@@ -421,6 +421,21 @@ def q79(spark, d):
     return W.validation_findings(rows, "run", "rendering", K.DEFAULT_POLICY).select("record_id", "validation_finding_id", "ignored_by_policy")
 
 
+@query("q95_registered_backends", "SELECT 'b' || c_custkey AS backend_id, sha256(c_mktsegment) AS settings_sha256, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'backend_changed' END AS error FROM customer")
+def q95(spark, d):
+    k = F.col("c_custkey")
+    rows = _t(spark, d, "customer").select(F.concat(F.lit("b"), k).alias("backend_id"), F.col("c_mktsegment").alias("settings"), F.lit("p").alias("prompt"), F.lit(None).cast("string").alias("schema"), k)
+    before = W.registered(rows.where("c_custkey % 2 = 0").withColumn("prompt", F.when(k % 3 == 0, "old").otherwise("p")))
+    return W.registered(rows, before).select("backend_id", "settings_sha256", "error")
+
+
+@query("q96_export_history", "SELECT 'x' || o_orderkey AS export_id, row_number() OVER (ORDER BY o_orderdate DESC, 'x' || o_orderkey) - 1 AS place FROM orders WHERE o_custkey % 10 = 0")
+def q96(spark, d):
+    rows = _t(spark, d, "orders").where("o_custkey % 10 = 0").select(F.concat(F.lit("x"), "o_orderkey").alias("export_id"), F.col("o_orderdate").alias("created_at"))
+    newest = M.export_history(rows).withColumn("key", F.struct(-F.unix_timestamp("created_at"), "export_id"))
+    return R.with_source_index(newest, "key").select("export_id", F.col("source_index").alias("place"))
+
+
 # ---- review ----
 
 

@@ -431,3 +431,15 @@ def test_small_reports(spark):
         J.retry_targets(empty)
     timers = spark.createDataFrame([("r", "me", datetime(2024, 1, 1, 0, 0, 0), "start", None), ("r", "me", datetime(2024, 1, 1, 0, 0, 9), "pause", None), ("r", "me", datetime(2024, 1, 1, 0, 1, 0), "set", 100), ("r", "me", datetime(2024, 1, 1, 0, 2, 0), "start", None), ("q", "me", datetime(2024, 1, 1, 0, 2, 5), "start", None)], "record_id string, reviewer_id string, at timestamp, kind string, seconds long")
     assert sorted(rows(V.review_seconds(timers))) == [("q", "me", 0), ("r", "me", 105)]
+
+
+def test_a_stream_is_written_once(spark, tmp_path):
+    from maskwright.streaming import ingest
+
+    rules, schema = [S.Rule("num", "number", "ID", "[0-9]{4}")], "record_id string, text string"
+    for k in range(2):
+        spark.createDataFrame([(f"r{k}{i}", f"call {i}{k}23 now" if i else None) for i in range(3)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        assert ingest.redact_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", rules, once=True).awaitTermination(120)
+    got = {r["record_id"]: r["rendered"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 6 and got["r00"] is None and got["r11"] == "call [R_ID] now" and spark.read.parquet(f"{tmp_path}/out").count() == 6
