@@ -209,18 +209,38 @@ def plan(groups: DataFrame, policy: dict[str, tuple[str, str | None]] = K.DEFAUL
     for column, wanted in (("weeks", "DATE" in surrogates), ("surrogate", bool(set(surrogates) - {"DATE"}))):
         if purpose == "final" and wanted and column not in groups.columns:
             raise ValueError(f"surrogates need the column {column}")
-    action, strategy = P.action_of(F.col("category"), policy), P.strategy_of(F.col("category"), policy)
-    mark, original = K.placeholder(F.col("category")), F.col("original")
-    general = F.when(strategy == "age_90_plus", K.age_90_plus(original)).when(strategy == "year_only", D.year_only(original))
     if purpose == "final" and surrogates:
         fallback = P.date_fallback(policy)
-        moved = D.shift_text(F.when((F.col("category") == "DATE") & (F.col("action") == "surrogate"), original), F.col("weeks"), fallback) if "DATE" in surrogates else F.lit(None).cast("string")
-        other = F.col("surrogate") if "surrogate" in groups.columns else F.lit(None).cast("string")
-        surrogate = F.when(F.col("category") == "DATE", moved).otherwise(other)
+        moved = D.shift_text(F.when((F.col("category") == "DATE") & F.lit("DATE" in surrogates), F.col("original")), F.col("weeks"), fallback) if "DATE" in surrogates else F.lit(None).cast("string")
+        surrogate = F.when(F.col("category") == "DATE", moved).otherwise(F.col("surrogate") if "surrogate" in groups.columns else F.lit(None).cast("string"))
     else:
-        surrogate = mark
-    final = F.when(F.col("action") == "retain", original).when(F.lit(purpose == "draft") | (F.col("action") == "redact"), mark).when(F.col("action") == "generalize", general).otherwise(surrogate)
-    return groups.withColumn("action", action).withColumn("replacement", final)
+        surrogate = F.lit(None).cast("string")
+    action = P.action_of(F.col("category"), policy)
+    return groups.withColumn("action", action).withColumn("replacement", replacement(F.col("category"), F.col("original"), policy, purpose, surrogate))
+
+
+def replacement(category: Column, original: Column, policy: P.Policy, purpose: str, surrogate: Column | None = None) -> Column:
+    """What stands for a text of a category; a surrogate is given."""
+    action, strategy, mark = P.action_of(category, policy), P.strategy_of(category, policy), K.placeholder(category)
+    general = F.when(strategy == "age_90_plus", K.age_90_plus(original)).when(strategy == "year_only", D.year_only(original))
+    given = F.lit(None).cast("string") if surrogate is None else surrogate
+    return F.when(action == "retain", original).when(F.lit(purpose == "draft") | (action == "redact"), mark).when(action == "generalize", general).otherwise(given)
+
+
+def redact(records: DataFrame, groups: DataFrame, policy: P.Policy = K.DEFAULT_POLICY, purpose: str = "final") -> DataFrame:
+    """(record_id, rendered, error) as plan and render give them, for policies whose replacements follow from the text alone:
+    groups (record_id, start, end, category) meet their records in one join, and no text is read or dealt out twice."""
+    P.check(policy)
+    if purpose == "final" and any(a == "surrogate" for a, _ in policy.values()):
+        raise ValueError("surrogates are planned before they are rendered")
+    per = groups.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category"))).alias("groups"))
+    rows = records.select("record_id", "text").join(per, "record_id", "left")
+
+    def event(x: Column) -> Column:
+        original = F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), original.alias("original"), replacement(x["category"], original, policy, purpose).alias("replacement"))
+
+    return _spliced(rows.select("record_id", "text", F.transform("groups", event).alias("events")))
 
 
 def render(records: DataFrame, events: DataFrame) -> DataFrame:
@@ -232,7 +252,11 @@ def render(records: DataFrame, events: DataFrame) -> DataFrame:
     joined once."""
     e = F.struct("start", "end", "original", "replacement")
     per = events.groupBy("record_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
-    rows = records.select("record_id", "text").join(per, "record_id", "left")
+    return _spliced(records.select("record_id", "text").join(per, "record_id", "left"))
+
+
+def _spliced(rows: DataFrame) -> DataFrame:
+    """(record_id, rendered, error) of rows (record_id, text, events in order)."""
     text = F.col("text")
     before = lambda k: F.when(k > 0, F.get("events", k - 1)["end"]).otherwise(0)
 

@@ -167,6 +167,13 @@ def _events(spark, d) -> DataFrame:
 
 @query("q11_redacted_text", "SELECT doc_id AS record_id, " + "".join("regexp_replace(" for _ in RULES) + "text" + "".join(f", '{r.pattern}', '{K.PLACEHOLDERS[r.category]}', 'g')" for r in RULES) + " AS rendered FROM documents")
 def q11(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    return S.redact(docs, _groups(spark, d)).select("record_id", "rendered")
+
+
+@query("q11b_planned_text", ORACLE_SQL["q11_redacted_text"])
+def q11b(spark, d):
+    """The same by way of planned events, as surrogates need it."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
     return S.render(docs, _events(spark, d)).select("record_id", "rendered")
 

@@ -8,14 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import core as K
 from ..functions import policy as P
-from ..operators import review as V
 from ..operators import spans as S
 
 
 def redacted(records: DataFrame, rules: list[S.Rule], policy: P.Policy = K.DEFAULT_POLICY, purpose: str = "final") -> DataFrame:
     """(record_id, rendered, error) of records (record_id, text) by rules alone."""
     found = S.rule_findings(records, rules).withColumns({"source_kind": F.lit("rule"), "confidence": F.lit(None).cast("double"), "finding_id": F.col("span_id")})
-    return S.render(records, S.plan(V.with_original(S.resolve(found), records), policy, purpose))
+    return S.redact(records, S.resolve(found), policy, purpose)
 
 
 def redact_stream(records: DataFrame, path: str, checkpoint: str, rules: list[S.Rule], policy: P.Policy = K.DEFAULT_POLICY, once: bool = False) -> StreamingQuery:

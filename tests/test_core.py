@@ -138,6 +138,11 @@ def test_plans_need_what_the_policy_asks_for(spark):
     policy = K.DEFAULT_POLICY | {"NAME": ("surrogate", "list"), "DATE": ("surrogate", "date_shift:redact")}
     assert [r["replacement"] for r in S.plan(groups, policy).orderBy("group_id").collect()] == ["Nils", "6/3/2001", "90+ years", "smith"]
     assert [r["replacement"] for r in S.plan(groups, policy, "draft").orderBy("group_id").collect()] == ["[R_NAME]", "[R_DATE]", "[R_AGE]", "smith"]
+    docs = spark.createDataFrame([("r", "Ola 5/6/2001 93 years smith"), ("q", "none"), ("n", None)], "record_id string, text string")
+    places = spark.createDataFrame([("r", 0, 3, "NAME"), ("r", 4, 12, "DATE"), ("r", 13, 21, "AGE"), ("r", 22, 27, "PROFESSION")], "record_id string, start int, end int, category string")
+    assert {r["record_id"]: r["rendered"] for r in S.redact(docs, places).collect()} == {"r": "[R_NAME] [R_DATE]/[R_DATE]/2001 90+ years smith", "q": "none", "n": None}
+    with pytest.raises(ValueError):
+        S.redact(docs, places, policy)
     for missing in ("weeks", "surrogate"):
         with pytest.raises(ValueError):
             S.plan(groups.drop(missing), policy)
