@@ -19,8 +19,9 @@ the smaller one's.
    The same trie over whole sets gives exact overlaps, and again a spanning forest.
 5. Components of the links follow by hash-to-minimum label spreading, and copies get their class's label.
 
-Cases: null, empty and blank texts have the empty set and their own component; repeated rows are copies; ties in the
-order are equal hashes and so equal n-grams; an empty table gives no rows; other columns are ignored.
+Cases: null, empty and blank texts have the empty set and their own component; repeated rows are copies; rows without
+doc_id, or that share one, are compared by keys of their own; ties in the order are equal hashes and so equal n-grams; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -568,9 +569,32 @@ def join_components(docs: DataFrame, n: int = 3, t: Threshold = Threshold(90, 10
     return joined.select("key", F.col("size").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
 
 
+def _repeats(docs: DataFrame) -> bool:
+    """Whether doc_ids are no keys: null or repeated."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs as a table with a key for each row, the key's name)."""
+    own = "key__" + "_" * max((len(c) for c in docs.columns if c.startswith("key__")), default=0)
+    return C.written(docs.withColumn(own, F.monotonically_increasing_id()), "rows"), own
+
+
+def document_components(docs: DataFrame, n: int = 3, t: Threshold = Threshold(90, 100)) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for docs with doc_id and text: a row for each row, whether or not its doc_id is
+    null or repeated; component_id is the smallest doc_id among the rows that links reach, null where all are null."""
+    docs = docs.select("doc_id", "text")
+    if not _repeats(docs):
+        return join_components(docs.withColumnRenamed("doc_id", "key"), n, t).withColumnRenamed("key", "doc_id")
+    rows, own = _keyed(docs)
+    found = C.written(join_components(rows.select(F.col(own).alias("key"), "text"), n, t).join(rows.select(F.col(own).alias("key"), "doc_id"), "key"), "found")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    return join_components(docs, 3, Threshold(90, 100)).withColumnRenamed("key", "doc_id")
+    C.shared_dir(spark)
+    return document_components(C.table(spark, sf_dir, "documents"), 3, Threshold(90, 100))
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
@@ -579,14 +603,11 @@ def keep_one(docs: DataFrame, n: int = 5, t: Threshold = Threshold(80, 100)) ->
     Every row takes part, whether or not its doc_id is null or repeated. Rows without words stay. Where doc_ids are
     unique they are the keys, and no text is shuffled or copied; else the rows are written once with keys of their own.
     """
-    spark = docs.sparkSession
-    C.shared_dir(spark)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if repeated.isEmpty():
+    C.shared_dir(docs.sparkSession)
+    if not _repeats(docs):
         found = join_components(docs.select(F.col("doc_id").alias("key"), "text"), n, t)
         return without(docs, C.written(found.where("key <> component_id").select(F.col("key").alias("doc_id")), "dropped"), "doc_id")
-    own = "key__" + "_" * max((len(c) for c in docs.columns if c.startswith("key__")), default=0)
-    rows = C.written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    rows, own = _keyed(docs)
     found = C.written(join_components(rows.select(F.col(own).alias("key"), "text"), n, t), "found")
     several = found.join(found.where("key <> component_id").select("component_id").distinct(), "component_id", "left_semi").select(F.col("key").alias(own), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", own)).getField(own)

@@ -160,6 +160,13 @@ def test_keep_one_compares_rows_without_or_with_repeated_ids(docs, spark):
     assert kept.where("doc_id = 3").count() == 2 and kept.where("doc_id is null and text is not null").count() == 0
 
 
+def test_components_of_rows_without_or_with_repeated_ids(spark):
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, base), (3, base + " x"), (None, base + " y"), (9, "a b c"), (9, "d e f g"), (None, "p q r"), (None, None), (7, "d e f g")]
+    got = ngram_join.document_components(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("own"))).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(5, 78, 3), (3, 79, 3), (None, 79, 3), (9, 1, 9), (9, 2, 7), (None, 1, None), (None, 0, None), (7, 2, 7)], key=str)
+
+
 def test_blocks_beyond_the_bound_meet_in_parts(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_TOGETHER", 300)
     monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
