@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as K
 from ..operators import text as T
 
 FORMATS = ("parquet", "jsonl")
+BUCKETS = 500
 
 
 def _at(spark: SparkSession, path: str):
@@ -70,18 +71,21 @@ def normalize(df: DataFrame, record_id: str, entity_id: str, text: str, metadata
 
 
 def with_source_index(df: DataFrame, order: str) -> DataFrame:
-    """Adds source_index, from 0 in the order of a column. A range sort deals the rows out; each partition numbers its own
-    and adds the rows of those before it, so no task sees all rows and only a count for each partition is collected."""
-    rows = df.orderBy(order).withColumn("part__", F.spark_partition_id()).withColumn("row__", F.monotonically_increasing_id())
-    counts = sorted((r["part__"], r["count"]) for r in rows.groupBy("part__").count().collect())  # a row a partition
+    """Adds source_index, from 0 in the order of a column, nulls first. About ``BUCKETS`` values that a hash picks cut the
+    table into buckets; each is numbered by itself, from the rows of those before it, so no task sees all rows and a run
+    that is repeated numbers alike. A row for each bucket is collected. Rows of one value share a bucket."""
+    key = F.col(order)
+    step = max(1, df.count() // BUCKETS)
+    bounds = df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).agg(F.array_sort(F.collect_set(key)).alias("bounds")).scalar()
+    rows = df.withColumn("bounds__", bounds).withColumn("bucket__", F.size(F.filter("bounds__", lambda b: b <= key))).drop("bounds__")
     starts, n = [], 0
-    for part, count in counts:
-        starts += [F.lit(part), F.lit(n)]
-        n += count
+    for r in sorted(rows.groupBy("bucket__").count().collect()):
+        starts += [F.lit(r["bucket__"]), F.lit(n).cast("long")]
+        n += r["count"]
     if not starts:
         return df.withColumn("source_index", F.lit(0).cast("long"))
-    within = F.col("row__").bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("source_index", (F.element_at(F.create_map(*starts), F.col("part__")) + within).cast("long")).drop("part__", "row__")
+    within = F.row_number().over(Window.partitionBy("bucket__").orderBy(key)) - 1
+    return rows.withColumn("source_index", F.element_at(F.create_map(*starts), F.col("bucket__")) + within).drop("bucket__")
 
 
 def check_records(records: DataFrame) -> DataFrame:
