@@ -86,9 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    """The packed sequences of documents. Of the stages' tables only the one that the last reads stays."""
+    docs, last = C.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = C.written(docs, f"stage{k}")
+            if last is not None:
+                C.drop(last)
+            last = docs
     return docs
