@@ -86,9 +86,11 @@ def rule_matches(text: Column, rule: Rule) -> Column:
     and the one before. Matches of no length are skipped."""
     if not rule.native:
         return _foreign_matches(rule)(text)
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    between = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
-    return F.transform(found, lambda x, k: F.struct(k.cast("int").alias("i"), F.get(between, k).alias("before"), x.alias("text")))
+    # most texts have no match, which one search tells; the others are matched and split once each
+    found, between = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
+    met = F.zip_with(found, between, lambda x, b: F.struct(F.length(b).alias("before"), x.alias("text")))
+    rows = F.filter(F.transform(met, lambda m, k: F.struct(k.cast("int").alias("i"), m["before"].alias("before"), m["text"].alias("text"))), lambda m: m["text"].isNotNull())
+    return F.when(text.rlike(rule.regex), rows).otherwise(F.array().cast(_MATCH))
 
 
 def _foreign_matches(rule: Rule):
