@@ -27,12 +27,13 @@ def _pick_sql(values: tuple[str, ...], at: str) -> str:
     return f"list_element([{', '.join(repr(v) for v in values)}], CAST(({at}) % {len(values)} AS INTEGER) + 1)"
 
 
-_ID = F.concat(F.lit("d"), F.col("doc_id"))
+def _id() -> Column:
+    return F.concat(F.lit("d"), F.col("doc_id"))
 
 
 def _records(spark, d) -> DataFrame:
     k = F.col("doc_id")
-    return _t(spark, d, "documents").select(_ID.alias("record_id"), F.col("source").alias("entity_id"), k.alias("source_index"), _pick(K.RECORD_STATUSES, k).alias("status"), "text", "lang", k)
+    return _t(spark, d, "documents").select(_id().alias("record_id"), F.col("source").alias("entity_id"), k.alias("source_index"), _pick(K.RECORD_STATUSES, k).alias("status"), "text", "lang", k)
 
 
 _RECORDS = f"recs AS (SELECT 'd' || doc_id AS record_id, source AS entity_id, doc_id AS source_index, {_pick_sql(K.RECORD_STATUSES, 'doc_id')} AS status, text, lang, doc_id FROM documents)"
@@ -69,7 +70,7 @@ def _decisions(spark, d) -> DataFrame:
     k = F.col("doc_id")
     time = (F.lit(1_700_000_000) + (k * 37) % 1000).cast("timestamp")
     return _t(spark, d, "labels").select(
-        F.concat(F.lit("v"), k).alias("decision_id"), _ID.alias("record_id"), _pick(K.DISPOSITIONS, k).alias("disposition"), F.concat(F.lit("who"), k % 4).alias("reviewer_id"), (k % 50).alias("review_seconds"), (k % 3).cast("int").alias("basis_revision"),
+        F.concat(F.lit("v"), k).alias("decision_id"), _id().alias("record_id"), _pick(K.DISPOSITIONS, k).alias("disposition"), F.concat(F.lit("who"), k % 4).alias("reviewer_id"), (k % 50).alias("review_seconds"), (k % 3).cast("int").alias("basis_revision"),
         time.alias("created_at"), (F.col("quality") == 1).alias("is_current"), (F.col("toxic") == 1).alias("is_stale"), k,
     )
 
@@ -91,7 +92,7 @@ _PLANS = "plans AS (SELECT record_id, CAST(r AS INTEGER) AS plan_revision, CASE
 def _results(spark, d) -> DataFrame:
     k = F.col("doc_id")
     ok = k % 4 > 0
-    return _t(spark, d, "documents").select(F.concat(F.lit("x"), k).alias("validation_id"), _ID.alias("record_id"), F.when(ok, "succeeded").when(k % 8 == 0, "truncated").otherwise("technical_error").alias("status"), F.when(ok, k % 3 == 0).alias("raw_violation"), F.when(ok, k % 6 == 0).alias("effective_violation"), (k % 7 == 0).alias("is_stale"), F.concat(F.lit("n"), k).alias("rendering_id"))
+    return _t(spark, d, "documents").select(F.concat(F.lit("x"), k).alias("validation_id"), _id().alias("record_id"), F.when(ok, "succeeded").when(k % 8 == 0, "truncated").otherwise("technical_error").alias("status"), F.when(ok, k % 3 == 0).alias("raw_violation"), F.when(ok, k % 6 == 0).alias("effective_violation"), (k % 7 == 0).alias("is_stale"), F.concat(F.lit("n"), k).alias("rendering_id"))
 
 
 _RESULTS = "results AS (SELECT 'x' || doc_id AS validation_id, 'd' || doc_id AS record_id, CASE WHEN doc_id % 4 > 0 THEN 'succeeded' WHEN doc_id % 8 = 0 THEN 'truncated' ELSE 'technical_error' END AS status, CASE WHEN doc_id % 4 > 0 THEN doc_id % 3 = 0 END AS raw_violation, CASE WHEN doc_id % 4 > 0 THEN doc_id % 6 = 0 END AS effective_violation, doc_id % 7 = 0 AS is_stale, doc_id FROM documents)"
@@ -149,7 +150,7 @@ def q31(spark, d):
 @query("q34_review_queue", f"""WITH {_RECORDS}, {_STATES}, {_DECISIONS} SELECT r.record_id, r.source_index, s.status = 'review_pending' AS pending, c.disposition, CAST(coalesce(c.review_seconds, w.seconds, 0) AS BIGINT) AS seconds
   FROM recs r JOIN states s ON s.record_id = r.record_id AND s.stage = 'review' AND s.status IN ('review_pending', 'succeeded') LEFT JOIN (SELECT * FROM decs WHERE {_CURRENT}) c ON c.record_id = r.record_id LEFT JOIN (SELECT 'd' || doc_id AS record_id, doc_id % 20 AS seconds FROM labels WHERE doc_id % 4 = 0) w ON w.record_id = r.record_id""")
 def q34(spark, d):
-    workspaces = _t(spark, d, "labels").where("doc_id % 4 = 0").select(_ID.alias("record_id"), (F.col("doc_id") % 20).alias("seconds"))
+    workspaces = _t(spark, d, "labels").where("doc_id % 4 = 0").select(_id().alias("record_id"), (F.col("doc_id") % 20).alias("seconds"))
     return V.queue_rows(_records(spark, d).drop("status"), _states(spark, d), _decisions(spark, d), workspaces)
 
 
@@ -389,8 +390,8 @@ def q75(spark, d):
     k = F.col("doc_id")
     docs = _t(spark, d, "documents").where(F.length("text") > 20)
     entity = F.struct(F.when(k % 3 == 0, "ADDRESS").otherwise("NAME").alias("Type"), F.when(k % 3 == 1, "\x01").otherwise(F.substring("text", 3, 4)).alias("Text"), F.lit(2).alias("BeginOffset"), F.lit(6).alias("EndOffset"), F.when(k % 4 == 0, 7.0).otherwise(0.7).alias("Score"))
-    rows = docs.select(_ID.alias("work_item_id"), _ID.alias("attempt_id"), _ID.alias("record_id"), F.lit("succeeded").alias("status"), F.to_json(F.struct(F.array(entity).alias("Entities"), F.when(k % 5 == 0, "more").alias("PaginationToken"))).alias("raw"))
-    got = W.map_service_answers(rows, docs.select(_ID.alias("work_item_id"), F.lit(10).alias("start"), F.col("text").alias("chunk")))
+    rows = docs.select(_id().alias("work_item_id"), _id().alias("attempt_id"), _id().alias("record_id"), F.lit("succeeded").alias("status"), F.to_json(F.struct(F.array(entity).alias("Entities"), F.when(k % 5 == 0, "more").alias("PaginationToken"))).alias("raw"))
+    got = W.map_service_answers(rows, docs.select(_id().alias("work_item_id"), F.lit(10).alias("start"), F.col("text").alias("chunk")))
     return got.select("record_id", "category", "error", F.col("start").alias("start_at"))
 
 
@@ -410,14 +411,14 @@ def q77(spark, d):
 def q78(spark, d):
     k = F.col("doc_id")
     finding = F.array(F.struct(F.lit("NAME").alias("category"), F.lit("x").alias("evidence"), F.when(k % 3 > 0, "high").otherwise("sure").alias("confidence"), F.lit("why").alias("rationale")))
-    rows = _t(spark, d, "labels").select(_ID.alias("record_id"), F.lit("succeeded").alias("status"), F.lit("said").alias("rationale"), F.to_json(finding).alias("findings"))
+    rows = _t(spark, d, "labels").select(_id().alias("record_id"), F.lit("succeeded").alias("status"), F.lit("said").alias("rationale"), F.to_json(finding).alias("findings"))
     return W.parse_verdicts(rows).select("record_id", "index", "category", "error")
 
 
 @query("q79_validation_finding_ids", "SELECT 'd' || doc_id AS record_id, 'validation-finding_' || substr(sha256('[\"run\",\"d' || doc_id || '\",\"n' || doc_id || '\",1,\"' || CASE WHEN doc_id % 2 = 0 THEN 'PROFESSION' ELSE 'NAME' END || '\",\"e\"]'), 1, 32) AS validation_finding_id, doc_id % 2 = 0 AS ignored_by_policy FROM labels")
 def q79(spark, d):
     k = F.col("doc_id")
-    rows = _t(spark, d, "labels").select(_ID.alias("record_id"), F.concat(F.lit("n"), k).alias("rendering"), F.lit(1).alias("index"), F.when(k % 2 == 0, "PROFESSION").otherwise("NAME").alias("category"), F.lit("e").alias("evidence"))
+    rows = _t(spark, d, "labels").select(_id().alias("record_id"), F.concat(F.lit("n"), k).alias("rendering"), F.lit(1).alias("index"), F.when(k % 2 == 0, "PROFESSION").otherwise("NAME").alias("category"), F.lit("e").alias("evidence"))
     return W.validation_findings(rows, "run", "rendering", K.DEFAULT_POLICY).select("record_id", "validation_finding_id", "ignored_by_policy")
 
 
@@ -479,8 +480,8 @@ def q82(spark, d):
 def q83(spark, d):
     k = F.col("doc_id")
     rows = _t(spark, d, "documents")
-    events = rows.select(_ID.alias("record_id"), F.lit("lang").alias("column_name"), F.lit("NAME").alias("category"), F.col("lang").alias("original"))
-    changes = rows.select(_ID.alias("record_id"), F.when(k % 4 == 1, "other").otherwise("lang").alias("column_name"), F.when(k % 4 == 2, "DATE").otherwise("NAME").alias("category"), F.when(k % 4 == 3, "xx").otherwise(F.col("lang")).alias("original"), F.lit("new").alias("value"))
+    events = rows.select(_id().alias("record_id"), F.lit("lang").alias("column_name"), F.lit("NAME").alias("category"), F.col("lang").alias("original"))
+    changes = rows.select(_id().alias("record_id"), F.when(k % 4 == 1, "other").otherwise("lang").alias("column_name"), F.when(k % 4 == 2, "DATE").otherwise("NAME").alias("category"), F.when(k % 4 == 3, "xx").otherwise(F.col("lang")).alias("original"), F.lit("new").alias("value"))
     return V.checked_fields(changes, events).select("record_id", "error")
 
 
@@ -542,7 +543,7 @@ def q90(spark, d):
 
 @query("q91_canonical_view", f"WITH {_RECORDS}, {_ERRORS} SELECT record_id, lang AS metadata_lang, recs.status AS pipeline_status, (SELECT count(*) FROM errs WHERE errs.record_id = recs.record_id) AS errors FROM recs")
 def q91(spark, d):
-    rows = R.normalize(_t(spark, d, "documents").withColumn("id", _ID), "id", "source", "text", ("lang",)).join(_records(spark, d).select("record_id", "status"), "record_id")
+    rows = R.normalize(_t(spark, d, "documents").withColumn("id", _id()), "id", "source", "text", ("lang",)).join(_records(spark, d).select("record_id", "status"), "record_id")
     return R.canonical_view(rows, _errors(spark, d)).select("record_id", F.col("metadata")["lang"].alias("metadata_lang"), "pipeline_status", F.size("stage_errors").cast("long").alias("errors"))
 
 
@@ -558,7 +559,7 @@ def q93(spark, d):
 
 @query("q94_deterministic_ids", "SELECT doc_id, 'rec_' || substr(sha256('d' || doc_id || chr(31) || 'input' || chr(31) || (doc_id % 9)), 1, 24) AS id FROM documents")
 def q94(spark, d):
-    return _t(spark, d, "documents").select("doc_id", K.record_id("rec", _ID, "input", F.col("doc_id") % 9).alias("id"))
+    return _t(spark, d, "documents").select("doc_id", K.record_id("rec", _id(), "input", F.col("doc_id") % 9).alias("id"))
 
 
 # ---- costs ----
