@@ -82,7 +82,8 @@ def solve(cells: DataFrame, goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         state = got.select("source", "target", "scale", "full", "hi", "lo", F.when(off < 1e-9, F.col("lam")).otherwise(step).alias("lam"), off.alias("off")).checkpoint()
         if (state.agg(F.max("off")).first()[0] or 0) < 1e-9:
             break
-    return state.select("source", F.when(F.col("full"), F.col("hi") + 1e6).otherwise(F.col("lam")).alias("lam"), "scale")
+    # sums of doubles differ in their last digits from run to run; rounded, the answer does not
+    return state.select("source", F.when(F.col("full"), F.col("hi") + 1e6).otherwise(F.round("lam", 9)).alias("lam"), "scale")
 
 
 def _null_safe(a: str, b: str, *more: str) -> Column:
@@ -135,14 +136,18 @@ def cell_plan(sized: DataFrame) -> DataFrame:
     return C.written(plan, "plan")
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """(row, a struct of all columns of docs; size, source_size, target, copies). docs: source, text and any others."""
+def with_copies(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(row, a struct of all columns of docs, or of ``keep``; size, source_size, target, copies). docs: source, text and any
+    others. Texts are read twice where they are kept; else once, and what is kept is written in between."""
     C.shared_dir(docs.sparkSession)
     maps = [f.name for f in docs.schema if isinstance(f.dataType, T.MapType)]
     col = lambda c: F.col(f"`{c}`")
     plain = [F.array_sort(F.map_entries(col(c))).alias(c) if c in maps else col(c) for c in docs.columns]
-    rows = docs.select(F.struct(*plain).alias("row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(*plain).alias("h"))
-    plan = cell_plan(C.written(rows.select("source", "size", "h"), "sizes"))
+    kept = [x for c, x in zip(docs.columns, plain) if keep is None or c in keep]
+    rows = docs.select(F.struct(*kept).alias("row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(*plain).alias("h"))
+    if keep is not None:
+        rows = C.written(rows, "rows")
+    plan = cell_plan(rows if keep is not None else C.written(rows.select("source", "size", "h"), "sizes"))
     met = rows.alias("r").join(F.broadcast(plan.alias("p")) if plan.count() <= BROADCAST_CELLS else plan.alias("p"), _null_safe("r", "p", "size"))
     known = met.select("row", "r.size", "source_size", "target", F.coalesce("common", F.lit(0)).alias("common"), "h", "cut", "same", "extra")
     tied = F.coalesce((F.col("h") == F.col("cut")) & (F.col("extra") < F.col("same")), F.lit(False))
@@ -156,14 +161,15 @@ def with_copies(docs: DataFrame) -> DataFrame:
         more = equal.withColumn("more", F.greatest(F.lit(0), F.least("times", F.col("extra") - before))).select(*by, "more", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
         out = out.union(more.select("row", "size", "source_size", "target", (F.col("common") + (F.col("k") <= F.col("more")).cast("long")).cast("int")))
     if maps:
-        back = F.struct(*(F.map_from_entries(F.col("row").getField(c)).alias(c) if c in maps else F.col("row").getField(c).alias(c) for c in docs.columns))
+        names = [c for c in docs.columns if keep is None or c in keep]
+        back = F.struct(*(F.map_from_entries(F.col("row").getField(c)).alias(c) if c in maps else F.col("row").getField(c).alias(c) for c in names))
         out = out.withColumn("row", back)
     return out
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = with_copies(docs)
+    mixed = with_copies(docs, ["doc_id", "source"])
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
