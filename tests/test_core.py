@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import os
 import random
 import re
 from datetime import date, datetime, timedelta
@@ -24,6 +25,8 @@ from maskwright.operators import text as T
 from maskwright.operators import work as W
 from maskwright.sources import records as R
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
@@ -38,6 +41,14 @@ def test_ids_and_hmac(spark):
         assert r["d"] == "r_" + hashlib.sha256(f"{r['t']}\x1finput\x1f3".encode()).hexdigest()[:24]
 
 
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, timeout=120).returncode == 0
+
+
 # ---- rules ----
 
 RULES = [("word", r"\bal\w+", False), ("empty", "x*", False), ("back", r"([a-z])\1", False), ("start", "^b|a$", False), ("case", "Qu", True), ("named", r"(?P<q>[0-9])(?P=q)", False), ("none", "(?=a)", False), ("class", "[[]a", False)]
