@@ -14,6 +14,7 @@ from .media import op8_media
 from .mixing import op10_mix
 from .ngram_join import op6_ngram_join
 from .packing import op3_pack
+from .periodic import op12_runs
 from .quality import op1_quality
 from .secret_scan import op2_secrets
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}

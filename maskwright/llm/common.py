@@ -123,11 +123,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _span_words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the bytes b with starts and ends; cuts are positions where a word must end."""
+def _span_words(b: np.ndarray, cuts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the bytes b with starts and ends; cuts are positions where a word must end. space: which bytes are
+    outside words."""
     ok = np.empty(len(b) + 2, bool)
     ok[0] = ok[-1] = False
-    np.logical_not(SPACE[b], out=ok[1:-1])
+    np.logical_not(space[b], out=ok[1:-1])
     first = ok[1:-1] & ~ok[:-2]
     last = ok[1:-1] & ~ok[2:]
     inner = cuts[(cuts > 0) & (cuts < len(b))]
@@ -159,7 +160,7 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
-def word_chunks(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_chunks(data: np.ndarray, off: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, last row + 1, word hashes, n + 1 bounds of each row's words), about STEP bytes at a time.
 
     A longer text is hashed in parts that end at white space, so memory follows its words, not 64 times its bytes.
@@ -170,16 +171,16 @@ def word_chunks(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Iterat
         lo, hi = int(off[i]), int(off[j])
         if hi - lo <= STEP or j > i + 1:
             b = LOWER[data[lo:hi]] if lower else data[lo:hi]
-            h, starts, _ = _span_words(b, off[i : j + 1] - lo)
+            h, starts, _ = _span_words(b, off[i : j + 1] - lo, space)
             yield i, j, h, np.searchsorted(starts, off[i : j + 1] - lo)
         else:
             parts, at = [], lo
             while at < hi:
                 to = min(hi, at + STEP)
-                while to < hi and not SPACE[data[to]]:
+                while to < hi and not space[data[to]]:
                     to += 1
                 b = LOWER[data[at:to]] if lower else data[at:to]
-                parts.append(_span_words(b, np.zeros(0, np.int64))[0])
+                parts.append(_span_words(b, np.zeros(0, np.int64), space)[0])
                 at = to
             h = np.concatenate(parts)
             yield i, j, h, np.array([0, len(h)])
