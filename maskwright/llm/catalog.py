@@ -16,6 +16,7 @@ from .ngram_join import op6_ngram_join
 from .packing import op3_pack
 from .periodic import op12_runs
 from .quality import op1_quality
+from .ranking import OP11_SQL, op11_ranked
 from .secret_scan import op2_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op11_ranked": op11_ranked,
     "op12_runs": op12_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_ranked": OP11_SQL}
