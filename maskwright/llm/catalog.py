@@ -10,6 +10,7 @@ from .ann import op7_neighbours
 from .chat import op4_chat
 from .langid import op9_language
 from .licenses import op5_licenses
+from .main_text import op13_main_text
 from .media import op8_media
 from .mixing import op10_mix
 from .ngram_join import op6_ngram_join
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
     "op11_ranked": op11_ranked,
     "op12_runs": op12_runs,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_ranked": OP11_SQL}
