@@ -36,6 +36,8 @@ from . import common as C
 
 DEPTH = 8
 GROUP_TOKENS = 1 << 16
+#: So many hosts of several groups may be broadcast.
+FEW_HOSTS = 100_000
 #: Of a page's open words, the share that its body holds at least.
 BODY_SHARE = 0.25
 #: A block of which more is links is a list of links.
@@ -360,8 +362,11 @@ def token_streams(pages: DataFrame) -> DataFrame:
 
 
 def page_spreads(streams: DataFrame) -> DataFrame:
-    """(key, spread): for each page and token of its stream, the number of the host's pages that share it."""
-    parts = streams.groupBy("host").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts")).where("parts > 1")
+    """(key, spread): for each page and token of its stream, the number of the host's pages that share it. streams is a
+    written table, as it is read more than once."""
+    parts = C.written(streams.groupBy("host").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts")).where("parts > 1"), "large-hosts")
+    if parts.count() <= FEW_HOSTS:  # else a join by host, whose tasks each hold a host's streams in passing
+        parts = F.broadcast(parts)
     dealt = streams.join(parts, "host", "left").withColumn("part", F.coalesce(F.pmod("key", "parts"), F.lit(0).cast("long"))).select("host", "part", F.col("parts").isNotNull().alias("split"), "key", "tokens")
     prefixes = dealt.where("split").groupBy("host", "part").applyInArrow(_shared_prefixes, "host string, part long, prefix long, pages long")
     totals = prefixes.groupBy("host", "prefix").agg(F.sum("pages").alias("total"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
@@ -399,7 +404,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """(key, url, text, n_chars, n_blocks, n_dropped, n_repeated): the main text, its code points, the page's blocks, those
     that went, and its words outside the article that other pages of the host repeat."""
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.xxhash64(url, html).alias("key"), host_of(F.col(url)).alias("host"))
-    met = rows.select("id", "url", "html", "key").join(page_spreads(token_streams(rows)), "key", "left").select("id", "url", "html", "spread")
+    met = rows.select("id", "url", "html", "key").join(page_spreads(C.written(token_streams(rows), "streams")), "key", "left").select("id", "url", "html", "spread")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
