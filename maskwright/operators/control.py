@@ -18,16 +18,25 @@ def recovered(work: DataFrame, states: DataFrame, attempts: DataFrame) -> tuple[
     return open_again(work, "retry_pending"), open_again(states, "retry_pending"), open_again(attempts, "cancelled")
 
 
+def _one_each(changes: DataFrame, *keys: str) -> DataFrame:
+    """Of changes that repeat a key one, the greatest by its columns, so that no row is met twice."""
+    rest = [c for c in changes.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("x")).select(*keys, "x.*")
+
+
 def moved_state(states: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
     """states (record_id, stage, status, attempts, started_at, finished_at) after changes (record_id, stage, to, counts).
 
     The first running sets the start, a terminal status sets the end and any other clears it, ``counts`` adds an
-    attempt. Changes of unknown states change nothing; ``unknown_states`` finds them."""
-    met = states.join(changes.select("record_id", "stage", "to", "counts"), ["record_id", "stage"], "left")
+    attempt. Changes of unknown states change nothing; ``unknown_states`` finds them. Of changes of one state the last by
+    name counts; other columns of states stay."""
+    met = states.join(_one_each(changes.select("record_id", "stage", "to", "counts"), "record_id", "stage"), ["record_id", "stage"], "left")
     to, hit = F.col("to"), F.col("to").isNotNull()
+    known = ("record_id", "stage", "status", "attempts", "started_at", "finished_at")
     return met.select(
         "record_id", "stage", F.coalesce("to", "status").alias("status"), (F.col("attempts") + F.coalesce(F.col("counts").cast("int"), F.lit(0))).alias("attempts"),
         F.when(hit & (to == "running"), F.coalesce("started_at", at)).otherwise(F.col("started_at")).alias("started_at"), F.when(hit, F.when(to.isin(*TERMINAL), at)).otherwise(F.col("finished_at")).alias("finished_at"),
+        *(c for c in states.columns if c not in known),
     )
 
 
@@ -36,8 +45,9 @@ def unknown_states(states: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def with_status(records: DataFrame, changes: DataFrame) -> DataFrame:
-    """records after changes (record_id, status, final_rendering_id, final_metadata): a null keeps the old value."""
-    new = changes.select("record_id", *(F.col(c).alias(f"new_{c}") for c in ("status", "final_rendering_id", "final_metadata")))
+    """records after changes (record_id, status, final_rendering_id, final_metadata): a null keeps the old value. Of changes of
+    one record the last by name counts."""
+    new = _one_each(changes.select("record_id", "status", "final_rendering_id", "final_metadata"), "record_id").select("record_id", *(F.col(c).alias(f"new_{c}") for c in ("status", "final_rendering_id", "final_metadata")))
     met = records.join(new, "record_id", "left")
     return met.withColumns({c: F.coalesce(f"new_{c}", c) for c in ("status", "final_rendering_id", "final_metadata")}).drop(*(c for c in met.columns if c.startswith("new_")))
 
@@ -164,6 +174,24 @@ def copied(rows: DataFrame, child: str, source_kinds: tuple[str, ...] = ("aws",
     return mine.withColumn("run_id", F.lit(child))
 
 
+def carried_over(work: DataFrame, attempts: DataFrame, findings: DataFrame, child: str) -> dict[str, DataFrame]:
+    """A parent's detector work, attempts and findings under the ids that the child run's own would have, so that the child
+    finds its calls made."""
+    from . import work as W
+
+    old = work.withColumnRenamed("work_item_id", "parent_item")
+    items = W.work_ids(old, child).select(*work.columns, "parent_item")
+    ids = items.select("record_id", F.col("parent_item").alias("work_item_id"), F.col("work_item_id").alias("child_item"))
+    key = K.content_id("attempt", K.json_string(F.lit(child)), K.json_string(F.col("child_item")), F.col("attempt_number").cast("string"))
+    tries = attempts.join(ids, ["record_id", "work_item_id"]).withColumn("child_attempt", key)
+    calls = tries.select("record_id", "attempt_id", "child_attempt")
+    mine = copied(findings, child).drop("run_id").join(calls, ["record_id", "attempt_id"]).withColumn("attempt_id", F.col("child_attempt")).drop("child_attempt")
+    return {
+        "work": items.drop("parent_item"), "attempts": tries.withColumns({"work_item_id": F.col("child_item"), "attempt_id": F.col("child_attempt")}).drop("child_item", "child_attempt"),
+        "findings": mine.withColumn("finding_id", W.finding_id(child, "source_name", F.coalesce("span_id", F.lit("")))),
+    }
+
+
 # ---- costs ----
 
 

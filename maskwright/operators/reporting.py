@@ -61,6 +61,11 @@ def review_seconds(decisions: DataFrame) -> DataFrame:
     return sums.withColumn("average_seconds", F.when(F.col("reviewed") > 0, F.bround(F.col("review_seconds") / F.col("reviewed"), 1)).otherwise(0.0))
 
 
+def reviewer_counts(decisions: DataFrame) -> DataFrame:
+    """Current decisions by reviewer and disposition, with their seconds."""
+    return current_decisions(decisions).groupBy("reviewer_id", "disposition").agg(F.count("*").alias("n"), K.sum_or_zero(F.col("review_seconds")).alias("review_seconds")).orderBy("reviewer_id", "disposition")
+
+
 def review_records(decisions: DataFrame, records: DataFrame) -> DataFrame:
     met = current_decisions(decisions).join(records.select("record_id", "entity_id", "source_index"), "record_id")
     return met.select("record_id", "entity_id", "source_index", "disposition", "reviewer_id", "review_seconds", "created_at", "decision_id").orderBy("source_index", "created_at", "decision_id")

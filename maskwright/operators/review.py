@@ -5,6 +5,7 @@ cannot be applied is a row with an error, so one bad edit fails no other record.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,11 @@ from ..functions import policy as P
 from . import reporting as M
 from . import spans as S
 from . import structured as X
+from . import work as W
 
 OPS = ("add", "remove", "modify")
+SPAN_EDIT = "record_id string, op string, group_id string, finding_ids array<string>, start int, end int, category string, text string"
+FIELD_EDIT = "record_id string, column_name string, category string, original string, value string"
 
 
 def queue(records: DataFrame, states: DataFrame) -> DataFrame:
@@ -72,15 +76,19 @@ def checked_edits(edits: DataFrame, groups: DataFrame, records: DataFrame) -> Da
     return met.withColumn("error", error).drop("shown", "source")
 
 
+def review_findings(edits: DataFrame, run_id: str) -> DataFrame:
+    """Findings of the reviewers (edits carry reviewer_id) for added and changed spans without error."""
+    new = edits.where("error is null and op in ('add', 'modify')").select("record_id", "reviewer_id", "start", "end", "category", F.col("text").alias("exact_text"))
+    made = new.withColumns({"finding_id": W.finding_id(run_id, "reviewer_id", F.lit("review")), "source_kind": F.lit("review"), "source_name": F.col("reviewer_id"), "subtype": F.lit("manual"), "native_category": F.col("category"), "span_id": F.lit("review"), "confidence": F.lit(None).cast("double"), "is_eligible": F.lit(True)})
+    return made.drop("reviewer_id").dropDuplicates(["record_id", "finding_id"])
+
+
 def edited_findings(findings: DataFrame, edits: DataFrame, run_id: str, reviewer: str) -> DataFrame:
     """Findings after checked edits without error: the findings of removed and changed groups go (left anti), added and
     changed spans come as findings of the reviewer."""
-    good = edits.where("error is null")
-    gone = good.where("op in ('remove', 'modify')").select("record_id", F.explode("finding_ids").alias("finding_id"))
-    key = K.content_id("finding", *(K.json_string(c) for c in (F.lit(run_id), F.col("record_id"), F.lit(reviewer))), F.col("start").cast("string"), F.col("end").cast("string"), K.json_string(F.col("category")), K.json_string(F.lit("review")), K.json_string(F.col("text")))
-    new = good.where("op in ('add', 'modify')").select("record_id", key.alias("finding_id"), "start", "end", "category", F.col("text").alias("exact_text"), F.lit("review").alias("source_kind"), F.lit(reviewer).alias("source_name"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("is_eligible")).dropDuplicates(["finding_id"])
-    rest = findings.join(gone, ["record_id", "finding_id"], "left_anti")
-    return rest.unionByName(new, allowMissingColumns=True)
+    gone = edits.where("error is null and op in ('remove', 'modify')").select("record_id", F.explode("finding_ids").alias("finding_id"))
+    new = review_findings(edits.withColumn("reviewer_id", F.lit(reviewer)), run_id).select("record_id", "finding_id", "start", "end", "category", "exact_text", "source_kind", "source_name", "confidence", "is_eligible")
+    return findings.join(gone, ["record_id", "finding_id"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def preview_text(records: DataFrame, findings: DataFrame, policy: P.Policy, extra: DataFrame | None = None) -> DataFrame:
@@ -147,6 +155,54 @@ def updated_eligibility(findings: DataFrame, flags: DataFrame) -> tuple[DataFram
     return new.withColumn("is_eligible", F.coalesce("eligible", "is_eligible")).drop("eligible"), unknown
 
 
+_EVENTS = "record_id string, reviewer_id string, seconds long, running boolean, plan_revision int"
+
+
+def _folded(events: pd.DataFrame) -> pd.DataFrame:
+    """The workspaces of one reviewer, of timer events in order. One timer runs at a time: a start anywhere, a pause or a set
+    of the running one ends its stretch, whose whole seconds count. A start at another revision begins the time anew."""
+    kept: dict[str, list] = {}  # record: seconds, since when it runs, revision
+    running = None
+
+    def stop(at: pd.Timestamp) -> None:
+        nonlocal running
+        if running is not None:
+            w = kept[running]
+            w[0] += max(0, int((at - w[1]).total_seconds()))
+            w[1], running = None, None
+
+    for e in events.itertuples():
+        if e.kind == "start":
+            if running == e.record_id and kept[running][2] == e.plan_revision:
+                continue
+            stop(e.at)
+            w = kept.setdefault(e.record_id, [0, None, e.plan_revision])
+            if w[2] != e.plan_revision:
+                w[0], w[2] = 0, e.plan_revision
+            w[1], running = e.at, e.record_id
+        elif e.kind == "pause":
+            if running == e.record_id:
+                stop(e.at)
+        else:
+            if running == e.record_id:
+                kept[running][1], running = None, None
+            kept[e.record_id] = [int(e.seconds), None, e.plan_revision]
+    return pd.DataFrame([(r, events["reviewer_id"].iloc[0], w[0], r == running, w[2]) for r, w in kept.items()], columns=[c.split()[0] for c in _EVENTS.split(", ")])
+
+
+def workspaces(timers: DataFrame, basis: DataFrame) -> DataFrame:
+    """(record_id, reviewer_id, seconds, running, plan_revision, is_fresh) of timer events (event_id, record_id, reviewer_id, at,
+    kind, seconds, plan_revision): each reviewer's events are folded in their order. is_fresh: the workspace looks at the
+    record's basis (record_id, revision); one that is not begins anew with its next start."""
+    order = F.col("event_id").try_cast("long")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return _folded(frame.sort_values(["at", "n"]))
+
+    folded = timers.withColumn("n", order).groupBy("reviewer_id").applyInPandas(run, _EVENTS)
+    return folded.join(basis.select("record_id", "revision"), "record_id", "left").select("record_id", "reviewer_id", "seconds", "running", "plan_revision", (F.col("revision") == F.col("plan_revision")).alias("is_fresh"))
+
+
 def review_seconds(timer: DataFrame) -> DataFrame:
     """(record_id, reviewer_id, seconds) of timer events (record_id, reviewer_id, at, kind): start, pause, or set with
     ``seconds``. A reviewer runs one timer: a start anywhere ends the one before. A stretch counts whole seconds; a set

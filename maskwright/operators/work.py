@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import core as K
 from ..functions import policy as P
 from . import text as T
+from .permits import Permits, permits
 
 
 class Detector(Protocol):
@@ -89,16 +91,26 @@ def chunk_plan(records: DataFrame, most_bytes: int | None = 19_000, overlap: int
     return rows.select("record_id", "chunk_index", F.col("span.start").alias("start"), F.col("span.end").alias("end"), chunk.alias("chunk"))
 
 
+def work_ids(items: DataFrame, run_id: str) -> DataFrame:
+    """items (record_id, backend_id, chunk_index, start, end, chunk) with work_item_id, an id of what is asked of whom."""
+    parts = [K.json_string(F.lit(run_id)), K.json_string(F.col("record_id")), K.json_string(F.col("backend_id")), *(F.col(c).cast("string") for c in ("chunk_index", "start", "end")), K.json_string(K.sha256(F.col("chunk")))]
+    return items.withColumn("work_item_id", K.content_id("work", *parts))
+
+
 def work_items(chunks: DataFrame, run_id: str, backend: str) -> DataFrame:
-    """chunks with backend_id, status and work_item_id, an id of what is asked of whom."""
-    parts = [K.json_string(F.lit(run_id)), K.json_string(F.col("record_id")), K.json_string(F.lit(backend)), *(F.col(c).cast("string") for c in ("chunk_index", "start", "end")), K.json_string(K.sha256(F.col("chunk")))]
-    return chunks.withColumn("backend_id", F.lit(backend)).withColumn("status", F.lit("pending")).withColumn("work_item_id", K.content_id("work", *parts))
+    """chunks with backend_id, status and work_item_id."""
+    return work_ids(chunks.withColumn("backend_id", F.lit(backend)).withColumn("status", F.lit("pending")), run_id)
 
 
-def worklist(records: DataFrame, states: DataFrame, stage: str) -> DataFrame:
-    """records whose state at a stage is open, in source order. The join meets N1 and N2."""
+def open_records(records: DataFrame, states: DataFrame, stage: str) -> DataFrame:
+    """records whose state at a stage is open, in no order."""
     open_ = states.where((F.col("stage") == stage) & F.col("status").isin("pending", "retry_pending"))
-    return records.join(open_.select("record_id"), "record_id", "left_semi").orderBy("source_index")
+    return records.join(open_.select("record_id"), "record_id", "left_semi")
+
+
+def worklist(records: DataFrame, states: DataFrame, stage: str) -> DataFrame:
+    """open_records in source order. The join meets N1 and N2."""
+    return open_records(records, states, stage).orderBy("source_index")
 
 
 def ready_for(states: DataFrame, stages: tuple[str, ...]) -> DataFrame:
@@ -119,43 +131,88 @@ def registered(backends: DataFrame, known: DataFrame | None = None) -> DataFrame
 
 # ---- calls ----
 
-_ATTEMPT = "work_item_id string, record_id string, status string, error_code string, message string, retryable boolean, systemic boolean, raw string, usage string"
-
-
-def call_detector(items: DataFrame, detector: Callable[[], Detector], workers: int = 2) -> DataFrame:
-    """One attempt for each work item (work_item_id, record_id, chunk), by at most ``workers`` tasks at a time. The callable
-    makes the detector inside the task. Once a failure is systemic, the rest of the task's items are left pending and
-    make no row. Write the result at once, and with one try a task, where calls cost money."""
+_ATTEMPT = "work_item_id string, record_id string, status string, error_code string, message string, retryable boolean, systemic boolean, raw string, usage string, stop_reason string, max_tokens int"
+#: Items of a task: enough that connections cost little, few enough that a table spreads out.
+ITEMS_A_TASK = 256
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, stop = detector(), False
-        for frame in frames:
-            out = []
-            for item, record, chunk in zip(frame["work_item_id"], frame["record_id"], frame["chunk"]):
-                if stop:
-                    break
-                usage = {"request_count": 1, "input_chars": len(chunk), "input_bytes": len(chunk.encode())}
-                try:
-                    raw = json.dumps({"findings": made.detect(chunk)}, ensure_ascii=False)
-                    out.append((item, record, "succeeded", None, None, False, False, raw, json.dumps(usage)))
-                except Exception as e:  # noqa: BLE001  any failure of a call is a row
-                    f = classify(e)
-                    usage |= getattr(e, "usage", {})
-                    status = "truncated" if f.truncated else "retryable_error" if f.retryable else "permanent_error"
-                    out.append((item, record, status, f.code, f.message, f.retryable, f.systemic, None, json.dumps(usage)))
-                    stop = f.systemic
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ATTEMPT.split(", ")])
 
-    return items.select("work_item_id", "record_id", "chunk").repartition(workers).mapInPandas(run, _ATTEMPT)
+@dataclass
+class _Outcome:
+    """What one call came to, as a row of _ATTEMPT without its ids."""
+
+    row: tuple
+    systemic: bool
+
+
+def _tried(call: Callable[[], dict[str, Any]], usage: dict[str, Any], max_tokens: int | None) -> _Outcome:
+    """Makes a call. Its answer is a JSON object; a stop reason or usage in it also go to their columns."""
+    try:
+        got = call()
+        stop, said = got.get("stop_reason"), got.get("usage") or {}
+        if stop == "max_tokens":
+            raise ServiceError("truncated", "the answer is cut off", truncated=True, usage=said)
+        return _Outcome(("succeeded", None, None, False, False, json.dumps(got, ensure_ascii=False), json.dumps(usage | said), stop, max_tokens), False)
+    except Exception as e:  # noqa: BLE001  any failure of a call is a row
+        f = classify(e)
+        status = "truncated" if f.truncated else "retryable_error" if f.retryable else "permanent_error"
+        stop = "max_tokens" if f.truncated else None
+        return _Outcome((status, f.code, f.message, f.retryable, f.systemic, None, json.dumps(usage | getattr(e, "usage", {})), stop, max_tokens), f.systemic)
+
+
+@contextmanager
+def _called(items: DataFrame, columns: list[str], make: Callable[[], Any], one: Callable[[Any, Any], Iterator[tuple[Callable, dict, int | None]]], workers: int) -> Iterator[tuple[DataFrame, Permits]]:
+    """(attempts, permits) of calling for each row of items. ``one`` gives a row's calls in turn: each next one is made
+    where the last was cut off. The permits live until the block ends."""
+    parts = max(workers, -(-items.count() // ITEMS_A_TASK))
+    with permits(items.sparkSession, workers) as (held, address):
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made, stop = None, False
+            with address.desk() as desk:
+                for frame in frames:
+                    out = []
+                    for r in frame.itertuples():
+                        stop = stop or not desk.may_call()
+                        if stop:
+                            break
+                        made = made or make()
+                        for call, usage, most in one(made, r):
+                            got = _tried(call, usage, most)
+                            out.append((r.work_item_id, r.record_id, *got.row))
+                            if got.row[0] != "truncated":
+                                break
+                        desk.done(got.systemic)
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _ATTEMPT.split(", ")])
+
+        yield items.select(*columns).repartition(parts).mapInPandas(run, _ATTEMPT), held
+
+
+def call_detector(items: DataFrame, detector: Callable[[], Detector], workers: int = 2) -> AbstractContextManager[tuple[DataFrame, Permits]]:
+    """(attempts, permits) for a with block: one attempt for each work item (work_item_id, record_id, chunk), with at most
+    ``workers`` calls in flight over all tasks. The callable makes the detector inside the task. Once a failure is
+    systemic no task calls any more, and items that were not called make no row; ``permits.stopped`` tells. Write the
+    attempts once within the block, and with one try a task, where calls cost money."""
+
+    def one(made: Detector, r: Any) -> Iterator:
+        usage = {"request_count": 1, "input_chars": len(r.chunk), "input_bytes": len(r.chunk.encode())}
+
+        def call() -> dict[str, Any]:
+            got = made.detect(r.chunk)
+            return got if isinstance(got, dict) else {"findings": got}
+
+        yield call, usage, None
+
+    return _called(items, ["work_item_id", "record_id", "chunk"], detector, one, workers)
 
 
 def numbered_attempts(calls: DataFrame, run_id: str, known: DataFrame | None = None) -> DataFrame:
-    """calls with attempt_number, one more than the highest known of the item, and attempt_id."""
-    if known is None:
-        rows = calls.withColumn("attempt_number", F.lit(1))
-    else:
+    """calls with attempt_number, counting on from the highest known of the item (by max_tokens where an item has several),
+    and attempt_id."""
+    tier = F.coalesce("max_tokens", F.lit(0)) if "max_tokens" in calls.columns else F.lit(0)
+    rows = calls.withColumn("attempt_number", F.row_number().over(Window.partitionBy("work_item_id").orderBy(tier)))
+    if known is not None:
         last = known.groupBy("work_item_id").agg(F.max("attempt_number").alias("last"))
-        rows = calls.join(last, "work_item_id", "left").withColumn("attempt_number", F.coalesce("last", F.lit(0)) + 1).drop("last")
+        rows = rows.join(last, "work_item_id", "left").withColumn("attempt_number", F.coalesce("last", F.lit(0)) + F.col("attempt_number")).drop("last")
     return rows.withColumn("attempt_id", K.content_id("attempt", K.json_string(F.lit(run_id)), K.json_string(F.col("work_item_id")), F.col("attempt_number").cast("string")))
 
 
@@ -182,15 +239,23 @@ def truncations(attempts: DataFrame) -> DataFrame:
 _ANSWER = "array<struct<category:string,subtype:string,text:string,start:int,end:int,confidence:double,group:string>>"
 
 
+def answer_text(raw: Column) -> Column:
+    """The JSON text of a model's answer: its joined text parts where it has parts, else the answer itself."""
+    parts = F.from_json(F.get_json_object(raw, "$.content"), "array<struct<type:string,text:string>>")
+    texts = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
+    return F.when(parts.isNotNull(), texts).otherwise(raw)
+
+
 def parse_answers(attempts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates of succeeded attempts (work_item_id, record_id, raw): raw holds a JSON object with a list ``findings`` of
     {category, text, start, end, confidence?, subtype?, group?}, places within the chunk.
 
     Places that are off are mended by ``text.align``; findings that cannot be placed, or whose confidence is out of
-    range, have an error instead; a span id is the finding's index. ``answers_failed`` tells which answers are bad as a
+    range, have an error instead; a span id is the finding's index. An answer may come as text parts ({"content": [{"type":
+    "text", "text": JSON}, ...]}), of which the text ones are joined. ``answers_failed`` tells which answers are bad as a
     whole. Offsets count from the start of the record (chunks: work_item_id, start, chunk)."""
     rows = attempts.where("status = 'succeeded'").join(chunks.select("work_item_id", F.col("start").alias("base"), "chunk"), "work_item_id")
-    found = rows.select("work_item_id", "attempt_id", "record_id", "base", "chunk", F.posexplode_outer(F.from_json(F.get_json_object("raw", "$.findings"), _ANSWER)).alias("index", "f"))
+    found = rows.select("work_item_id", "attempt_id", "record_id", "base", "chunk", F.posexplode_outer(F.from_json(F.get_json_object(answer_text(F.col("raw")), "$.findings"), _ANSWER)).alias("index", "f"))
     found = found.where("index is not null").withColumn("place", T.aligned(F.col("chunk"), F.col("f.start"), F.col("f.end"), F.col("f.text")))
     category = K.category_of(F.col("f.category"))
     bad = F.when(F.col("f.category").isNull(), "no_category").when(~F.col("f.confidence").between(0, 1), "bad_confidence").when(F.col("place.error").isNotNull(), F.col("place.error"))
@@ -242,50 +307,36 @@ def findings(candidates: DataFrame, run_id: str, source_kind: str, source_name:
     its reason. Findings of rules and of reviewers always count."""
     confidence = F.col("confidence") if "confidence" in candidates.columns else F.lit(None).cast("double")
     always = source_kind in ("rule", "review")
-    parts = [F.lit(run_id), F.col("record_id"), F.lit(source_name)], [F.col("start"), F.col("end")], [F.col("category"), F.coalesce("span_id", F.lit("review" if source_kind == "review" else "")), F.col("exact_text")]
-    key = K.content_id("finding", *map(K.json_string, parts[0]), *(c.cast("string") for c in parts[1]), *map(K.json_string, parts[2]))
     rows = candidates if "error" not in candidates.columns else candidates.where("error is null")
     return rows.withColumns({
-        "confidence": confidence, "source_kind": F.lit(source_kind), "source_name": F.lit(source_name), "finding_id": key,
+        "confidence": confidence, "source_kind": F.lit(source_kind), "source_name": F.lit(source_name), "finding_id": finding_id(run_id, F.lit(source_name), F.coalesce("span_id", F.lit("review" if source_kind == "review" else ""))),
         "is_eligible": F.lit(True) if always else eligible(confidence, least), "ineligible_reason": F.lit(None).cast("string") if always else ineligible_reason(confidence, least),
     }).dropDuplicates(["finding_id"])
 
 
+def finding_id(run_id: str, source_name: Column | str, span_id: Column) -> Column:
+    """The id of a finding (record_id, start, end, category, exact_text) of a source."""
+    source = F.col(source_name) if isinstance(source_name, str) else source_name
+    return K.content_id("finding", *map(K.json_string, (F.lit(run_id), F.col("record_id"), source)), *(F.col(c).cast("string") for c in ("start", "end")), *map(K.json_string, (F.col("category"), span_id, F.col("exact_text"))))
+
+
 def eligible_findings(rows: DataFrame) -> DataFrame:
     return rows.where("is_eligible").orderBy("record_id", "start", "end", "finding_id")
 
 
 # ---- validation ----
 
-_VERDICT = "record_id string, attempt_number int, max_tokens int, status string, error_code string, message string, rationale string, findings string"
-
-
-def call_validator(records: DataFrame, validator: Callable[[], Validator], workers: int = 2, tiers: tuple[int, ...] = VALIDATION_TIERS) -> DataFrame:
-    """Every attempt at records (record_id, original_text, deidentified_text, truncations): an answer that is cut off is
-    asked again with the next tier of tokens; what ends otherwise is the last attempt. A record starts at the tier that
-    its earlier truncations reach."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = validator()
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                first = min(int(r.truncations), len(tiers) - 1)
-                for n, most in enumerate(tiers[first:], start=int(r.truncations) + 1):
-                    try:
-                        got = made.validate(original_text=r.original_text, deidentified_text=r.deidentified_text, max_tokens=most)
-                        if got.get("stop_reason") == "max_tokens":
-                            raise ServiceError("truncated", "the answer is cut off", truncated=True)
-                        out.append((r.record_id, n, most, "succeeded", None, None, got["rationale"], json.dumps(got["findings"], ensure_ascii=False)))
-                    except Exception as e:  # noqa: BLE001  any failure of a call is a row
-                        f = classify(e)
-                        out.append((r.record_id, n, most, "truncated" if f.truncated else "retryable_error" if f.retryable else "permanent_error", f.code, f.message, None, None))
-                        if f.truncated:
-                            continue
-                    break
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _VERDICT.split(", ")])
-
-    return records.select("record_id", "original_text", "deidentified_text", "truncations").repartition(workers).mapInPandas(run, _VERDICT)
+def call_validator(items: DataFrame, validator: Callable[[], Validator], workers: int = 2, tiers: tuple[int, ...] = VALIDATION_TIERS) -> AbstractContextManager[tuple[DataFrame, Permits]]:
+    """As call_detector, for work items (work_item_id, record_id, original_text, deidentified_text, truncations): every
+    attempt, as an answer that is cut off is asked again with the next tier of tokens; what ends otherwise is the last.
+    An item starts at the tier that its earlier truncations reach; one that was cut off at the last tier is not called."""
+
+    def one(made: Validator, r: Any) -> Iterator:
+        usage = {"request_count": 1, "input_chars": len(r.original_text) + len(r.deidentified_text), "input_bytes": len(r.original_text.encode()) + len(r.deidentified_text.encode())}
+        for most in tiers[int(r.truncations) :]:
+            yield lambda most=most: made.validate(original_text=r.original_text, deidentified_text=r.deidentified_text, max_tokens=most), usage, most
+
+    return _called(items.where(F.col("truncations") < len(tiers)), ["work_item_id", "record_id", "original_text", "deidentified_text", "truncations"], validator, one, workers)
 
 
 def validation_outcome(attempts: DataFrame, tiers: tuple[int, ...] = VALIDATION_TIERS) -> DataFrame:
@@ -316,10 +367,14 @@ def validation_findings(found: DataFrame, run_id: str, rendering: str, policy: P
 
 
 def parse_verdicts(attempts: DataFrame) -> DataFrame:
-    """(record_id, index, category, evidence, confidence, rationale, error) of succeeded attempts: one bad finding, of an
-    unknown category, without evidence or with a confidence other than low, medium or high, makes the whole answer bad."""
+    """(record_id, index, category, evidence, confidence, rationale, error) of succeeded attempts (record_id, status, and raw,
+    an answer as JSON, or its parts findings and rationale): one bad finding, of an unknown category, without evidence or
+    with a confidence other than low, medium or high, makes the whole answer bad."""
     kind = "array<struct<category:string,evidence:string,confidence:string,rationale:string>>"
-    rows = attempts.where("status = 'succeeded'").withColumn("f", F.from_json("findings", kind))
+    rows = attempts.where("status = 'succeeded'")
+    if "raw" in rows.columns:
+        rows = rows.withColumns({n: F.get_json_object("raw", f"$.{n}") for n in ("findings", "rationale")})
+    rows = rows.withColumn("f", F.from_json("findings", kind))
     good = F.forall("f", lambda x: F.coalesce(x["category"].isin(*K.CATEGORIES) & (F.length(x["evidence"]) > 0) & x["confidence"].isin("low", "medium", "high"), F.lit(False)))
     whole = F.coalesce(F.col("rationale").isNotNull() & good, F.lit(False))
     rows = rows.select("record_id", F.when(whole, F.col("f")).alias("f"), F.when(~whole, "bad_answer").alias("error"))

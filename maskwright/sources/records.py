@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,18 @@ def read_records(spark: SparkSession, path: str, form: str, directory: bool = Tr
     return spark.read.parquet(path) if form == "parquet" else spark.read.option("mode", "FAILFAST").json(path)
 
 
+def read_in_order(spark: SparkSession, path: str, form: str, name: str = "place__") -> DataFrame:
+    """read_records with each row's place in its source from 0, files by name: of Parquet by the reader's row index, of JSON
+    lines by the split's offset and the rows before it there. Counts of files or splits are the only rows that meet."""
+    df = read_records(spark, path, form)
+    split, row = (F.lit(0).cast("long"), F.col("_metadata.row_index")) if form == "parquet" else (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = df.select("*", F.col("_metadata.file_path").alias("file__"), split.alias("split__"), row.alias("row__"))
+    counts = rows.groupBy("file__", "split__").agg(F.count("*").alias("n"), F.min("row__").alias("first__"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file__", "split__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file__", "split__", (before - F.col("first__")).alias("shift__"))
+    return rows.join(starts, ["file__", "split__"]).withColumn(name, F.col("row__") + F.col("shift__")).drop("file__", "split__", "row__", "shift__")
+
+
 def preview(df: DataFrame, n: int = 20) -> dict:
     """Row count, columns and at most n rows, which is what a preview is."""
     if not 1 <= n <= 100:
@@ -49,10 +64,10 @@ def guess_columns(columns: list[str]) -> dict[str, str | None]:
     return out
 
 
-def normalize(df: DataFrame, record_id: str, entity_id: str, text: str, metadata: tuple[str, ...] = (), repair: bool = False, order: str | None = None) -> DataFrame:
+def normalize(df: DataFrame, record_id: str, entity_id: str, text: str, metadata: tuple[str, ...] = (), repair: bool = False, order: str | None = None, place: str | None = None) -> DataFrame:
     """Canonical records: ids as stripped text, the text, with ``repair`` mended, and the audit of that, exclusion of blank
     texts, metadata as a JSON object (dates in ISO form, binary as base64), and with ``order`` source_index, the row's
-    place by that column from 0. ``check_records`` tests what a row alone cannot show."""
+    place by that column from 0; ``place`` is a column that holds the place already. ``check_records`` tests what a row alone cannot show."""
     missing = sorted({record_id, entity_id, text, *metadata} - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -62,10 +77,10 @@ def normalize(df: DataFrame, record_id: str, entity_id: str, text: str, metadata
     plain = lambda c: F.base64(F.col(c)) if kinds[c] == "binary" else F.col(c).cast("string") if kinds[c] == "date" else F.col(c)
     meta = F.to_json(F.struct(*(plain(c).alias(c) for c in metadata)), {"ignoreNullFields": "false"}) if metadata else F.lit("{}")
     blank = K.is_blank(F.col("text"))
-    rows = df.select(K.strip(F.col(record_id).cast("string")).alias("record_id"), K.strip(F.col(entity_id).cast("string")).alias("entity_id"), t.alias("text"), raw.alias("raw_text"), meta.alias("metadata"), *([F.col(order).alias("order__")] if order else []))
+    rows = df.select(K.strip(F.col(record_id).cast("string")).alias("record_id"), K.strip(F.col(entity_id).cast("string")).alias("entity_id"), t.alias("text"), raw.alias("raw_text"), meta.alias("metadata"), *([F.col(order).alias("order__")] if order else [F.col(place).cast("long").alias("source_index")] if place else []))
     out = rows.select(
         "record_id", "entity_id", "text", K.sha256(F.col("text")).alias("text_sha256"), "raw_text", K.sha256(F.col("raw_text")).alias("raw_sha256"), (~F.col("raw_text").eqNullSafe(F.col("text"))).alias("changed"), F.lit(T.REPAIR if repair else "none").alias("repair"),
-        blank.alias("excluded"), F.when(blank, "empty_source_text").alias("exclusion_code"), "metadata", *(["order__"] if order else []),
+        blank.alias("excluded"), F.when(blank, "empty_source_text").alias("exclusion_code"), "metadata", *(["order__"] if order else ["source_index"] if place else []),
     )
     return with_source_index(out, "order__").drop("order__") if order else out
 
@@ -113,9 +128,30 @@ def import_summary(records: DataFrame) -> DataFrame:
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of the files of a source, each hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of the files of a source, each read in pieces where it is hashed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(sha256=[_sha256(p) for p in frame["path"]])
+
+    return files.repartition("path").mapInPandas(hashed, "path string, bytes long, sha256 string")
+
+
+def _sha256(path: str) -> str:
+    from pyarrow import fs
+
+    at, name = fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with at.open_input_stream(name) as f:
+        while piece := f.read(1 << 20):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def source_digest(facts: DataFrame) -> DataFrame:
+    """One row (files, bytes, digest) of file_facts: equal for equal contents, whatever the files are called."""
+    return facts.agg(F.count("*").alias("files"), K.sum_or_zero(F.col("bytes")).alias("bytes"), F.lower(F.hex(F.coalesce(F.sum(F.xxhash64("sha256").cast("decimal(38,0)")), F.lit(0)).cast("string"))).alias("digest"))
 
 
 def canonical_view(records: DataFrame, errors: DataFrame, with_raw: bool = True) -> DataFrame:

@@ -422,7 +422,7 @@ def test_precheck_and_configurations(spark, tmp_path):
 
     run = make_run(spark, tmp_path, ["Mira"])
     issues = U.precheck(spark, run.config)
-    assert [(i["level"], i["code"]) for i in issues] == [("error", "detector"), ("info", "review")]
+    assert [(i["level"], i["code"]) for i in issues] == [("error", "detector"), ("info", "review"), ("info", "retained"), ("info", "cost")]
     at = tmp_path / "c.json"
     at.write_text(json.dumps(run.config.as_dict(), default=list))
     assert C.read_config(at) == run.config
