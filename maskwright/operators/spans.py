@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as dt
 
 from ..functions import core as K
 from ..functions import dates as D
@@ -18,6 +19,49 @@ from ..functions import policy as P
 
 #: Syntax that Python and Java read differently; rules with it are matched by an Arrow function.
 _FOREIGN = re.compile(r"\(\?P|\(\?\(|\(\?[aiLmsux-]+\)|\\Z|\\N|&&|\[[^\]]*\[|\{,|--")
+#: What Python's classes of characters hold, as members of a Java class: letters and numbers of any kind, but no marks; white
+#: space with the separators of ASCII.
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CLASSES = {"w": _WORD, "d": r"\p{Nd}", "s": _SPACE}
+#: Characters on which Java's own classes and Python's may differ; without them they agree.
+ODD = r"[\x1c-\x1f\x{80}-\x{10ffff}]"
+
+
+def spelled_out(pattern: str) -> str | None:
+    """A pattern whose classes and word bounds mean in Java what they mean in Python, for any text; None where a negated
+    class stands within brackets, which is not put into words here."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            e = pattern[k + 1]
+            if e.lower() in _CLASSES:
+                members = _CLASSES[e.lower()]
+                if inside and e.isupper():
+                    return None
+                out.append(members if inside else f"[{'^' * e.isupper()}{members}]")
+            elif e in "bB" and not inside:
+                w, back = f"[{_WORD}]", f"[{_WORD}]{{1,2}}"  # one of two code units, or two of one: the look back is in units
+                out.append(f"(?:(?<={back})(?!{w})|(?<!{back})(?={w}))" if e == "b" else f"(?:(?<={back})(?={w})|(?<!{back})(?!{w}))")
+            else:
+                out.append(c + e)
+            k += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            if pattern[k + 1 : k + 2] == "^":
+                out.append(c)
+                k, c = k + 1, "^"
+            if pattern[k + 1 : k + 2] == "]":  # a bracket that stands first is a member
+                out.append(c + "\\]")
+                k += 2
+                continue
+        out.append(c)
+        k += 1
+    return "".join(out)
 
 
 @dataclass(frozen=True)
@@ -50,15 +94,25 @@ class Rule:
     @property
     def native(self) -> bool:
         """Whether Spark's expressions give Python's matches: portable syntax that never matches nothing."""
-        return self.exact or not (_FOREIGN.search(self.pattern) or _may_be_empty(self.pattern))
+        return self.exact or not (_FOREIGN.search(self.pattern) or _may_be_empty(self.pattern) or spelled_out(self.pattern) is None)
 
     @property
-    def regex(self) -> str:
-        body = "\\Q" + self.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if self.exact else self.pattern
-        # lines end at line feeds alone, and classes are Unicode ones, as in Python
-        flags = ("d" if re.search(r"[.^$]", body) and not self.exact else "") + ("U" if re.search(r"\\[dwsbDWSB]", body) and not self.exact else "") + ("iu" if self.ignore_case else "")
+    def literal(self) -> str:
+        return "\\Q" + self.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if self.exact else self.pattern
+
+    def _flagged(self, body: str) -> str:
+        flags = ("d" if re.search(r"[.^$]", self.pattern) and not self.exact else "") + ("iu" if self.ignore_case else "")  # lines end at line feeds alone
         return f"(?{flags})" * bool(flags) + body
 
+    @property
+    def regex(self) -> str:
+        """For texts without ODD characters."""
+        return self._flagged(self.literal)
+
+    @property
+    def regex_for_all(self) -> str:
+        return self._flagged(self.literal if self.exact else spelled_out(self.pattern))
+
 
 def _may_be_empty(pattern: str) -> bool:
     """Whether the pattern can match no characters; in doubt, yes."""
@@ -86,11 +140,17 @@ def rule_matches(text: Column, rule: Rule) -> Column:
     and the one before. Matches of no length are skipped."""
     if not rule.native:
         return _foreign_matches(rule)(text)
+    if rule.regex == rule.regex_for_all:
+        return _native_matches(text, rule.regex)
+    return F.when(text.rlike(ODD), _native_matches(text, rule.regex_for_all)).otherwise(_native_matches(text, rule.regex))
+
+
+def _native_matches(text: Column, regex: str) -> Column:
     # most texts have no match, which one search tells; the others are matched and split once each
-    found, between = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
+    found, between = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     met = F.zip_with(found, between, lambda x, b: F.struct(F.length(b).alias("before"), x.alias("text")))
     rows = F.filter(F.transform(met, lambda m, k: F.struct(k.cast("int").alias("i"), m["before"].alias("before"), m["text"].alias("text"))), lambda m: m["text"].isNotNull())
-    return F.when(text.rlike(rule.regex), rows).otherwise(F.array().cast(_MATCH))
+    return F.when(text.rlike(regex), rows).otherwise(F.array().cast(_MATCH))
 
 
 def _foreign_matches(rule: Rule):
@@ -171,7 +231,7 @@ def resolve_linked(findings: DataFrame, records: DataFrame) -> DataFrame:
     """As resolve, and names that one source has put in one source_group_id join where only blanks and ``. , ' -`` lie
     between them and the one follows the other among them. findings carry source_name and source_group_id besides.
 
-    Islands are joined along such links, within each record's own small list of them. An island that lies wholly in the
+    Islands are joined along such links, within each record's own list of them, in about the time of reading it. An island that lies wholly in the
     gap of a link stays apart, so that its group overlaps the joined one; ``render`` reports that as an error."""
     linked = Window.partitionBy("record_id", "source_name", "source_group_id").orderBy(*_ORDER)
     rows = _islands(findings)
@@ -179,15 +239,32 @@ def resolve_linked(findings: DataFrame, records: DataFrame) -> DataFrame:
     pairs = names.select("record_id", F.lag("end").over(linked).alias("from"), F.col("start").alias("to"), F.lag("island").over(linked).alias("a"), F.col("island").alias("b")).where("to > `from` and a <> b")
     gap = F.substring(F.col("text"), F.col("from") + 1, F.col("to") - F.col("from"))
     links = pairs.join(records.select("record_id", "text"), "record_id").where(gap.rlike(_GAP)).groupBy("record_id").agg(F.collect_set(F.struct("a", "b")).alias("links"))
-    # island k starts as group k; each link gives the later group the earlier one's number; as many rounds as links at most
     several = rows.join(links, "record_id").groupBy("record_id", "links").agg(F.max("island").alias("n"))
-    ends = lambda lab, l: (F.element_at(lab, l["a"].cast("int")), F.element_at(lab, l["b"].cast("int")))
-    join = lambda lab, l: F.transform(lab, lambda x: F.when((x == ends(lab, l)[0]) | (x == ends(lab, l)[1]), F.least(*ends(lab, l))).otherwise(x))
-    labels = several.select("record_id", F.posexplode(F.aggregate("links", F.sequence(F.lit(1).cast("long"), F.col("n")), join)).alias("k", "joined"))
+    labels = several.select("record_id", F.posexplode(_components(F.col("n"), F.col("links.a"), F.col("links.b"))).alias("k", "joined"))
     named = rows.join(labels.select("record_id", (F.col("k") + 1).cast("long").alias("island"), "joined"), ["record_id", "island"], "left")
     return _grouped(named.withColumn("joined", F.coalesce("joined", "island")), "joined")
 
 
+@F.pandas_udf(dt.ArrayType(dt.LongType()))
+def _components(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """For islands 1 to n of a record, the first island that links join each with. Roots are the smaller numbers, and paths
+    are halved as they are followed."""
+    out = []
+    for size, left, right in zip(n, a, b):
+        up = list(range(int(size) + 1))
+
+        def root(k: int, up: list[int] = up) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for x, y in zip(left.tolist(), right.tolist()):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+        out.append([root(k) for k in range(1, int(size) + 1)])
+    return pd.Series(out, dtype=object)
+
+
 def findings_digest(findings: DataFrame) -> DataFrame:
     """(record_id, digest): the hash of a record's findings (category, end, id, start, text) as canonical JSON, in order of
     place. A record that has none is hashed by its reader as an empty list (``EMPTY_DIGEST``)."""

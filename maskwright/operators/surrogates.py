@@ -7,19 +7,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as dt
 
 from ..functions import core as K
 from ..functions import policy as P
+from ..sources.files import dropped, written
 
 #: What the keys of scopes, containers and dates begin with. To go on with another system's assignments, pass the names
 #: that it uses: ``scope_key`` and ``container_key`` take a namespace, ``K.date_shift_weeks`` likewise.
 SCOPES, CONTAINERS, DATES = "surrogate/v2", "surrogate-container/v2", "date-shift/v1"
 CANDIDATES = 128
+#: Containers with more scopes are assigned in rounds, not in a group each.
+LARGE = 20_000
 
 
 def resolve_secret(reference: str, resolver: Callable[[str], str | bytes] | None = None) -> bytes:
@@ -107,8 +112,18 @@ def synthetic_value(category: str, digest: bytes, counter: int) -> str:
     return f"{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}"
 
 
+def _different(category: str, digest: bytes) -> Iterator[str]:
+    """The candidates of a scope, each once, as far as they are asked for."""
+    seen = set()
+    for k in range(CANDIDATES):
+        value = synthetic_value(category, digest, k)
+        if value not in seen:
+            seen.add(value)
+            yield value
+
+
 def synthetic_candidates(category: str, digest: bytes) -> list[str]:
-    return list(dict.fromkeys(synthetic_value(category, digest, k) for k in range(CANDIDATES)))
+    return list(_different(category, digest))
 
 
 ASSIGNED = "method string, category string, container_hmac string, scope_hmac string, assignment_id string, surrogate string, error string"
@@ -119,9 +134,8 @@ def assign(requests: DataFrame, values: list[str] | None = None, stored: DataFra
 
     Scopes of a container come in the order of ``ordinal``, and each gets the first of its candidates that no other scope
     of the container has; what ``stored`` (columns of the result) holds is used again and not given twice. Candidates are
-    those of ``values``, else synthetic ones. Of a list only as many scopes as it has values can get one, so no more of a
-    container meet in a group; the others have the error outright. Synthetic ones meet as the different names of one
-    entity or record."""
+    those of ``values``, else synthetic ones. The scopes of a container meet in one group, of a list at most as many as it
+    has values, as the others have the error outright; containers of more than LARGE scopes are assigned in rounds."""
     keys = ["method", "category", "container_hmac"]
     scopes = requests.groupBy(*keys, "scope_hmac", "assignment_id", "digest").agg(F.min("ordinal").alias("ordinal"))
     if stored is None:
@@ -129,13 +143,21 @@ def assign(requests: DataFrame, values: list[str] | None = None, stored: DataFra
     known = stored.where("surrogate is not null").select(*keys, "scope_hmac", "surrogate")
     again = scopes.join(known.select("method", "category", "scope_hmac", "surrogate"), ["method", "category", "scope_hmac"]).select(*keys, "scope_hmac", "assignment_id", "surrogate", F.lit(None).cast("string").alias("error"))
     new = scopes.join(known, ["method", "category", "scope_hmac"], "left_anti")
+    none = "the list has no value left" if values else "the generator has no value left"
+    large = new.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select(*keys)
+    if large.isEmpty():
+        return _assign_in_groups(new, known, keys, values, none).unionByName(again)
+    small = _assign_in_groups(new.join(large, keys, "left_anti"), known, keys, values, none)
+    return small.unionByName(_assign_in_rounds(new.join(large, keys, "left_semi"), known, keys, values, none)).unionByName(again)
+
+
+def _assign_in_groups(new: DataFrame, known: DataFrame, keys: list[str], values: list[str] | None, none: str) -> DataFrame:
+    """Container by container."""
     taken = known.groupBy(*keys).agg(F.collect_set("surrogate").alias("taken"))
     order = Window.partitionBy(*keys).orderBy("ordinal", "scope_hmac")
     rows = new.join(taken, keys, "left").withColumn("place", F.row_number().over(order) + F.coalesce(F.size("taken"), F.lit(0)))
-    none = "the list has no value left" if values else "the generator has no value left"
     if values:
-        digest = F.col("digest")
-        rows = rows.withColumn("candidates", list_candidates(values, digest))
+        rows = rows.withColumn("candidates", list_candidates(values, F.col("digest")))
         late = rows.where(F.col("place") > len(values)).select(*keys, "scope_hmac", "assignment_id", F.lit(None).cast("string").alias("surrogate"), F.lit(none).alias("error"))
         rows = rows.where(F.col("place") <= len(values))
     else:
@@ -154,10 +176,36 @@ def assign(requests: DataFrame, values: list[str] | None = None, stored: DataFra
         return pd.DataFrame(out, columns=[c.split()[0] for c in ASSIGNED.split(", ")])
 
     given = rows.groupBy(*keys).applyInPandas(run, ASSIGNED)
-    given = given.unionByName(again)
     return given.unionByName(late) if late is not None else given
 
 
+@F.pandas_udf(dt.StringType())
+def _synthetic_way(category: pd.Series, digest: pd.Series, k: pd.Series) -> pd.Series:
+    """The k-th different candidate; null where there is none, or k is null."""
+    return pd.Series([None if pd.isna(n) else next(islice(_different(c, bytes.fromhex(d)), int(n), None), None) for c, d, n in zip(category, digest, k)], dtype=object)
+
+
+def _assign_in_rounds(new: DataFrame, known: DataFrame, keys: list[str], values: list[str] | None, none: str) -> DataFrame:
+    """What _assign_in_groups gives, without a group for each container. In a round every scope claims a candidate; of those
+    that claim one value of a container the first by ordinal holds it, the others, and those that claim a value that is
+    stored, go on to their next. A holder gives way to an earlier scope that comes to its value later. It ends when all
+    claims hold, which is then the order of first come, first served: nobody before a scope left it a better value.
+    Each round is a minimum by value, combined before it is shuffled, and is written, as the next begins from it."""
+    spark = new.sparkSession
+    way = lambda k: F.get(list_candidates(values, F.col("digest")), k) if values else _synthetic_way("category", "digest", k)
+    state = written(new.withColumns({"k": F.lit(0), "value": way(F.lit(0)), "moved": F.lit(True)}), "claims")
+    while state.where("moved").limit(1).count():
+        holders = state.where("value is not null").groupBy(*keys, "value").agg(F.min(F.struct("ordinal", "scope_hmac")).alias("holder"))
+        gone = known.select(*keys, F.col("surrogate").alias("value"), F.lit(True).alias("gone"))
+        met = state.join(holders.join(gone, [*keys, "value"], "left"), [*keys, "value"], "left")
+        lost = F.col("value").isNotNull() & (F.coalesce("gone", F.lit(False)) | (F.col("holder.scope_hmac") != F.col("scope_hmac")))
+        met = met.withColumn("moved", lost).withColumn("k", F.col("k") + lost.cast("int"))
+        next_ = way(F.when(F.col("moved"), F.col("k")))
+        before, state = state, written(met.withColumn("value", F.when(F.col("moved"), next_).otherwise(F.col("value"))).select(*state.columns), "claims")
+        dropped(spark, before)
+    return state.select(*keys, "scope_hmac", "assignment_id", F.col("value").alias("surrogate"), F.when(F.col("value").isNull(), none).alias("error"))
+
+
 def date_shifts(entities: DataFrame, secret: bytes, low: int = -52, high: int = 52, stored: DataFrame | None = None) -> DataFrame:
     """(entity_id, weeks, error): one shift for each different entity; one that differs from the stored one is an error."""
     rows = entities.select("entity_id").distinct().withColumn("weeks", K.date_shift_weeks(secret, DATES, F.col("entity_id"), low, high))

@@ -1,10 +1,37 @@
-"""Small files beside tables, on the file system that Spark's paths name."""
+"""Small files beside tables, on the file system that Spark's paths name, and scratch tables in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all nodes see, or an own folder where it is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="maskwright-"))
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, where its lineage ends."""
+    path = f"{shared_folder(df.sparkSession)}/maskwright-core/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Removes what ``written`` wrote; nothing may read it any more."""
+    Files(spark, df.written_at).delete()
 
 
 class Files:
