@@ -82,7 +82,7 @@ _WORDS: dict[str, WordIds] = {}
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.setdefault(path, WordIds(path))
+        words = _WORDS.get(path) or _WORDS.setdefault(path, WordIds(path))  # one tokenizer a worker, not a task
         end = np.array([END_ID], "<u4").tobytes()
         for batch in C.small_batches(batches):
             out: list[list] = [[], [], [], [], [], []]
