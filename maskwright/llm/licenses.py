@@ -1,15 +1,18 @@
 """License scans in DataFrame operations only: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-A template is a short licence notice or the full text of a licence (``license_texts``). Each run of at most ``WRAP``
-adjacent lines that holds part of a word that tells of licences is a header candidate and is compared to the notices;
-a whole text that holds such a part is compared to notices and full texts, whatever its length, and is a licence file
-from ``least`` on. The score is the cosine of TF-IDF vectors over the templates' words, each other word weighing as one
-that is in no template; the best template at or above ``least`` is taken, of a licence file the whole text's. A file
-without an own licence inherits the one of the nearest ancestor directory that has a licence file: a file joins the
-directory's licences on each of its ancestor paths, of which its depth bounds the number.
+A template is a licence notice (a sentence, an SPDX line, the paragraph at the head of files) or the full text of a licence
+(``license_texts``). Header candidates are the paragraphs of a text and its runs of at most ``WRAP`` adjacent lines; a
+whole text that holds a telling part is compared to notices and full texts and is a licence file from ``least`` on. The
+score is the cosine of TF-IDF vectors over the templates' words, each other word weighing as one that is in no template;
+the best template at or above ``least`` is taken, of a licence file the whole text's. A notice with a version is only met
+by what holds that version. A file without an own licence inherits the one of the nearest ancestor directory that has a
+licence file: a file joins the directory's licences on each of its ancestor paths, of which its depth bounds the number.
 
-The vocabulary and the templates are fixed tables, so what is broadcast does not grow with the corpus. Texts without a
-telling part are never exploded into words.
+Only lines with a core word go on, and those near them. Core words lose nothing: of each notice's vector so much lies on
+them that a text without any of them stays below ``least``. Lines are rows, never arrays that rows carry, so the work is
+linear in the lines of a text.
+
+The vocabulary and the templates are fixed tables, so what is broadcast does not grow with the corpus.
 
 Cases: null and empty texts have no own licence; repeated rows get the same answer; of templates with one score the
 first by name wins; of licence files in one directory the best score, then the first name, wins; a null path has no
@@ -25,92 +28,152 @@ from collections import Counter
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
-}
+_GNU = {
+    "agpl-3.0": ("program", "GNU Affero General Public License", "3", "AGPL-3.0"), "gpl-2.0": ("program", "GNU General Public License", "2", "GPL-2.0"), "gpl-3.0": ("program", "GNU General Public License", "3", "GPL-3.0"),
+    "lgpl-2.1": ("library", "GNU Lesser General Public License", "2.1", "LGPL-2.1"), "lgpl-3.0": ("library", "GNU Lesser General Public License", "3", "LGPL-3.0"),
+}
+
+
+def _gnu(what: str, title: str, version: str, tag: str) -> tuple[str, ...]:
+    notices = [f"This work is licensed under the {title}, version {version}.", *(f"SPDX-License-Identifier: {tag}{end}" for end in ("", "-only", "-or-later"))]
+    for kind in dict.fromkeys((what, "program")):
+        notices.append(f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+    return tuple(notices)
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    ),
+    "bsd-2-clause": ("SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    "cc-by-4.0": ("Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    **{name: _gnu(*parts) for name, parts in _GNU.items()},
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "Released under the ISC License."),
+    "mit": (
+        "Released under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "mpl-2.0": (
+        "This file is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+}
 LEAST = 0.75
-#: A notice may be broken over so many lines.
+#: Besides whole paragraphs, runs of so many lines are headers.
 WRAP = 6
 _WORD = "[a-z]+(?:-[a-z]+)*|[0-9]+(?:\\.[0-9]+)*"
-#: Parts of words that name licences or their terms; a line without any of them is no header, whatever else it shares.
-TELLING = ("licen", "apache", "gnu", "mozilla", "redistribution", "permitted", "cc by")
+#: Each full text holds one of these; a whole text without any is not compared to them.
+TELLING = ("licen", "apache", "gnu", "mozilla", "redistribution", "permission", "permitted", "cc by")
+
+Templates = dict[str, tuple[str, ...]]
 
 
 def _words(text: str) -> list[str]:
     return re.findall(_WORD, text.lower())
 
 
-def vectors(templates: dict[str, str], damp: bool = False) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """(inverse document frequency of each word, unit TF-IDF vector of each template). damp: a word that comes n times
-    counts 1 + log n, so that the words of any prose do not outweigh all others in long texts."""
-    df = Counter(w for t in templates.values() for w in set(_words(t)))
-    idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
-    out = {}
-    for name, text in templates.items():
+def vectors(templates: Templates, damp: bool = False) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
+    """(inverse document frequency of each word, name and unit TF-IDF vector of each template). damp: a word that comes n
+    times counts 1 + log n, so that the words of any prose do not outweigh all others in long texts."""
+    flat = [(name, text) for name in sorted(templates) for text in templates[name]]
+    df = Counter(w for _, t in flat for w in set(_words(t)))
+    idf = {w: math.log((1 + len(flat)) / (1 + n)) + 1 for w, n in df.items()}
+    out = []
+    for name, text in flat:
         v = {w: (1 + math.log(n) if damp else n) * idf[w] for w, n in Counter(_words(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        out[name] = {w: x / norm for w, x in v.items()}
+        out.append((name, {w: x / norm for w, x in v.items()}))
     return idf, out
 
 
-def full_texts() -> dict[str, str]:
+def core_words(templates: Templates, least: float = LEAST) -> list[str]:
+    """Words such that the cosine of a text without any of them to any template is below ``least``: each template has less
+    than least squared of its squared length on its other words. Words that serve most come first."""
+    _, unit = vectors(templates)
+    need = [1 - least * least + 1e-9] * len(unit)
+    out: list[str] = []
+    while max(need) > 0:
+        gain = Counter()
+        for (_, v), n in zip(unit, need):
+            for w, x in v.items():
+                gain[w] += min(max(n, 0), x * x)
+        best = min((w for w in gain if w not in out), key=lambda w: (-gain[w], w))
+        out.append(best)
+        need = [n - v.get(best, 0) ** 2 for (_, v), n in zip(unit, need)]
+    return out
+
+
+def full_texts() -> Templates:
     """The whole texts of licences by name."""
-    return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+    return {p.stem: (p.read_text(),) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 
-def _best(bags: DataFrame, keys: list[str], templates: dict[str, str], damp: bool = False) -> DataFrame:
+def _best(bags: DataFrame, keys: list[str], templates: Templates, damp: bool = False) -> DataFrame:
     """keys and best, a struct(o, name, score) of the best template for each array of words; o is the negative score.
-    Each word of no template counts once, at the weight of a word that is nowhere."""
+    Each word of no template counts once, at the weight of a word that is nowhere. Without damp a template is only met by
+    what holds all its numbers."""
     idf, unit = vectors(templates, damp)
-    names = sorted(templates)
-    other = math.log(1 + len(templates)) + 1
-    table = json.dumps([{"word": w, "idf": x, "unit": [unit[name].get(w, 0.0) for name in names]} for w, x in idf.items()])
-    rows = bags.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<word:string,idf:double,unit:array<double>>>")))
+    other = math.log(1 + len(unit)) + 1
+    number = lambda w: w[0].isdigit() and not damp
+    table = json.dumps([{"word": w, "idf": x, "of": [{"k": k, "x": v[w], "d": int(number(w))} for k, (_, v) in enumerate(unit) if w in v]} for w, x in idf.items()])
+    rows = bags.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<word:string,idf:double,of:array<struct<k:int,x:double,d:int>>>>")))
     counts = bags.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("times"))
     weight = (F.log("times") + 1 if damp else F.col("times")) * F.col("idf")
     found = counts.join(F.broadcast(C.written(rows, "license-words")), "word", "left").withColumn("w", weight)
-    square = F.sum(F.coalesce(F.col("w") * F.col("w"), F.col("times") * F.lit(other * other)))
-    dots = [F.coalesce(F.sum(F.col("w") * F.col("unit")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(len(names))]
-    sums = found.groupBy(*keys).agg(square.alias("square"), *dots)
-    score = [F.round(F.col(f"d{k}") / F.sqrt("square"), 6) for k in range(len(names))]
-    return sums.select(*keys, F.array_min(F.array(*(F.struct((-x).alias("o"), F.lit(name).alias("name"), x.alias("score")) for name, x in zip(names, score)))).alias("best"))
+    square = found.groupBy(*keys).agg(F.sum(F.coalesce(F.col("w") * F.col("w"), F.col("times") * F.lit(other * other))).alias("square"))
+    dots = found.select(*keys, "w", F.inline("of")).groupBy(*keys, "k").agg(F.sum(F.col("w") * F.col("x")).alias("dot"), F.sum("d").alias("numbers"))
+    need = F.element_at(F.array(*(F.lit(sum(map(number, v))) for _, v in unit)), F.col("k") + 1)
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in unit)), F.col("k") + 1)
+    met = dots.where(F.col("numbers") == need).join(square, keys).withColumn("score", F.round(F.col("dot") / F.sqrt("square"), 6))
+    return met.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("o"), name.alias("name"), F.col("score"))).alias("best"))
 
 
-def _tells(text: Column) -> Column:
+def _contains_any(text: Column, parts: tuple[str, ...] | list[str]) -> Column:
     """A search for fixed strings, which is many times faster than a pattern over whole texts."""
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in TELLING])
-
-
-def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, texts: dict[str, str] | None = None) -> DataFrame:
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in parts])
+
+
+def header_runs(lines: DataFrame, core: list[str]) -> DataFrame:
+    """(row, start, end, words) of every paragraph and every run of at most WRAP lines that holds a core word, of lines (row,
+    pos, words). A paragraph is a stretch of lines with words; a run of lines may cross paragraphs."""
+    tells = F.arrays_overlap("words", F.array(*map(F.lit, core)))
+    order = Window.partitionBy("row").orderBy("pos")
+    blank = F.size("words") == 0
+    marked = lines.withColumns({"tells": tells, "par": F.sum(blank.cast("int")).over(order)})
+    near = F.max("tells").over(order.rangeBetween(1 - WRAP, WRAP - 1))
+    par = F.max("tells").over(Window.partitionBy("row", "par"))
+    kept = marked.withColumns({"near": near, "of": par}).where("near or of")
+    bounds = kept.where("of and size(words) > 0").groupBy("row", "par").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    pars = kept.where("of").join(bounds, ["row", "par"]).select("row", "start", "end", "tells", "words")
+    # each line is in the runs (start, end) around it
+    spans = [F.struct((F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("end")) for before in range(WRAP) for after in range(WRAP - before)]
+    runs = kept.where("near").select("row", F.explode(F.array(*spans)).alias("x"), "tells", "words").select("row", "x.start", "x.end", "tells", "words")
+    both = runs.unionByName(pars).groupBy("row", "start", "end").agg(F.max("tells").alias("tells"), F.flatten(F.collect_list("words")).alias("words"))
+    return both.where("tells").drop("tells")
+
+
+def own_licenses(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST, texts: Templates | None = None) -> DataFrame:
     """(id, path, own, own_score, is_file) of files (id, path, text)."""
+    core = core_words(templates, least)
     # one pass over all texts; only the few that hold such a word are split
-    cut = F.when(_tells(F.col("text")), F.col("text"))
-    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-lines")
-    telling = seen.where("text is not null")
+    cut = F.when(_contains_any(F.col("text"), core), F.col("text"))
+    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-texts")
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_WORD})"), 1)
-    # headers: every run of at most WRAP lines of which one tells
-    lines = telling.select("row", F.transform(F.split("text", "\n"), lambda x: F.struct(_tells(x).alias("tells"), words(x).alias("words"))).alias("lines"))
-    starts = lines.select("row", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("start")).select("row", "start", F.slice("lines", F.col("start"), WRAP).alias("run"))
-    near = starts.where(F.exists("run", lambda x: x["tells"])).select("row", "start", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
-    runs = near.select("row", "start", "n", F.slice("run", F.lit(1), F.col("n")).alias("run")).where(F.exists("run", lambda x: x["tells"]))
-    headers = _best(runs.select("row", "start", "n", F.flatten(F.transform("run", lambda x: x["words"])).alias("words")), ["row", "start", "n"], templates)
+    lines = seen.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("row", "pos", words(F.col("line")).alias("words"))
+    headers = _best(header_runs(lines, core), ["row", "start", "end"], templates)
     header = headers.groupBy("row").agg(F.min("best").alias("header"))
     # licence files: the whole text, whatever its length, is a notice or a licence
-    bags = telling.select("row", words(F.col("text")).alias("words"))
+    bags = seen.where("text is not null").where(_contains_any(F.col("text"), TELLING)).select("row", words(F.col("text")).alias("words"))
     whole = _best(bags, ["row"], templates).union(_best(bags, ["row"], full_texts() if texts is None else texts, True)).groupBy("row").agg(F.min("best").alias("whole"))
-    found = seen.select("row", "id", "path").join(C.written(whole.join(header, "row", "left"), "license-scores"), "row", "left")
+    found = seen.select("row", "id", "path").join(C.written(header.join(whole, "row", "full"), "license-scores"), "row", "left")
     is_file = F.coalesce(F.col("whole.score") >= least, F.lit(False))
     best = F.when(is_file, F.col("whole")).when(F.col("header.score") >= least, F.col("header"))
     return found.select("id", "path", best["name"].alias("own"), best["score"].alias("own_score"), is_file.alias("is_file"))
@@ -120,7 +183,7 @@ def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, license, score, how, from_directory); how is own, inherited or none. files: id, path, text, and ids
     are unique; directories are parts of a path that end before a slash, the top one is empty."""
     own = C.written(own_licenses(files, templates, least), "licenses")
