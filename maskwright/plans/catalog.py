@@ -398,3 +398,5 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 from . import ledger_catalog  # noqa: E402, F401  registers the queries over ledger tables
+
+from . import run_catalog  # noqa: E402, F401  registers the queries over ledgers of runs
