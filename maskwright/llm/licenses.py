@@ -67,6 +67,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 LEAST = 0.75
+#: So many texts tell which words are common.
+SAMPLE = 2000
 #: Besides whole paragraphs, runs of so many lines are headers.
 WRAP = 6
 _WORD = "[a-z]+(?:-[a-z]+)*|[0-9]+(?:\\.[0-9]+)*"
@@ -94,9 +96,10 @@ def vectors(templates: Templates, damp: bool = False) -> tuple[dict[str, float],
     return idf, out
 
 
-def core_words(templates: Templates, least: float = LEAST) -> list[str]:
+def core_words(templates: Templates, least: float = LEAST, shares: dict[str, float] | None = None) -> list[str]:
     """Words such that the cosine of a text without any of them to any template is below ``least``: each template has less
-    than least squared of its squared length on its other words. Words that serve most come first."""
+    than least squared of its squared length on its other words. Words that serve most templates for the share of texts
+    that hold them come first."""
     _, unit = vectors(templates)
     need = [1 - least * least + 1e-9] * len(unit)
     out: list[str] = []
@@ -105,12 +108,22 @@ def core_words(templates: Templates, least: float = LEAST) -> list[str]:
         for (_, v), n in zip(unit, need):
             for w, x in v.items():
                 gain[w] += min(max(n, 0), x * x)
-        best = min((w for w in gain if w not in out), key=lambda w: (-gain[w], w))
+        best = min((w for w in gain if w not in out), key=lambda w: (-gain[w] / ((shares or {}).get(w, 0) + 1 / SAMPLE), w))
         out.append(best)
         need = [n - v.get(best, 0) ** 2 for (_, v), n in zip(unit, need)]
     return out
 
 
+def word_shares(files: DataFrame, templates: Templates, most: int = SAMPLE) -> dict[str, float]:
+    """The shares of at most ``most`` texts that hold each word of the templates. They only choose among sets of core words
+    that all lose nothing: the cost hangs on the sample, the result does not."""
+    words = sorted(vectors(templates)[0])
+    lower = F.lower("text")
+    sample = files.where("text is not null").limit(most).select(F.array_distinct(F.regexp_extract_all(lower, F.lit(f"({_WORD})"), 1)).alias("words"))
+    held = sample.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, words)))).alias("word")).groupBy("word").count()
+    return {r["word"]: r["count"] / most for r in held.collect()}
+
+
 def full_texts() -> Templates:
     """The whole texts of licences by name."""
     return {p.stem: (p.read_text(),) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
@@ -162,11 +175,12 @@ def header_runs(lines: DataFrame, core: list[str]) -> DataFrame:
 
 def own_licenses(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST, texts: Templates | None = None) -> DataFrame:
     """(id, path, own, own_score, is_file) of files (id, path, text)."""
-    core = core_words(templates, least)
-    # one pass over all texts; only the few that hold such a word are split
-    cut = F.when(_contains_any(F.col("text"), core), F.col("text"))
-    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-texts")
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_WORD})"), 1)
+    core = core_words(templates, least, word_shares(files, templates))
+    # one pass over all texts: those that hold a core word go on; most are told by a search for its letters
+    held = F.when(_contains_any(F.col("text"), core), F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, core))))
+    cut = F.when(held, F.col("text"))
+    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-texts")
     lines = seen.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("row", "pos", words(F.col("line")).alias("words"))
     headers = _best(header_runs(lines, core), ["row", "start", "end"], templates)
     header = headers.groupBy("row").agg(F.min("best").alias("header"))

@@ -79,9 +79,11 @@ def test_headers_equal_a_plain_cosine(spark):
 
 
 def test_core_words_lose_nothing():
-    core = set(L.core_words(L.TEMPLATES))
     _, unit = L.vectors(L.TEMPLATES)
-    assert all(sum(x * x for w, x in v.items() if w not in core) < L.LEAST**2 for _, v in unit) and len(core) < 60
+    for shares in (None, {w: 0.9 for w in ("the", "of", "to", "and", "this", "is", "it", "are", "that")}):
+        core = set(L.core_words(L.TEMPLATES, shares=shares))
+        assert all(sum(x * x for w, x in v.items() if w not in core) < L.LEAST**2 for _, v in unit) and len(core) < 80
+        assert shares is None or not core & set(shares)
 
 
 def test_a_text_of_many_telling_lines(spark):
