@@ -78,8 +78,16 @@ TELLING = ("licen", "apache", "gnu", "mozilla", "redistribution", "permission",
 Templates = dict[str, tuple[str, ...]]
 
 
+#: The name of the one licence that is a common word of German is a word of its own, where it stands in capitals.
+_NAME, _AS = "\\bMIT\\b", "mit-license"
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(_WORD, text.lower())
+    return re.findall(_WORD, re.sub(_NAME, _AS, text, flags=re.ASCII).lower())
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, _NAME, _AS)), F.lit(f"({_WORD})"), 1)
 
 
 def vectors(templates: Templates, damp: bool = False) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
@@ -118,8 +126,7 @@ def word_shares(files: DataFrame, templates: Templates, most: int = SAMPLE) -> d
     """The shares of at most ``most`` texts that hold each word of the templates. They only choose among sets of core words
     that all lose nothing: the cost hangs on the sample, the result does not."""
     words = sorted(vectors(templates)[0])
-    lower = F.lower("text")
-    sample = files.where("text is not null").limit(most).select(F.array_distinct(F.regexp_extract_all(lower, F.lit(f"({_WORD})"), 1)).alias("words"))
+    sample = files.where("text is not null").limit(most).select(F.array_distinct(words_of(F.col("text"))).alias("words"))
     held = sample.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, words)))).alias("word")).groupBy("word").count()
     return {r["word"]: r["count"] / most for r in held.collect()}
 
@@ -175,17 +182,16 @@ def header_runs(lines: DataFrame, core: list[str]) -> DataFrame:
 
 def own_licenses(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST, texts: Templates | None = None) -> DataFrame:
     """(id, path, own, own_score, is_file) of files (id, path, text)."""
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_WORD})"), 1)
     core = core_words(templates, least, word_shares(files, templates))
     # one pass over all texts: those that hold a core word go on; most are told by a search for its letters
-    held = F.when(_contains_any(F.col("text"), core), F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, core))))
+    held = F.when(_contains_any(F.col("text"), [w.removesuffix("-license") for w in core]), F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, core))))
     cut = F.when(held, F.col("text"))
     seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-texts")
-    lines = seen.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("row", "pos", words(F.col("line")).alias("words"))
+    lines = seen.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("row", "pos", words_of(F.col("line")).alias("words"))
     headers = _best(header_runs(lines, core), ["row", "start", "end"], templates)
     header = headers.groupBy("row").agg(F.min("best").alias("header"))
     # licence files: the whole text, whatever its length, is a notice or a licence
-    bags = seen.where("text is not null").where(_contains_any(F.col("text"), TELLING)).select("row", words(F.col("text")).alias("words"))
+    bags = seen.where("text is not null").where(_contains_any(F.col("text"), TELLING)).select("row", words_of(F.col("text")).alias("words"))
     whole = _best(bags, ["row"], templates).union(_best(bags, ["row"], full_texts() if texts is None else texts, True)).groupBy("row").agg(F.min("best").alias("whole"))
     found = seen.select("row", "id", "path").join(C.written(header.join(whole, "row", "full"), "license-scores"), "row", "left")
     is_file = F.coalesce(F.col("whole.score") >= least, F.lit(False))

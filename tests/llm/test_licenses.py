@@ -31,7 +31,7 @@ LABELLED = [
     ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("This work is licensed under the GNU General Public License, version 4.", None), ("Licensed under the Apache License, Version 1.1.", None),
     (FILE_HEAD.format(3), "gpl-3.0"), (FILE_HEAD.format(2), "gpl-2.0"), (FILE_HEAD.replace("General", "Affero General").format(3), "agpl-3.0"), (FILE_HEAD.replace("program", "library").replace("General", "Lesser General").format("2.1"), "lgpl-2.1"),
     (MIT_HEAD, "mit"), ("#!/bin/sh\n# SPDX-License-Identifier: MIT\nls\n", "mit"), ("/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "gpl-2.0"), ("# SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"), ("// SPDX-License-Identifier: ISC", "isc"),
-    ("Released under the MIT License.", "mit"), ("The MIT License (MIT)", "mit"), ("Licensed under CC BY 4.0.", "cc-by-4.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("He got a license to drive in the state of Maine.", None), ("No permission is granted to enter.", None), ("", None), (None, None),
+    ("Released under the MIT License.", "mit"), ("The MIT License (MIT)", "mit"), ("Licensed under CC BY 4.0.", "cc-by-4.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("He got a license to drive in the state of Maine.", None), ("er kam mit der License", None), ("No permission is granted to enter.", None), ("", None), (None, None),
 ]
 
 
