@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from typing import Any
@@ -16,6 +17,7 @@ from .plans import run as U
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="maskwright", description=__doc__)
     p.add_argument("--json", action="store_true")
+    p.add_argument("--with", dest="module", help="a module with detectors (by name), validator and secrets, as far as the run needs them")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("check", "run"):
         sub.add_parser(name).add_argument("config")
@@ -41,16 +43,25 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _given(module: str | None) -> dict[str, Any]:
+    """What a module gives to a run: executors import it too, so it has to be on their path."""
+    if not module:
+        return {}
+    found = importlib.import_module(module)
+    return {n: getattr(found, n) for n in ("detectors", "validator", "secrets") if hasattr(found, n)}
+
+
 def _do(a: argparse.Namespace, spark: SparkSession) -> Any:
+    given = _given(a.module)
     if a.command == "check":
-        issues = U.precheck(spark, read_config(a.config))
+        issues = U.precheck(spark, read_config(a.config), given.get("detectors"), given.get("secrets"))
         return {"ok": not any(i["level"] == "error" for i in issues), "issues": issues}
     if a.command == "run":
-        run = U.create_run(spark, read_config(a.config))
+        run = U.create_run(spark, read_config(a.config), **given)
         return {"run_id": run.facts["run_id"], "folder": str(run.folder), "status": run.execute()}
     if a.command == "list":
         return {"runs": U.discover_runs(spark, a.folder)}
-    run = U.open_run(spark, a.folder)
+    run = U.open_run(spark, a.folder, **given)
     if a.command == "status":
         return run.status()
     if a.command == "resume":

@@ -22,7 +22,7 @@ STATE_STATUSES = ("pending", "running", "review_pending", "retry_pending", "succ
 STAGE_STATUSES = ("pending", "running", "blocked", "completed", "completed_with_errors", "skipped", "failed")
 ATTEMPT_STATUSES = ("running", "succeeded", "retryable_error", "truncated", "cancelled", "permanent_error")
 DISPOSITIONS = ("approved_unchanged", "corrected", "excluded")
-#: How a category is treated unless a policy says otherwise.
+# How a category is treated unless a policy says otherwise.
 DEFAULT_POLICY = {c: ("redact", None) for c in CATEGORIES} | {"DATE": ("generalize", "year_only"), "AGE": ("generalize", "age_90_plus"), "PROFESSION": ("retain", None)}
 
 _SPACE = "[\\s\\x1c-\\x1f]"

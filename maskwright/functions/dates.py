@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 DATE_MARK = "[R_DATE]"
 
 # The formats of dates with a year and without one, tried in this order; the year that stands in for a
-# missing one; what may part two dates of a range.
+# missing one; two days of one month; what may part two dates of a range.
 FORMATS = (
     "%m/%d/%Y",
     "%m-%d-%Y",
@@ -35,12 +35,14 @@ FORMATS = (
 )
 YEARLESS_FORMATS = ("%m/%d", "%m-%d", "%B %d", "%b %d", "%d %B", "%d %b")
 ANCHOR_YEAR = 2000
+DAYS_OF_A_MONTH = re.compile(r"([A-Za-z]+)(\s+)(\d{1,2})(\s*[–—-]\s*)(\d{1,2})")
 RANGE_SEPARATOR = re.compile(r"\s+(?:to|through)\s+|\s*[–—]\s*|\s+-\s+|(?<=\d)-(?=(?:[A-Za-z]|\d{1,2}/))", re.IGNORECASE)
 
 
 def _shape(text: str) -> str:
-    """Runs of digits, letters and blanks as one sign each: a text that a format reads has the format's shape."""
-    return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text)))
+    """Runs of digits and of letters as one sign each, without blanks, which may pad a day or a whole date: a text that a
+    format reads has the format's shape."""
+    return re.sub(r"\s+", "", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text)))
 
 
 _BY_SHAPE: dict[str, list[str]] = {}
@@ -106,18 +108,16 @@ def _ends(left: str, right: str, days: int) -> tuple[str, str] | None:
 
 def _within_a_month(text: str, days: int) -> str | None:
     """``Month 3-5``, where both days move within one month."""
-    m = re.fullmatch(r"([A-Za-z]+)(\s+)(\d{1,2})(\s*[–—-]\s*)(\d{1,2})", text)
-    if not m:
+    if not (m := DAYS_OF_A_MONTH.fullmatch(text)):
         return None
-    month, blank, first, dash, last = m.groups()
-    a, b = parse(f"{month} {first}"), parse(f"{month} {last}")
-    if not a or not b or b[0] < a[0]:
+    read = [parse(f"{m[1]} {m[k]}") for k in (3, 5)]
+    if None in read or read[0][0] > read[1][0]:
         return None
-    start, end = a[0] + timedelta(days=days), b[0] + timedelta(days=days)
-    if (start.year, start.month) != (end.year, end.month):
+    to = [at + timedelta(days=days) for at, _ in read]
+    if to[0].replace(day=1) != to[1].replace(day=1):
         return None
-    name, day = show(start, a[1], f"{month} {first}").split(" ")
-    return f"{name}{blank}{day}{dash}{str(end.day).zfill(len(last))}"
+    name = show(to[0], read[0][1], f"{m[1]} {m[3]}").split(" ")[0]
+    return name + m[2] + str(to[0].day).zfill(len(m[3])) + m[4] + str(to[1].day).zfill(len(m[5]))
 
 
 def move_text(text: str, weeks: int) -> str | None:

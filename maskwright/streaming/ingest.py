@@ -20,7 +20,8 @@ def redacted(records: DataFrame, rules: list[S.Rule], policy: P.Policy = K.DEFAU
 def redact_stream(records: DataFrame, path: str, checkpoint: str, rules: list[S.Rule], policy: P.Policy = K.DEFAULT_POLICY, once: bool = False) -> StreamingQuery:
     """Writes ``redacted`` of a stream to Parquet below ``path``, a folder for each batch. A batch that runs again after a
     failure replaces its own folder, so every record is written once; record ids are unique within a batch. ``once``
-    takes what is there and ends. No state is kept, so late rows need no watermark."""
+    takes what is there and ends. No state is kept, so late rows need no watermark, and a record id that comes again in a
+    later batch is written again."""
 
     def write(batch: DataFrame, n: int) -> None:
         redacted(batch.select("record_id", "text"), rules, policy).write.mode("overwrite").parquet(f"{path}/batch={n}")
