@@ -78,8 +78,8 @@ TELLING = ("licen", "apache", "gnu", "mozilla", "redistribution", "permission",
 Templates = dict[str, tuple[str, ...]]
 
 
-#: The name of the one licence that is a common word of German is a word of its own, where it stands in capitals.
-_NAME, _AS = "\\bMIT\\b", "mit-license"
+#: The name of the one licence that is a common word of German is a word of its own: in capitals, or before "license".
+_NAME, _AS = r"\bMIT\b|\b(?i:mit)(?=\s+(?i:licen[cs]e)\b)", "mit-license"
 
 
 def _words(text: str) -> list[str]:
@@ -136,62 +136,82 @@ def full_texts() -> Templates:
     return {p.stem: (p.read_text(),) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 
-def _best(bags: DataFrame, keys: list[str], templates: Templates, damp: bool = False) -> DataFrame:
-    """keys and best, a struct(o, name, score) of the best template for each array of words; o is the negative score.
-    Each word of no template counts once, at the weight of a word that is nowhere. Without damp a template is only met by
-    what holds all its numbers."""
+def _table(spark: SparkSession, templates: Templates, damp: bool) -> tuple[DataFrame, float, list[tuple[str, int]]]:
+    """((word, idf, of: its places in templates), the weight of other words, each template's name and count of numbers)."""
     idf, unit = vectors(templates, damp)
-    other = math.log(1 + len(unit)) + 1
     number = lambda w: w[0].isdigit() and not damp
     table = json.dumps([{"word": w, "idf": x, "of": [{"k": k, "x": v[w], "d": int(number(w))} for k, (_, v) in enumerate(unit) if w in v]} for w, x in idf.items()])
-    rows = bags.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<word:string,idf:double,of:array<struct<k:int,x:double,d:int>>>>")))
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<word:string,idf:double,of:array<struct<k:int,x:double,d:int>>>>")))
+    return C.written(rows, "license-words"), math.log(1 + len(unit)) + 1, [(n, sum(map(number, v))) for n, v in unit]
+
+
+def _products(bags: DataFrame, keys: list[str], templates: Templates, damp: bool = False) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(keys, square, k, dot, numbers) of each array of words and template that share a word, and the templates."""
+    table, other, kinds = _table(bags.sparkSession, templates, damp)
     counts = bags.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("times"))
     weight = (F.log("times") + 1 if damp else F.col("times")) * F.col("idf")
-    found = counts.join(F.broadcast(C.written(rows, "license-words")), "word", "left").withColumn("w", weight)
+    found = counts.join(F.broadcast(table), "word", "left").withColumn("w", weight)
     square = found.groupBy(*keys).agg(F.sum(F.coalesce(F.col("w") * F.col("w"), F.col("times") * F.lit(other * other))).alias("square"))
     dots = found.select(*keys, "w", F.inline("of")).groupBy(*keys, "k").agg(F.sum(F.col("w") * F.col("x")).alias("dot"), F.sum("d").alias("numbers"))
-    need = F.element_at(F.array(*(F.lit(sum(map(number, v))) for _, v in unit)), F.col("k") + 1)
-    name = F.element_at(F.array(*(F.lit(n) for n, _ in unit)), F.col("k") + 1)
-    met = dots.where(F.col("numbers") == need).join(square, keys).withColumn("score", F.round(F.col("dot") / F.sqrt("square"), 6))
-    return met.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("o"), name.alias("name"), F.col("score"))).alias("best"))
+    return square.join(dots, keys, "left"), kinds
 
 
-def _contains_any(text: Column, parts: tuple[str, ...] | list[str]) -> Column:
+def _best(bags: DataFrame, keys: list[str], templates: Templates, damp: bool = False) -> DataFrame:
+    """keys and best, a struct(o, name, score) of the best template for each array of words; o is the negative score.
+    Each word of no template counts once, at the weight of a word that is nowhere. Without damp a template is only met by
+    what holds all its numbers."""
+    met, kinds = _products(bags, keys, templates, damp)
+    of_template = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
+    scored = met.where(F.col("numbers") == of_template([n for _, n in kinds])).withColumn("score", F.round(F.col("dot") / F.sqrt("square"), 6))
+    return scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("o"), of_template([n for n, _ in kinds]).alias("name"), F.col("score"))).alias("best"))
+
+
+def _contains_any(lower: Column, parts: tuple[str, ...] | list[str]) -> Column:
     """A search for fixed strings, which is many times faster than a pattern over whole texts."""
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in parts])
+    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in parts])
+
 
+def header_runs(lines: DataFrame, core: list[str], templates: Templates = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(row, start, end, words) of the paragraphs and runs of at most WRAP lines that hold a core word and may score ``least``,
+    of lines (row, pos, words). A paragraph is a stretch of lines with words; a run of lines may cross paragraphs.
 
-def header_runs(lines: DataFrame, core: list[str]) -> DataFrame:
-    """(row, start, end, words) of every paragraph and every run of at most WRAP lines that holds a core word, of lines (row,
-    pos, words). A paragraph is a stretch of lines with words; a run of lines may cross paragraphs."""
+    What may score: products with a template add up over lines, and a run is at least as long as the square root of its
+    lines' squares, so the sum of the lines' best products over that root bounds the score. No words are copied for it."""
     tells = F.arrays_overlap("words", F.array(*map(F.lit, core)))
     order = Window.partitionBy("row").orderBy("pos")
     blank = F.size("words") == 0
     marked = lines.withColumns({"tells": tells, "par": F.sum(blank.cast("int")).over(order)})
     near = F.max("tells").over(order.rangeBetween(1 - WRAP, WRAP - 1))
-    par = F.max("tells").over(Window.partitionBy("row", "par"))
-    kept = marked.withColumns({"near": near, "of": par}).where("near or of")
-    bounds = kept.where("of and size(words) > 0").groupBy("row", "par").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
-    pars = kept.where("of").join(bounds, ["row", "par"]).select("row", "start", "end", "tells", "words")
-    # each line is in the runs (start, end) around it
-    spans = [F.struct((F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("end")) for before in range(WRAP) for after in range(WRAP - before)]
-    runs = kept.where("near").select("row", F.explode(F.array(*spans)).alias("x"), "tells", "words").select("row", "x.start", "x.end", "tells", "words")
-    both = runs.unionByName(pars).groupBy("row", "start", "end").agg(F.max("tells").alias("tells"), F.flatten(F.collect_list("words")).alias("words"))
-    return both.where("tells").drop("tells")
+    kept = marked.withColumns({"near": near, "of": F.max("tells").over(Window.partitionBy("row", "par"))}).where("(near or of) and size(words) > 0")
+    kept = C.written(kept, "license-lines")
+    products, _ = _products(kept, ["row", "pos"], templates)
+    each = products.groupBy("row", "pos").agg(F.coalesce(F.max("dot"), F.lit(0.0)).alias("most"), F.first("square").alias("square"))
+    lines = C.written(kept.join(each, ["row", "pos"]), "license-bounds")
+    may = lambda most, square: most >= least * (1 - 1e-9) * F.sqrt(square)
+    spans = []
+    for n in range(1, WRAP + 1):
+        w = order.rangeBetween(0, n - 1)
+        spans.append(F.when(F.max("tells").over(w) & may(F.sum("most").over(w), F.sum("square").over(w)), F.struct("pos", (F.col("pos") + n - 1).alias("end"))))
+    runs = lines.where("near").select("row", F.array(*spans).alias("spans")).select("row", F.explode("spans").alias("x")).where("x is not null").select("row", F.col("x.pos").alias("start"), "x.end")
+    pars = lines.where("of").groupBy("row", "par").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("most").alias("most"), F.sum("square").alias("square"))
+    bounds = pars.where(may(F.col("most"), F.col("square"))).select("row", "par", "start", "end")
+    words = runs.select("row", "start", "end", F.explode(F.sequence("start", "end")).alias("pos")).join(lines.select("row", "pos", "words"), ["row", "pos"]).drop("pos")
+    words = words.unionByName(lines.where("of").join(bounds, ["row", "par"]).select("row", "start", "end", "words"))
+    return words.groupBy("row", "start", "end").agg(F.flatten(F.collect_list("words")).alias("words"))
 
 
 def own_licenses(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST, texts: Templates | None = None) -> DataFrame:
     """(id, path, own, own_score, is_file) of files (id, path, text)."""
     core = core_words(templates, least, word_shares(files, templates))
     # one pass over all texts: those that hold a core word go on; most are told by a search for its letters
-    held = F.when(_contains_any(F.col("text"), [w.removesuffix("-license") for w in core]), F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, core))))
-    cut = F.when(held, F.col("text"))
-    seen = C.written(files.select("id", "path", F.monotonically_increasing_id().alias("row"), cut.alias("text")), "license-texts")
+    low = files.select("id", "path", "text", F.lower("text").alias("low"))
+    held = F.when(_contains_any(F.col("low"), [w.removesuffix("-license") for w in core]), F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, core))))
+    seen = C.written(low.select("id", "path", F.monotonically_increasing_id().alias("row"), F.when(held, F.col("text")).alias("text")), "license-texts")
     lines = seen.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("row", "pos", words_of(F.col("line")).alias("words"))
-    headers = _best(header_runs(lines, core), ["row", "start", "end"], templates)
+    headers = _best(header_runs(lines, core, templates, least), ["row", "start", "end"], templates)
     header = headers.groupBy("row").agg(F.min("best").alias("header"))
     # licence files: the whole text, whatever its length, is a notice or a licence
-    bags = seen.where("text is not null").where(_contains_any(F.col("text"), TELLING)).select("row", words_of(F.col("text")).alias("words"))
+    bags = seen.where("text is not null").where(_contains_any(F.lower("text"), TELLING)).select("row", words_of(F.col("text")).alias("words"))
     whole = _best(bags, ["row"], templates).union(_best(bags, ["row"], full_texts() if texts is None else texts, True)).groupBy("row").agg(F.min("best").alias("whole"))
     found = seen.select("row", "id", "path").join(C.written(header.join(whole, "row", "full"), "license-scores"), "row", "left")
     is_file = F.coalesce(F.col("whole.score") >= least, F.lit(False))
