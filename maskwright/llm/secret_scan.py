@@ -29,6 +29,7 @@ from . import common as C
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 300
 WORDS = 8_000
+LEARNED = 2_000
 SHORTEST = 12
 #: Where classes of lengths begin; each has a threshold.
 LENGTHS = (12, 16, 20, 28, 40)
@@ -130,9 +131,19 @@ def ordinary_samples(words: list[str], n: int = 16_000, seed: int = 12) -> list[
     return out
 
 
+def labelled_samples(docs: DataFrame, most: int = LEARNED) -> list[bytes]:
+    """At most ``most`` different secrets that the patterns find in all texts, chosen by hash: values of assignments, access
+    keys and hex runs of a token's letters that mix letters and digits, as plain words are assigned too."""
+    text = F.col("text")
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p.pattern.decode()), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))))
+    values = docs.where(F.length("text") >= SHORTEST).select(F.explode(found).alias("w")).where(F.col("w").rlike(f"^[A-Za-z0-9+/_=-]{{{SHORTEST},}}$") & F.col("w").rlike("[0-9]") & F.col("w").rlike("[A-Za-z]"))
+    return [r["w"].encode() for r in values.distinct().orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Detector:
-    """Ordinary words come from the whole texts of at most ``sample`` rows, without what the patterns find; both rows and
-    words are chosen by hash, so at most ``words`` short strings reach the driver."""
+    """Random strings are generated ones and the secrets that the patterns find in the texts. Ordinary words come from the
+    whole texts of at most ``sample`` rows, without what the patterns find; rows, words and secrets are chosen by hash, so
+    a bounded number of short strings reaches the driver."""
     picked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(C.crc_order("doc_id"), "doc_id").limit(sample)  # keys alone
     rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
     text = F.col("text")
@@ -140,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Detector
         text = F.regexp_replace(text, p.pattern.decode(), " ")
     known = rows.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).distinct()
     got = known.orderBy(F.xxhash64("w"), "w").limit(words).collect()
-    return Detector(random_samples(), ordinary_samples([r["w"] for r in got]))
+    return Detector(random_samples() + labelled_samples(docs), ordinary_samples([r["w"] for r in got]))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:

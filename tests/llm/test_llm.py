@@ -356,6 +356,27 @@ def test_held_out_quality(spark):
     assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"own"} and quality.keep(empty(docs), model).count() == 0
 
 
+def test_secrets_planted_in_whole_texts_are_found(spark):
+    """Random strings without a telling word before them, in texts of the given table; what the patterns find is learned."""
+    rng, docs = np.random.default_rng(22), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) between 40 and 4000")
+    alphabets = {"hex": "0123456789abcdef", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    rows, want = [], {}
+    for r in docs.collect():
+        words, kind = r["text"].split(" "), list(alphabets)[r["doc_id"] % 4]
+        token = "".join(rng.choice(list(alphabets[kind]), int(rng.integers(16, 31))))
+        at = int(rng.integers(0, len(words) + 1))
+        text = " ".join([*words[:at], token, *words[at:]])
+        start = len(" ".join(words[:at])) + (at > 0)
+        rows.append((r["doc_id"], text))
+        want[r["doc_id"]] = (kind, f"{start}:{start + len(token)}")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))) > 5
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df, secret_scan.train(df), ["doc_id"]).collect()}
+    for kind in alphabets:
+        hits = [any(span.split(":", 1)[1] == at for span in got[k].split(",") if span) for k, (x, at) in want.items() if x == kind]
+        assert len(hits) > 20 and np.mean(hits) >= 0.95, (kind, np.mean(hits))
+
+
 def test_secrets_of_any_length_and_no_identifiers(docs):
     d, rng = secret_scan.train(docs), np.random.default_rng(21)
     alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
