@@ -18,7 +18,8 @@ from maskwright.llm import common as C
 from maskwright.llm import mixing, ngram_join, packing, quality, secret_scan
 
 
-_SCRATCH: list[str] = []
+#: What the last stage of a session left.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def _stage(stage):
@@ -26,10 +27,11 @@ def _stage(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        C.release(spark, _SCRATCH)
+        key = f"{spark.sparkContext.applicationId} {id(spark._jsparkSession)} {sf_dir}"
+        C.release(spark, _SCRATCH.pop(key, []))
         before = set(C.kept())
         out = stage(spark, docs, sf_dir)
-        _SCRATCH[:] = [p for p in C.kept() if p not in before]
+        _SCRATCH[key] = [p for p in C.kept() if p not in before]
         return out
 
     return run

@@ -123,19 +123,24 @@ def usage_by_backend(attempts: DataFrame, findings: DataFrame | None = None, reu
     else:
         rows = rows.withColumn("findings", F.lit(0))
     ok = F.col("status") == "succeeded"
+    units = F.when(F.coalesce("request_count", F.lit(0)) > 0, F.greatest(F.lit(1), F.ceil(F.coalesce("input_chars", F.lit(0)) / 100)))
+    tokens = ("input_tokens", "output_tokens", "total_tokens")
+    # one pass, by stop reason besides; the few rows of a backend are then added up
+    parts = rows.groupBy("backend_id", "backend_kind", "stop_reason").agg(
+        F.count("*").alias("n"), K.count_if(ok).alias("good"), *(F.sum(c).alias(c) for c in ("request_count", "input_chars", "input_bytes", "latency_ms", "findings", *tokens, *_COSTS)), F.sum(units).alias("units"),
+        F.collect_set("model_id").alias("models"), F.collect_set(F.get_json_object("raw", "$.ModelVersion")).alias("versions"),
+    )
     again = (F.col("backend_kind") == "detector") & F.lit(reused)
     requests, latency = K.sum_or_zero(F.col("request_count")), F.coalesce(F.sum("latency_ms"), F.lit(0.0))
-    units = F.when(F.coalesce("request_count", F.lit(0)) > 0, F.greatest(F.lit(1), F.ceil(F.coalesce("input_chars", F.lit(0)) / 100)))
-    version = F.try_element_at(F.from_json("raw", "map<string,string>"), F.lit("ModelVersion"))
-    out = rows.groupBy("backend_id", "backend_kind").agg(
-        F.count("*").alias("attempts"), K.count_if(ok).alias("successful_requests"), K.count_if(~ok).alias("error_requests"), requests.alias("request_count"), K.sum_or_zero(F.when(again, 0).otherwise(F.col("request_count"))).alias("requests_in_this_run"),
+    stops = F.collect_list(F.when(F.col("stop_reason").isNotNull(), F.struct("stop_reason", "n")))
+    out = parts.groupBy("backend_id", "backend_kind").agg(
+        F.sum("n").alias("attempts"), F.sum("good").alias("successful_requests"), (F.sum("n") - F.sum("good")).alias("error_requests"), requests.alias("request_count"), K.sum_or_zero(F.when(again, 0).otherwise(F.col("request_count"))).alias("requests_in_this_run"),
         K.sum_or_zero(F.when(again, F.col("request_count"))).alias("requests_reused_from_parent"), K.sum_or_zero(F.col("input_chars")).alias("input_characters"), K.sum_or_zero(F.col("input_bytes")).alias("input_bytes"), F.bround(latency, 6).alias("latency_ms"),
-        F.when(requests > 0, F.bround(latency / requests, 6)).otherwise(0.0).alias("average_latency_ms"), K.sum_or_zero(F.col("findings")).alias("findings_returned"), K.sum_or_zero(units).alias("billable_100_character_units"),
-        *(K.sum_or_zero(F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")), *(F.bround(F.sum(c), 8).alias(f"actual_{c}") for c in _COSTS),
-        F.array_sort(F.array_union(F.collect_set("model_id"), F.collect_set(version))).alias("model_versions"),
+        F.when(requests > 0, F.bround(latency / requests, 6)).otherwise(0.0).alias("average_latency_ms"), K.sum_or_zero(F.col("findings")).alias("findings_returned"), K.sum_or_zero(F.col("units")).alias("billable_100_character_units"),
+        *(K.sum_or_zero(F.col(c)).alias(c) for c in tokens), *(F.bround(F.sum(c), 8).alias(f"actual_{c}") for c in _COSTS),
+        F.array_sort(F.array_distinct(F.flatten(F.array_union(F.collect_list("models"), F.collect_list("versions"))))).alias("model_versions"), F.when(F.size(stops) > 0, F.map_from_entries(F.array_sort(stops))).alias("stop_reasons"),
     )
-    stops = rows.where("stop_reason is not null").groupBy("backend_id", "stop_reason").agg(F.count("*").alias("n")).groupBy("backend_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stop_reason", "n")))).alias("stop_reasons"))
-    return out.join(stops, "backend_id", "left").orderBy("backend_kind", "backend_id")
+    return out.orderBy("backend_kind", "backend_id")
 
 
 def usage_total(attempts: DataFrame) -> DataFrame:
