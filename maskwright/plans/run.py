@@ -35,7 +35,8 @@ from .ledger import Conflict, Head, Ledger
 Detectors = dict[str, Callable[[], W.Detector]]
 
 VALIDATOR = "validator"
-RECORDS_A_BUCKET = 50_000
+#: Buckets of a run's tables: one for so many records, and no more than MOST_BUCKETS, as each commit may write a file to each.
+RECORDS_A_BUCKET, MOST_BUCKETS = 5_000, 4_096
 
 _SCHEMAS = {
     "records": "record_id string, entity_id string, text string, text_sha256 string, raw_text string, raw_sha256 string, changed boolean, repair string, excluded boolean, exclusion_code string, metadata string, source_index long",
@@ -777,7 +778,7 @@ def create_run(spark: SparkSession, config: Config, **injected: Any) -> Run:
     ledger = Ledger(spark, folder, _KEYS, {t: (make(a), make(b)) for t, (make, a, b) in _COUNTED.items()})
     try:
         total = R.check_records(records).count()
-        ledger.set_buckets(max(4, -(-total // RECORDS_A_BUCKET)))
+        ledger.set_buckets(min(MOST_BUCKETS, -(-total // RECORDS_A_BUCKET)))
         places = records.agg(F.min("source_index"), F.max("source_index"), F.count_distinct("source_index")).first()
         if tuple(places) != (0, total - 1, total):
             raise ValueError("the rows of the input have no places from 0 on; it may have changed while it was read")
