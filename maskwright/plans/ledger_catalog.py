@@ -514,7 +514,7 @@ def q86(spark, d):
   s AS (SELECT *, lead(began) OVER (PARTITION BY reviewer_id ORDER BY began, kind) AS until FROM t) SELECT record_id, reviewer_id, CAST(coalesce(sum(CASE WHEN kind = 'start' THEN epoch(until) - epoch(began) END), 0) AS BIGINT) AS seconds FROM s GROUP BY record_id, reviewer_id""")
 def q87(spark, d):
     e = F.col("event_id")
-    rows = _t(spark, d, "events").select(F.concat(F.lit("who"), F.col("user_id") % 7).alias("reviewer_id"), F.concat(F.lit("d"), e % 30).alias("record_id"), F.date_trunc("second", "ts").alias("at"), F.when(F.col("event_type") == "error", "pause").otherwise("start").alias("kind"), F.lit(None).cast("long").alias("seconds"))
+    rows = _t(spark, d, "events").select("event_id", F.concat(F.lit("who"), F.col("user_id") % 7).alias("reviewer_id"), F.concat(F.lit("d"), e % 30).alias("record_id"), F.date_trunc("second", "ts").alias("at"), F.when(F.col("event_type") == "error", "pause").otherwise("start").alias("kind"), F.lit(None).cast("long").alias("seconds"))
     return V.review_seconds(rows)
 
 

@@ -473,6 +473,15 @@ def test_small_reports(spark):
     assert sorted(rows(V.review_seconds(timers))) == [("q", "me", 0), ("r", "me", 105)]
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_timers_of_one_time_run_in_the_order_of_their_ids(spark, backwards):
+    at = datetime(2024, 1, 1)
+    events = [(str(n), f"r{n}", "me", at, "start", None) for n in (8, 9, 10, 11)] + [("12", "r8", "me", at + timedelta(seconds=30), "pause", None)]
+    events += [(str(n), "s", "you", at, "set", 100 * n) for n in (9, 10)]
+    timers = spark.createDataFrame(events[:: -1 if backwards else 1], "event_id string, record_id string, reviewer_id string, at timestamp, kind string, seconds long").coalesce(1)
+    assert sorted(rows(V.review_seconds(timers))) == [("r10", "me", 0), ("r11", "me", 30), ("r8", "me", 0), ("r9", "me", 0), ("s", "you", 1000)]
+
+
 def test_a_stream_is_written_once(spark, tmp_path):
     from maskwright.streaming import ingest
 
