@@ -50,12 +50,25 @@ class Head:
     counters: dict[str, int] = field(default_factory=dict)
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session for a run, with the settings of the caller's, that broadcasts no table of its own accord: a run's tables grow
+    with its input and lie in buckets, so their joins need not pass the driver."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        own.conf.set(name, "-1")
+    return own
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, folder: str, keys: dict[str, tuple[str, ...]], counted: dict[str, tuple[Column, Column]] | None = None):
         """keys: of each table; those of tables with a record_id hold it. counted: of some tables, what a changed row counts
         as now and what it, or null, counted as before."""
         self.spark, self.files, self.keys, self.counted = spark, Files(spark, folder), keys, counted or {}
         self._known: dict[str, tuple] = {}
+        self._steps: list[str] = []
 
     # ---- versions ----
 
@@ -145,6 +158,23 @@ class Ledger:
             rows = rows.withColumn("n__", F.row_number().over(newest)).where("n__ = 1").drop("n__")
         return rows.drop(VERSION, TOKEN)
 
+    def kept(self, df: DataFrame, dealt: bool = True) -> DataFrame:
+        """df as a table of this step, where its lineage ends, so that the tables of a commit that take of it compute it once;
+        in the run's buckets where it is ``dealt`` by record_id. ``forget`` removes it."""
+        name = uuid.uuid4().hex
+        known = f"ledger_{zlib.crc32(self.files.folder.encode()):08x}_step_{name}"
+        self._steps.append(name)
+        n = self.buckets
+        out = df.repartition(n, "record_id").write.bucketBy(n, "record_id") if dealt else df.write
+        out.format("parquet").option("path", f"{self.files.folder}/steps/{name}").saveAsTable(known)
+        return self.spark.table(known)
+
+    def forget(self) -> None:
+        while self._steps:
+            name = self._steps.pop()
+            self.spark.sql(f"DROP TABLE IF EXISTS ledger_{zlib.crc32(self.files.folder.encode()):08x}_step_{name}")
+            self.files.delete(f"steps/{name}")
+
     def compact(self, head: Head, after: int = COMPACT_AFTER) -> Head:
         """Writes tables of more than ``after`` commits anew. The generation before the last is removed: readers of the
         version before this one still find theirs."""

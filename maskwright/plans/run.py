@@ -30,7 +30,7 @@ from ..operators import surrogates as G
 from ..operators import work as W
 from ..sources import records as R
 from ..sources.files import Files
-from .ledger import Conflict, Head, Ledger
+from .ledger import Conflict, Head, Ledger, own_session
 
 Detectors = dict[str, Callable[[], W.Detector]]
 
@@ -92,9 +92,9 @@ class Run:
     """A run's folder. ``detectors`` and ``validator`` make the callables of the configuration by name inside tasks."""
 
     def __init__(self, spark: SparkSession, folder: str | Path, detectors: Detectors | None = None, validator: Callable[[], W.Validator] | None = None, secrets: Callable[[str], str] | None = None, clock: Callable[[], datetime] | None = None):
-        self.spark, self.folder = spark, str(folder)
+        self.spark, self.folder = own_session(spark), str(folder)
         self.detectors, self.validator, self.secrets, self.clock = detectors or {}, validator, secrets, clock or (lambda: datetime.now(UTC))
-        self.ledger = Ledger(spark, self.folder, _KEYS, {n: (make(now), make(was)) for n, (make, now, was) in _COUNTED.items()})
+        self.ledger = Ledger(self.spark, self.folder, _KEYS, {n: (make(now), make(was)) for n, (make, now, was) in _COUNTED.items()})
         self.head: Head = self.ledger.head()
         if not self.head.facts:
             raise FileNotFoundError(f"no run in {self.folder}")
@@ -138,7 +138,17 @@ class Run:
     def locked(self):
         with self.ledger.leased():
             self.head = self.ledger.head()
-            yield
+            try:
+                yield
+            finally:
+                self.ledger.forget()
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return self.ledger.kept(df)
+
+    def _mine(self, rows: DataFrame) -> DataFrame:
+        """rows of any session as rows of this run's."""
+        return self.spark.createDataFrame([], rows.schema).unionByName(rows)
 
     def _now(self) -> Column:
         return F.lit(self.clock()).cast("timestamp")
@@ -158,6 +168,7 @@ class Run:
                 self._recover()
                 for stage in (self._detect, self._transform, self._validate, self._finalize):
                     stage()
+                    self.ledger.forget()
                     self.ledger.renew()
                 self._roll_up()
                 self.head = self.ledger.compact(self.head)
@@ -241,16 +252,16 @@ class Run:
         if not self._open_count("detection"):
             return
         self._register([(d.name, "detector", _settings(d)) for d in config.detectors])
+        records = self._keep(self._open("detection", "input"))  # calls and their outcome change no states
         for d in config.detectors:
-            self._plan_calls(d)
+            self._plan_calls(d, records)
             self._call_and_settle(d)
-        records = self._open("detection", "input")
         changes: dict[str, DataFrame] = {}
         if config.detectors:
             work = self.stored("work").where("stage = 'detection'").join(records.select("record_id"), "record_id", "left_semi")
             outcome = L.record_status(work).withColumnRenamed("status", "to")
             # texts without characters make no work
-            outcome = outcome.unionByName(records.join(work.select("record_id"), "record_id", "left_anti").select("record_id", F.lit("succeeded").alias("to")))
+            outcome = self._keep(outcome.unionByName(records.join(work.select("record_id"), "record_id", "left_anti").select("record_id", F.lit("succeeded").alias("to"))))
         else:
             outcome = records.select("record_id", F.lit("succeeded").alias("to"))
         if config.rules:
@@ -259,8 +270,7 @@ class Run:
             changes["findings"] = W.appended(new, self.stored("findings"), ["record_id", "finding_id"])
         self.commit(states=self._moved("detection", outcome), status=self._failed(outcome), errors=self._resolved(outcome, "detection"), **changes)
 
-    def _plan_calls(self, d: DetectorSettings) -> None:
-        records = self._open("detection", "input")
+    def _plan_calls(self, d: DetectorSettings, records: DataFrame) -> None:
         items = W.work_items(W.chunk_plan(records, d.most_bytes if d.kind == "service" else None, d.overlap), self.head.facts["run_id"], d.name)
         items = items.withColumns({"stage": F.lit("detection"), "settled": F.lit(0)})
         self.commit(work=W.appended(items, self.stored("work"), ["record_id", "work_item_id"]))
@@ -284,7 +294,7 @@ class Run:
             return held.stopped
 
     def _call_and_settle(self, d: DetectorSettings) -> None:
-        todo = self._todo(d.name)
+        todo = self._keep(self._todo(d.name))
         stopped = False
         if not todo.isEmpty():
             if self.head.facts.get("plan", {}).get("detection", [""])[0] == "reuse":
@@ -299,9 +309,11 @@ class Run:
     def _settle(self, d: DetectorSettings) -> None:
         """Turns attempts into findings, errors and the state of their work. Answers are read by kind: entities of a service,
         findings of a model."""
-        made, work = self._unsettled(d.name), self.stored("work").where(F.col("backend_id") == d.name)
+        made, work = self._keep(self._unsettled(d.name)), self.stored("work").where(F.col("backend_id") == d.name)
         entities = F.get_json_object("raw", "$.Entities").isNotNull() & F.lit(d.kind == "service")
-        model, service = W.parse_answers(made.where(~F.coalesce(entities, F.lit(False))), work), W.map_service_answers(made.where(entities), work)
+        model, service = self._keep(W.parse_answers(made.where(~F.coalesce(entities, F.lit(False))), work)), W.map_service_answers(made.where(entities), work)
+        if d.kind == "service":
+            service = self._keep(service)
         bad = W.answers_failed(model).unionByName(service.where("error is not null").groupBy("work_item_id").agg(F.first("error").alias("error")))
         answers = model.unionByName(service).join(bad.select("work_item_id"), "work_item_id", "left_anti")
         new = W.findings(answers, self.head.facts["run_id"], d.source_kind, d.name, d.min_confidence)
@@ -315,11 +327,11 @@ class Run:
 
     def _resolved_groups(self, findings: DataFrame, records: DataFrame, reason: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(resolutions, groups, records with the resolution that is now theirs) of records and their findings."""
-        mine = findings.where("is_eligible").join(records.select("record_id"), "record_id", "left_semi")
+        mine = self._keep(findings.where("is_eligible").join(records.select("record_id"), "record_id", "left_semi"))
         digests = records.select("record_id").join(S.findings_digest(mine), "record_id", "left").select("record_id", F.coalesce("digest", F.lit(S.EMPTY_DIGEST)).alias("digest"))
-        next_ = J.next_revisions(digests, self.stored("resolutions"))
+        next_ = self._keep(J.next_revisions(digests, self.stored("resolutions")))
         fresh = next_.where("is_new").select("record_id", "revision", "digest", F.lit(reason).alias("reason"), self._now().alias("created_at"))
-        groups = V.with_original(S.resolve_linked(mine, records), records).join(fresh.select("record_id", "revision"), "record_id")
+        groups = self._keep(V.with_original(S.resolve_linked(mine, records), records).join(fresh.select("record_id", "revision"), "record_id"))
         return fresh, groups, next_.select("record_id", "revision")
 
     def _next_plans(self, resolutions: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
@@ -340,13 +352,13 @@ class Run:
     def _transform(self) -> None:
         if not self._open_count("transformation"):
             return
-        records = self._open("transformation", "input", "detection")
+        records = self._keep(self._open("transformation", "input", "detection"))
         if records.isEmpty():
             return
         resolutions, groups, current = self._resolved_groups(self.stored("findings"), records, "detection")
         # groups of a resolution that stays are read, new ones are made
         kept = self.stored("groups").join(current, ["record_id", "revision"], "left_semi")
-        drafts = S.render(records, S.plan(groups.select(*kept.columns).unionByName(kept), self.config.policy, "draft"))
+        drafts = self._keep(S.render(records, S.plan(groups.select(*kept.columns).unionByName(kept), self.config.policy, "draft")))
         changed, plans = self._next_plans(current, "draft")
         outcome = drafts.select("record_id", F.when(F.col("error").isNull(), "succeeded").otherwise("permanent_error").alias("to"))
         events = self._structured(records, plans, "draft")
@@ -523,11 +535,11 @@ class Run:
         with self.locked():
             plans, groups = self.stored("plans"), J.active(self.stored("groups"))
             basis = V.basis_revision(plans, self.stored("review_decisions"))
-            edits = self._edits(edits, V.SPAN_EDIT)
-            fields = self._edits(fields, V.FIELD_EDIT)
-            given = self._with_basis(decisions, basis, edits, fields)
+            edits = self._keep(self._edits(edits, V.SPAN_EDIT))
+            fields = self._keep(self._edits(fields, V.FIELD_EDIT))
+            given = self._keep(self._with_basis(self._mine(decisions), basis, edits, fields))
             active = J.active(self.stored("structured_events"), "plan_revision")
-            spans = V.checked_edits(edits, groups.join(given.select("record_id"), "record_id", "left_semi"), self.stored("records"))
+            spans = self._keep(V.checked_edits(edits, groups.join(given.select("record_id"), "record_id", "left_semi"), self.stored("records")))
             values = V.checked_fields(fields, active)
             self._refuse(given, basis, plans, spans, values)
             now = self._now()
@@ -573,8 +585,8 @@ class Run:
         """The changed tables of corrected records: findings, resolution, groups, draft plan, its rendering, its fields."""
         rid = self.head.facts["run_id"]
         mine = spans.join(corrected.select("record_id", "reviewer_id"), "record_id")
-        records = self._records().join(corrected.select("record_id"), "record_id", "left_semi")
-        before = self.stored("findings").join(corrected.select("record_id"), "record_id", "left_semi")
+        records = self._keep(self._records().join(corrected.select("record_id"), "record_id", "left_semi"))
+        before = self._keep(self.stored("findings").join(corrected.select("record_id"), "record_id", "left_semi"))
         gone = mine.where("op in ('remove', 'modify')").select("record_id", F.explode("finding_ids").alias("finding_id")).distinct()
         removed = before.join(gone, ["record_id", "finding_id"], "left_semi").withColumns({"is_eligible": F.lit(False), "ineligible_reason": F.lit("removed by review")})
         added = V.review_findings(mine, rid)
@@ -582,7 +594,7 @@ class Run:
         resolutions, groups, current = self._resolved_groups(after, records, "review correction")
         kept = self.stored("groups").join(current, ["record_id", "revision"], "left_semi")
         changed, plans = self._next_plans(current, "draft")
-        drafts = S.render(records, S.plan(groups.select(*kept.columns).unionByName(kept), self.config.policy, "draft"))
+        drafts = self._keep(S.render(records, S.plan(groups.select(*kept.columns).unionByName(kept), self.config.policy, "draft")))
         events = X.overridden(active.join(corrected.select("record_id"), "record_id", "left_semi").drop("plan_revision"), values.where("error is null")).join(plans.select("record_id", "plan_revision"), "record_id")
         results = self.stored("validation_results").where("not is_stale").join(resolutions.select("record_id"), "record_id", "left_semi").withColumn("is_stale", F.lit(True))
         return {"validation_results": results, "findings": removed.unionByName(added, allowMissingColumns=True), "resolutions": resolutions, "groups": groups, "plans": changed, "renderings": self._renderings(drafts, plans, "draft"), "structured_events": events.withColumn("purpose", F.lit("draft"))}
@@ -597,7 +609,7 @@ class Run:
         decisions = M.current_decisions(self.stored("review_decisions")).select("record_id", "disposition")
         results = self.stored("validation_results").where("not is_stale").select("record_id", F.col("effective_violation").alias("violation"))
         rows = records.join(decisions, "record_id", "left").join(results, "record_id", "left").withColumn("transformed", F.lit(True))
-        ready = L.finalization_gate(rows, config.validation, config.review and config.review_all).where("may_finalize").drop("disposition", "violation", "transformed", "may_finalize")
+        ready = self._keep(L.finalization_gate(rows, config.validation, config.review and config.review_all).where("may_finalize").drop("disposition", "violation", "transformed", "may_finalize"))
         if ready.isEmpty():
             return
         active = J.active(self.stored("resolutions")).select("record_id", "revision").join(ready.select("record_id"), "record_id", "left_semi")
@@ -615,7 +627,7 @@ class Run:
                 changes["surrogates"], given = self._assigned(asked, secret)
                 met = met.join(given.select(F.col("event_id").alias("group_id"), "surrogate"), "group_id", "left")
             groups = met
-        finals = S.render(ready, S.plan(groups, config.policy, "final"))
+        finals = self._keep(S.render(ready, S.plan(groups, config.policy, "final")))
         changed, plans = self._next_plans(active, "final")
         drafts = J.active(self.stored("structured_events"), "plan_revision")  # what the last draft, or a correction of it, says
         events = drafts.join(ready.select("record_id"), "record_id", "left_semi").drop("plan_revision", "purpose").join(plans.select("record_id", "plan_revision"), "record_id").withColumn("purpose", F.lit("final"))
@@ -635,7 +647,7 @@ class Run:
         """Opens failed work again, from the earliest failed stage on; the number of records."""
         with self.locked():
             states, skipped = self.stored("states"), self.config.skipped
-            targets = J.retry_targets(states, record_id, stage, failed)
+            targets = self._keep(J.retry_targets(states, record_id, stage, failed))
             n = targets.count()
             if not n:
                 raise ValueError("nothing to retry")
@@ -761,7 +773,7 @@ def _error_counts(counters: dict[str, int]) -> list[dict[str, Any]]:
 
 def create_run(spark: SparkSession, config: Config, **injected: Any) -> Run:
     """Reads and checks the input, and writes the first tables in one commit; whatever fails leaves no folder."""
-    config = config.embedded()
+    config, spark = config.embedded(), own_session(spark)
     clock = injected.get("clock") or (lambda: datetime.now(UTC))
     now = clock()
     name, n = run_id(config.name, now), 1
@@ -777,6 +789,7 @@ def create_run(spark: SparkSession, config: Config, **injected: Any) -> Run:
     folder = f"{parent.folder}/{name}"
     ledger = Ledger(spark, folder, _KEYS, {t: (make(a), make(b)) for t, (make, a, b) in _COUNTED.items()})
     try:
+        records = ledger.kept(records, dealt=False)
         total = R.check_records(records).count()
         ledger.set_buckets(min(MOST_BUCKETS, -(-total // RECORDS_A_BUCKET)))
         places = records.agg(F.min("source_index"), F.max("source_index"), F.count_distinct("source_index")).first()
@@ -787,8 +800,10 @@ def create_run(spark: SparkSession, config: Config, **injected: Any) -> Run:
         run = Run(spark, folder, **injected)
         states = L.initial_states(records, config.skipped).withColumn("attempts", F.lit(0))
         run.commit(records=records, status=records.select("record_id", F.when(F.col("excluded"), "excluded").otherwise("processing").alias("status")), states=states)
+        ledger.forget()
         return run
     except BaseException:
+        ledger.forget()
         parent.delete(name)
         raise
 

@@ -352,3 +352,31 @@ def test_workspaces_equal_a_simulation(spark):
     basis = spark.createDataFrame([(f"r{k}", 2) for k in range(4)], "record_id string, revision int")
     got = {(r["reviewer_id"], r["record_id"]): (r["seconds"], r["plan_revision"], r["running"], r["is_fresh"]) for r in V.workspaces(spark.createDataFrame(events, U._SCHEMAS["timers"]), basis).collect()}
     assert got == {k: (s, v, running.get(k[0], (None,))[0] == k[1], v == 2) for k, (s, v) in want.items()} and len(got) == 12
+
+
+def test_what_a_run_appends_passes_no_driver_and_is_computed_once(spark, tmp_path, monkeypatch):
+    from maskwright.plans.ledger import Ledger
+
+    plans, append = [], Ledger._append
+
+    def watched(self, name, t, df, version, token):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        append(self, name, t, df, version, token)
+
+    spark.createDataFrame([(f"n{i}", f"the note {1000 + i}") for i in range(20)], "id string, text string").write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(Ledger, "_append", watched)
+
+    class Marker:
+        def detect(self, text):
+            return [{"category": "NAME", "text": "the", "start": 0, "end": 3, "confidence": 0.9}]
+
+    config = C.Config(C.Input(f"{tmp_path}/in", "id", "text"), output_dir=f"{tmp_path}/runs", detectors=(C.DetectorSettings("marker", "model"),), rules=(S.Rule("digits", "four digits", "ID", "[0-9]{4}"),), review=False)
+    run = U.create_run(spark, config, detectors={"marker": lambda: Marker()})
+    assert run.execute() == "completed"
+    grown = [(n, p) for n, p in plans if n != "backends"]
+    assert not [n for n, p in grown if "Broadcast" in p]
+    assert "Broadcast" not in run.table("records")._jdf.queryExecution().executedPlan().toString()
+    # answers are aligned by Python once, in a table of the step, and not for each table that takes of them
+    assert {n for n, p in grown if "InPandas" in p} == {"attempts"} and not [n for n, p in grown if "ArrowEvalPython" in p and n in ("work", "errors", "states", "status")]
+    assert run.table("renderings").where("kind = 'final' and rendered like '[R_NAME] note [R_ID]'").count() == 20
+    assert not run.ledger.files.names("steps") and not [t for t in spark.catalog.listTables() if "_step_" in t.name]
