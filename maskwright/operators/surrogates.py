@@ -163,19 +163,21 @@ def _assign_in_groups(new: DataFrame, known: DataFrame, keys: list[str], values:
     else:
         rows, late = rows.withColumn("candidates", F.lit(None).cast("array<string>")), None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        first = pdf["taken"].iloc[0]
-        used = set() if first is None else set(first)
-        out = []
-        for r in pdf.itertuples():
-            ways = r.candidates if r.candidates is not None else synthetic_candidates(r.category, bytes.fromhex(r.digest))
-            pick = next((v for v in ways if v not in used), None)
-            used.add(pick)
-            out.append((r.method, r.category, r.container_hmac, r.scope_hmac, r.assignment_id, pick, None if pick else none))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ASSIGNED.split(", ")])
-
-    given = rows.groupBy(*keys).applyInPandas(run, ASSIGNED)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        container, used = None, set()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if (r.method, r.category, r.container_hmac) != container:
+                    container, used = (r.method, r.category, r.container_hmac), set() if r.taken is None else set(r.taken)
+                ways = r.candidates if r.candidates is not None else _different(r.category, bytes.fromhex(r.digest))
+                pick = next((v for v in ways if v not in used), None)
+                used.add(pick)
+                out.append((r.method, r.category, r.container_hmac, r.scope_hmac, r.assignment_id, pick, None if pick else none))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ASSIGNED.split(", ")])
+
+    # containers are many and small: a task takes all of its own in turn, and holds what one of them has taken
+    given = rows.repartition(*keys).sortWithinPartitions(*keys, "place").mapInPandas(run, ASSIGNED)
     return given.unionByName(late) if late is not None else given
 
 

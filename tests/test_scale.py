@@ -73,3 +73,22 @@ def test_a_container_of_many_scopes_needs_no_group(spark):
     df = spark.range(n).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("r").alias("record_id"), F.lit("p").alias("entity_id"), F.lit("ID").alias("category"), F.concat(F.lit("name "), "id").alias("original_text"), F.col("id").alias("ordinal"))
     got = G.assign(G.keyed(df, b"key", "entity", "synthetic"))
     assert tuple(got.agg(F.count("surrogate"), F.countDistinct("surrogate")).first()) == (n, n)
+
+
+def test_small_containers_pass_in_turn_through_batches(spark):
+    """Containers share tasks, and one may begin in a batch and end in the next."""
+    values = [f"v{k}" for k in range(6)]
+    df = spark.range(700).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("r").alias("record_id"), F.concat(F.lit("p"), F.col("id") % 100).alias("entity_id"), F.lit("NAME").alias("category"), F.concat(F.lit("name "), "id").alias("original_text"), F.col("id").alias("ordinal"))
+    keyed = G.keyed(df, b"key", "entity", "custom_list")
+    stored = G.assign(keyed.where("ordinal < 200"), values)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = G.assign(keyed, values, stored)
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ways = lambda r: values[int(r["digest"][:16], 16) % 6 :] + values[: int(r["digest"][:16], 16) % 6]
+    known = {r["scope_hmac"]: r["surrogate"] for r in stored.collect()}
+    want = serial([r for r in keyed.collect() if r["scope_hmac"] not in known], ways, stored.collect()) | known
+    assert {r["scope_hmac"]: r["surrogate"] for r in got} == want and len(got) == 700 and sum(r["error"] is not None for r in got) == 100
