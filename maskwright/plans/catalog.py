@@ -244,7 +244,8 @@ def q17(spark, d):
     text = F.concat(F.date_format(at, "MM/dd/yyyy"), F.lit(" to "), F.date_format(F.date_add(at, 3), "MM/dd/yyyy"))
     for k, f in enumerate(_FORMS):
         text = F.when(F.col("o_orderkey") % 9 == k, F.date_format(at, f)).otherwise(text)
-    return _orders(spark, d).select("o_orderkey", D.shift_text(text, F.col("weeks")).alias("moved"))
+    rows = _orders(spark, d).select("o_orderkey", "weeks", text.alias("text"))  # the text is made once, and not wherever it is read
+    return rows.select("o_orderkey", D.shift_text(F.col("text"), F.col("weeks")).alias("moved"))
 
 
 def _requests(spark, d) -> DataFrame:

@@ -492,3 +492,13 @@ def test_a_stream_is_written_once(spark, tmp_path):
         assert ingest.redact_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", rules, once=True).awaitTermination(120)
     got = {r["record_id"]: r["rendered"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == 6 and got["r00"] is None and got["r11"] == "call [R_ID] now" and spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
+def test_texts_with_dates_are_made_once(spark, tmp_path):
+    from maskwright.plans import catalog
+
+    spark.createDataFrame([(1, "Customer#1")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, 1, datetime(2024, 3, 1)) for k in range(9)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["q17_shift_text_dates"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 9 and plan.count("date_format(") <= 10
