@@ -7,9 +7,9 @@ the smaller one's.
 
 1. Equal sets become one class, represented by their smallest key.
 2. Each class is dealt out under its prefix n-grams, an n-gram counting where a class of near enough size has it too. A
-   class that holds fewer than l of these links with nothing. Such an n-gram belongs to the smallest class that holds it,
-   its owner; so classes that share n-grams mostly share owners too, and meet in few blocks. A class whose size no other
-   class of a block comes near leaves it.
+   class that holds fewer than l of these links with nothing, and one that holds k is dealt out under the first k - l + 1.
+   Such an n-gram belongs to the smallest class that holds it, its owner; so classes that share n-grams mostly share
+   owners too, and meet in few blocks. A class whose size no other class of a block comes near leaves it.
 3. In a block the prefixes form a compressed trie. A class goes down the trie once, the overlap of a shared path being
    counted once, and leaves a subtree whose remaining length (or, past its own prefix, what it has left itself) cannot
    lift the overlap to the threshold. Pairs that
@@ -418,14 +418,26 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[x:y] for x, y in zip(off, off[1:])]
 
 
-def _pairs(keys: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([int(keys[x]) for x, _ in links], pa.int64()), "b": pa.array([int(keys[y]) for _, y in links], pa.int64())})
+def _stars(keys: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    """(a, b): every member of a tree of links with the tree's smallest key, so that no chain is longer than one group's."""
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (at := up.setdefault(k, k)) != k:
+            up[k] = k = up[at]
+        return k
+
+    for x, y in links:
+        x, y = root(int(keys[x])), root(int(keys[y]))
+        up[max(x, y)] = min(x, y)
+    pairs = [(k, r) for k in list(up) if (r := root(k)) != k]
+    return pa.table({"a": pa.array([k for k, _ in pairs], pa.int64()), "b": pa.array([r for _, r in pairs], pa.int64())})
 
 
 def _candidates(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
-        places = [p.astype(np.int64) for p in _lists(group["places"])]
-        return _pairs(group["key"].to_numpy(), candidate_links(_lists(group["grams"]), places, group["last"].to_numpy().view(np.uint64), group["bits"].to_pylist(), group["size"].to_numpy(), t))
+        places = [p.astype(np.int64) + np.arange(first - 1, first - 1 + len(p)) for p, first in zip(_lists(group["skips"]), group["first"].to_pylist())]
+        return _stars(group["key"].to_numpy(), candidate_links(_lists(group["grams"]), places, group["last"].to_numpy().view(np.uint64), group["bits"].to_pylist(), group["size"].to_numpy(), t))
 
     return run
 
@@ -433,7 +445,7 @@ def _candidates(t: Threshold):
 def _links(t: Threshold):
     def run(group: pa.Table) -> pa.Table:
         seqs = _lists(group["ranks"])
-        return _pairs(group["key"].to_numpy(), block_links(seqs, np.array([len(s) for s in seqs]), t))
+        return _stars(group["key"].to_numpy(), block_links(seqs, np.array([len(s) for s in seqs]), t))
 
     return run
 
@@ -464,30 +476,27 @@ def blocks_of(links: DataFrame, sizes: DataFrame) -> DataFrame:
     return C.written(in_parts(C.written(known, "known"), "block", F.col("size")).select("block", "key"), "blocks")
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    """The same for equal sets of edges, whatever their order."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u of edges (u > v) has one edge and none is a v: then v is the label of its component."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the smallest key that links reach, for every key with a link. Labels spread by rounds of large-star
-    and small-star, each of which writes its edges to the shared folder; there are about log(longest chain) of them. A
-    round that leaves the edges' number and 128-bit checksum alone is the last."""
+    and small-star, each of which writes its edges to the shared folder; there are about log(longest chain) of them, and
+    none where the links are stars already."""
     edges = C.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    known = _checksum(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = C.written(small, "edges")
-        now = _checksum(new)
         C.drop(edges)
-        if now == known:
-            return new.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("label"))
-        edges, known = new, now
+        edges = new
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
 
 
 SALTS = 16
@@ -510,6 +519,16 @@ def without(docs: DataFrame, keys: DataFrame, by: str) -> DataFrame:
     return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, by, "left_anti")
 
 
+def _meetings(whole: DataFrame, t: Threshold) -> DataFrame:
+    """(key, size, last, grams, skips, owners) of the classes that may link, for whole: key, known (the shared prefix n-grams
+    in order: place, gram, owner), last, size. A linked pair has l of its known n-grams in common, so the first of these
+    stands before a class's last l - 1 known ones: owners are those up to there. skips: how many n-grams before each are
+    not known, which changes seldom where places always do."""
+    k, least = F.size("known"), t.columns(F.col("size"))[1].cast("int")
+    skips = F.transform("known", lambda x, i: x["place"] - i)
+    return whole.where(k >= least).select("key", "size", "last", F.col("known.gram").alias("grams"), skips.alias("skips"), F.slice("known.owner", F.lit(1), k - least + 1).alias("owners"))
+
+
 def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: key (unique long) and text. Gives (sets: key, size; copies: key, class; labels of linked classes: key, label)."""
     spark = docs.sparkSession
@@ -528,20 +547,26 @@ def link_classes(docs: DataFrame, n: int, t: Threshold) -> tuple[DataFrame, Data
     near = F.coalesce(t.near(below, size), F.lit(False)) | F.coalesce(t.near(size, above), F.lit(False))
     # each class's last prefix n-gram is kept whether or not another has it
     marked = grams.withColumn("near", near).withColumn("last", place + 1 == t.columns(size)[0]).where("near or last")
-    shared = marked.withColumn("owner", F.min(F.when(F.col("near"), F.col("key"))).over(Window.partitionBy("gram")))
-    # a class's shared n-grams, as many as its prefix has at most, go to each owner among them. 31 bits of each are
-    # enough for a bound from above, and keep the order
-    short = F.struct(place.cast("int").alias("place"), F.shiftrightunsigned("gram", 33).cast("int").alias("gram"))
-    whole = shared.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("near"), short))).alias("known"), F.collect_set(F.when(F.col("near"), F.col("owner"))).alias("owners"), F.max(F.when(F.col("last"), F.col("gram"))).alias("last"), F.max(size).alias("size")
+    shared = marked.withColumn("owner", F.when(F.col("near"), F.min(F.when(F.col("near"), F.col("key"))).over(Window.partitionBy("gram"))))
+    # 31 bits of each shared n-gram are enough for a bound from above, and keep the order. Rows go to their class as they
+    # are: an n-gram's rows hold few of one class, so that lists made before would be longer than what they hold
+    short = F.struct(place.cast("int").alias("place"), F.shiftrightunsigned("gram", 33).cast("int").alias("gram"), "owner")
+    whole = shared.select("key", "gram", "about", "owner").repartition("key").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("owner").isNotNull(), short))).alias("known"), F.max(F.when(place + 1 == t.columns(size)[0], F.col("gram"))).alias("last"), F.max(size).alias("size")
     )
-    whole = C.written(whole.where(F.size("known") >= t.columns(F.col("size"))[1]), "shared")
+    met = C.written(_meetings(whole, t), "shared")
     C.settle(spark)
-    met = whole.join(rows.select("key", "bits"), "key").select(F.explode("owners").alias("owner"), "key", "size", "last", "bits", F.col("known.gram").alias("grams"), F.col("known.place").alias("places"))
-    met = C.written(with_near_size(met, t, "owner"), "met")
-    near = C.written(in_parts(met, "owner", F.size("grams")).groupBy("owner").applyInArrow(_candidates(t), "a long, b long"), "near")
+    first = F.array_position("owners", F.col("owner")).cast("int")
+    who = met.select("key", "size", "owners", F.size("grams").alias("n"), F.explode(F.array_distinct("owners")).alias("owner")).select("owner", "key", "size", first.alias("first"), (F.col("n") - first + 1).alias("n"))
+    who = C.written(with_near_size(who, t, "owner"), "met")
+    # a class's lists are dealt out once it is known which owners they go to, and from the first n-gram of each: what two
+    # classes have in common before it, another owner has seen
+    lists = met.drop("owners").join(rows.select("key", "bits"), "key")
+    rest = lambda c: F.slice(c, F.col("first"), F.col("n")).alias(c)
+    dealt = in_parts(who, "owner", F.col("n")).select("owner", "key", "first", "n").join(lists, "key").select("owner", "key", "size", "last", "bits", "first", rest("grams"), rest("skips"))
+    near = C.written(dealt.groupBy("owner").applyInArrow(_candidates(t), "a long, b long"), "near")
     sizes = rows.select("key", "size")
-    C.settle(spark, whole, met)
+    C.settle(spark, met, who)
     near = blocks_of(near, sizes)
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)  # 16 MB at most; beyond it both sides are shuffled

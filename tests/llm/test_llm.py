@@ -175,6 +175,42 @@ def test_blocks_beyond_the_bound_meet_in_parts(docs, monkeypatch):
     assert got == brute({r["doc_id"]: r["text"] for r in near.collect()}, 3, 90, 100)[0]
 
 
+def test_classes_meet_where_a_link_can_begin(spark, monkeypatch):
+    """A class goes to the owners of its first k - l + 1 shared n-grams alone, with what follows the first of each."""
+    t, tables, write = ngram_join.Threshold(90, 100), {}, ngram_join.C.written
+
+    def kept(df, name):
+        tables.setdefault(name, []).append(write(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(ngram_join.C, "written", kept)
+    monkeypatch.setattr(ngram_join.C, "drop", lambda *_: None)
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"w{w}" for w in rng.integers(0, 7, 60)) for _ in range(80)]  # shares n-grams with many, links with few
+    texts = dict(enumerate([*words, *(f"{w} end" for w in words[:9])]))
+    docs = spark.createDataFrame(list(texts.items()), "key long, text string")
+    label, _ = brute(texts, 3, 90, 100)
+    assert {r["key"]: r["component_id"] for r in ngram_join.join_components(docs, 3, t).collect()} == label
+    shared = {r["key"]: r for r in tables["shared"][0].collect()}
+    met = tables["met"][0].collect()
+    assert met
+    for r in met:
+        c = shared[r["key"]]
+        assert len(c["owners"]) == len(c["grams"]) - t.fewest(r["size"]) + 1 < len(c["grams"])
+        assert c["owners"].index(r["owner"]) == r["first"] - 1 and r["n"] == len(c["grams"]) - r["first"] + 1
+
+
+def test_links_of_a_group_are_stars_and_take_no_rounds(spark, monkeypatch):
+    made = ngram_join._stars(np.arange(50, 0, -1), [(k, k + 1) for k in range(49)])
+    assert sorted(zip(made["a"].to_pylist(), made["b"].to_pylist())) == [(k, 1) for k in range(2, 51)]
+    names, write = [], ngram_join.C.written
+    monkeypatch.setattr(ngram_join.C, "written", lambda df, name: names.append(name) or write(df, name))
+    links = lambda pairs: ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, links([(1, k) for k in range(2, 40)]))) == [(k, 1) for k in range(2, 40)] and names == ["edges"]
+    assert sorted(map(tuple, links([(k, k + 1) for k in range(1, 40)]))) == [(k, 1) for k in range(2, 41)]
+    assert links([(3, 3)]) == []
+
+
 def test_mix_meets_targets(docs, spark):
     clash = docs.withColumns({c: F.lit(7) for c in ("target", "source_size", "copies", "part__", "row", "h", "cut", "same", "k")})
     assert sorted(mixing.mix_rows(clash).columns) == sorted(clash.columns)
