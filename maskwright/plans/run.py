@@ -98,6 +98,9 @@ class Run:
         self.head: Head = self.ledger.head()
         if not self.head.facts:
             raise FileNotFoundError(f"no run in {self.folder}")
+        # a join of a bucketed table and another deals out the other alone, unless more partitions than buckets are wanted
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) > self.ledger.buckets:
+            self.spark.conf.set("spark.sql.shuffle.partitions", str(self.ledger.buckets))
 
     # ---- tables ----
 
@@ -314,13 +317,14 @@ class Run:
         model, service = self._keep(W.parse_answers(made.where(~F.coalesce(entities, F.lit(False))), work)), W.map_service_answers(made.where(entities), work)
         if d.kind == "service":
             service = self._keep(service)
-        bad = W.answers_failed(model).unionByName(service.where("error is not null").groupBy("work_item_id").agg(F.first("error").alias("error")))
-        answers = model.unionByName(service).join(bad.select("work_item_id"), "work_item_id", "left_anti")
+        item = ["record_id", "work_item_id"]  # the tables lie by record_id
+        bad = W.answers_failed(model, *item).unionByName(service.where("error is not null").groupBy(*item).agg(F.first("error").alias("error")))
+        answers = model.unionByName(service).join(bad.select(*item), item, "left_anti")
         new = W.findings(answers, self.head.facts["run_id"], d.source_kind, d.name, d.min_confidence)
-        failed = made.join(bad, "work_item_id").withColumns({"status": F.lit("permanent_error"), "error_code": F.lit("bad_answer"), "message": F.col("error"), "retryable": F.lit(False)}).drop("error")
+        failed = made.join(bad, item).withColumns({"status": F.lit("permanent_error"), "error_code": F.lit("bad_answer"), "message": F.col("error"), "retryable": F.lit(False)}).drop("error")
         errors = W.error_rows(made.unionByName(failed), "detection")
-        done = made.join(bad, "work_item_id", "left").select("record_id", "work_item_id", "attempt_number", F.when(F.col("error").isNotNull(), "permanent_error").otherwise(W.work_status(F.col("status"), F.lit(1))).alias("now"))
-        settled = work.join(done, ["record_id", "work_item_id"]).withColumns({"status": F.col("now"), "settled": F.col("attempt_number")})
+        done = made.join(bad, item, "left").select("record_id", "work_item_id", "attempt_number", F.when(F.col("error").isNotNull(), "permanent_error").otherwise(W.work_status(F.col("status"), F.lit(1))).alias("now"))
+        settled = work.join(done, item).withColumns({"status": F.col("now"), "settled": F.col("attempt_number")})
         self.commit(work=settled, findings=W.appended(new, self.stored("findings"), ["record_id", "finding_id"]), errors=self._new_errors(errors, "detection"))
 
     # ---- transformation ----

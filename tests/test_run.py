@@ -264,6 +264,24 @@ def test_dates_of_an_entity_never_move_by_other_weeks(spark, tmp_path):
 # ---- the ledger itself ----
 
 
+def test_tables_of_a_run_join_by_record_and_item_without_moving(spark, tmp_path):
+    """Work items and attempts lie by record_id; what meets by that and more keys is not dealt out again."""
+    own = D.own_session(spark)
+    ledger = D.Ledger(own, f"{tmp_path}/l", {"work": ("record_id", "work_item_id"), "attempts": ("record_id", "work_item_id")})
+    ledger.set_buckets(4)
+    items = own.range(50).select(F.concat(F.lit("r"), "id").alias("record_id"), F.concat(F.lit("w"), "id").alias("work_item_id"), F.lit(0).alias("start"), F.lit("a the b").alias("chunk"))
+    answer = '{"findings": [{"category": "NAME", "text": "the", "start": 2, "end": 5, "confidence": 2}]}'
+    made = items.select("record_id", "work_item_id", F.col("work_item_id").alias("attempt_id"), F.lit("succeeded").alias("status"), F.lit(answer).alias("raw"))
+    head = ledger.commit(D.Head(), {"work": items, "attempts": made})
+    work, attempts, item = ledger.read(head, "work"), ledger.read(head, "attempts"), ["record_id", "work_item_id"]
+    found = W.parse_answers(attempts, work)
+    failed = W.answers_failed(ledger.kept(found), *item)
+    for df in (W.appended(attempts, work, item), found, attempts.join(failed, item)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Exchange" not in plan
+    assert attempts.join(failed, item).where("error = 'bad_confidence'").count() == 50
+
+
 def test_the_ledger_appends_changes_alone(spark, tmp_path):
     import os
 
